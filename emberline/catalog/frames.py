@@ -65,5 +65,11 @@ def rule_scores(spark, sf) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles to four places: the engines differ in the last bit of exp and pow."""
-    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
+    """Doubles to four places: the engines differ in the last bit of exp and pow.
+
+    Greenness stays whole. It is plain arithmetic, hence bit-equal, and some of
+    its values lie exactly between two roundings.
+    """
+    exact = ("ndvi", "fuel")
+    kinds = [c for c, kind in df.dtypes if kind == "double" and c not in exact]
+    return df.withColumns({c: F.round(c, digits) for c in kinds})

@@ -236,7 +236,7 @@ def w4(spark, sf):
 
 @query(
     "w5_flat_windows",
-    f"""select zone_idx, date, 70 as n_values, round({TRAINING_FEATURES[0]}_0, 4) as first_value, round(ndvi, 4) as last_value
+    f"""select zone_idx, date, 70 as n_values, round({TRAINING_FEATURES[0]}_0, 4) as first_value, ndvi as last_value
     from (select *, lag({TRAINING_FEATURES[0]}, 6) over w as {TRAINING_FEATURES[0]}_0, row_number() over w as n
       from training window w as (partition by zone_idx order by date)) q where n>=7""",
 )
@@ -248,7 +248,7 @@ def w5(spark, sf):
         "date",
         F.size("features").alias("n_values"),
         F.round(F.element_at("features", 1), 4).alias("first_value"),
-        F.round(F.element_at("features", -1), 4).alias("last_value"),
+        F.element_at("features", -1).alias("last_value"),
     )
 
 

@@ -211,7 +211,7 @@ def p13(spark, sf):
 @query(
     "p14_feature_matrix",
     "select date, zone_idx, zone_id, "
-    + ", ".join(f"round({c}, 4) as {c}" for c in LIVE_FEATURES[:-1])
+    + r4(*LIVE_FEATURES[:-1])
     + ", cast(active_fire_nearby as int) as active_fire_nearby, fire_risk_label from processed",
 )
 def p14(spark, sf):

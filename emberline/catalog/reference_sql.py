@@ -179,10 +179,10 @@ select *, case when ndvi<0.15 then 3 when risk_score>=0.7 then 1 else 0 end as s
   case when ndvi<0 then 0e0 when ndvi>1 then 1e0 else ndvi end as fuel from scored"""
 STEPS["day_wind"] = """
 select date, avg(wx_wind_speed_ms) as mean_wind_ms, avg(wx_wind_deg) as mean_wind_deg from scored group by date"""
-STEPS["offsets"] = "select * from (values " + ", ".join(map(str, NEIGHBOURS)) + ") o(dr, dc, bearing)"
+STEPS["offsets"] = "select * from (values " + ", ".join(map(str, NEIGHBOURS)) + ") o(d_row, d_col, bearing)"
 STEPS["edges"] = """
-select c.date, c.zone_idx as from_zone, (c.row+dr)*35+(c.col+dc) as to_zone, bearing
-from cells c cross join offsets where c.state=1 and c.row+dr between 0 and 39 and c.col+dc between 0 and 34"""
+select c.date, c.zone_idx as from_zone, (c.row+d_row)*35+(c.col+d_col) as to_zone, bearing
+from cells c cross join offsets where c.state=1 and c.row+d_row between 0 and 39 and c.col+d_col between 0 and 34"""
 
 
 def alignment(bearing: str, wind_from: str) -> str:

@@ -34,5 +34,5 @@ def query(name: str, check: str | None = None):
 
 
 def r4(*names: str) -> str:
-    """``round(x, 4) as x`` for each name."""
-    return ", ".join(f"round({n}, 4) as {n}" for n in names)
+    """``round(x, 4) as x`` for each name; greenness is exact on both sides."""
+    return ", ".join(n if n in ("ndvi", "fuel") else f"round({n}, 4) as {n}" for n in names)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.functions.scalar import _col, clip
+from emberline.functions.scalar import _col
 
 # Monthly day-length factors, and what an unknown month gets.
 DUFF_DAY_LENGTH = {
@@ -35,12 +35,20 @@ def month_factor(month, table: dict[int, float], default: float) -> Column:
     return F.coalesce(F.try_element_at(literal_map, _col(month).cast("int")), F.lit(default))
 
 
-def _stage(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns({f"_{k}": v for k, v in columns.items()})
+def _stage(df: DataFrame, **columns) -> DataFrame:
+    """Adds working columns; text is a SQL expression over earlier ones."""
+    return df.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in columns.items()})
 
 
-def _finish(df: DataFrame, out: str, value: Column) -> DataFrame:
-    df = df.withColumn(out, value)
+def _limit(name: str, lo: float | None = None, hi: float | None = None) -> str:
+    """SQL text of ``clip``: a null stays null."""
+    low = f"when {name} < {lo}D then {lo}D " if lo is not None else ""
+    high = f"when {name} > {hi}D then {hi}D " if hi is not None else ""
+    return f"case {low}{high}else {name} end"
+
+
+def _finish(df: DataFrame, out: str, value: str) -> DataFrame:
+    df = df.withColumn(out, F.expr(value))
     return df.drop(*[c for c in df.columns if c.startswith("_fw_")])
 
 
@@ -54,40 +62,34 @@ def with_ffmc(
     out: str = "ffmc",
 ) -> DataFrame:
     """Fine fuel moisture code, 0 to 101."""
-    t, h, r = F.col(temp), F.col(rh), F.col(rain)
-    c = F.col
-    df = _stage(df, fw_prev=_col(prev).cast("double"), fw_wet=r - 0.5)
-    df = _stage(df, fw_mo=147.2 * (101 - c("_fw_prev")) / (59.5 + c("_fw_prev")))
-    soak = (
-        42.5
-        * c("_fw_wet")
-        * F.exp(-100.0 / (251 - c("_fw_mo")))
-        * (1 - F.exp(-6.93 / clip("_fw_wet", lo=1e-6)))
-    )
-    df = _stage(df, fw_start=F.when(r > 0.5, c("_fw_mo") + soak).when(r.isNotNull(), c("_fw_mo")))
+    df = _stage(df, _fw_prev=_col(prev).cast("double"), _fw_wet=f"{rain} - 0.5D")
     df = _stage(
         df,
-        fw_start=clip("_fw_start", 0, 250),
-        fw_heat=0.18 * (21.1 - t) * (1 - F.exp(-0.115 * h)),
-        fw_dry=0.424 * (1 - F.pow(h / 100, F.lit(1.7)))
-        + 0.0694 * F.sqrt(c(wind_ms) * 3.6) * (1 - F.pow(h / 100, F.lit(8.0))),
+        _fw_mo="147.2D * (101D - _fw_prev) / (59.5D + _fw_prev)",
+        _fw_heat=f"0.18D * (21.1D - {temp}) * (1D - exp(-0.115D * {rh}))",
+        _fw_dry=f"0.424D * (1D - pow({rh} / 100D, 1.7D))"
+        f" + 0.0694D * sqrt({wind_ms} * 3.6D) * (1D - pow({rh} / 100D, 8D))",
     )
     df = _stage(
         df,
-        fw_ed=0.942 * F.pow(h, F.lit(0.679)) + 11 * F.exp((h - 100) / 10) + c("_fw_heat"),
-        fw_ew=0.618 * F.pow(h, F.lit(0.753)) + 10 * F.exp((h - 100) / 10) + c("_fw_heat"),
-        fw_wetting=c("_fw_dry") * 0.581 * F.exp(0.0365 * t),
+        # Rain above half a millimetre wets the fuel.
+        _fw_start=f"case when {rain} > 0.5D then _fw_mo + 42.5D * _fw_wet * exp(-100D / (251D - _fw_mo))"
+        f" * (1D - exp(-6.93D / ({_limit('_fw_wet', lo=1e-6)}))) when {rain} is not null then _fw_mo end",
+        _fw_ed=f"0.942D * pow({rh}, 0.679D) + 11D * exp(({rh} - 100D) / 10D) + _fw_heat",
+        _fw_ew=f"0.618D * pow({rh}, 0.753D) + 10D * exp(({rh} - 100D) / 10D) + _fw_heat",
+        _fw_wetting=f"_fw_dry * 0.581D * exp(0.0365D * {temp})",
     )
-    m0, ed, ew = c("_fw_start"), c("_fw_ed"), c("_fw_ew")
+    df = _stage(df, _fw_m0=_limit("_fw_start", 0.0, 250.0))
     df = _stage(
         df,
-        fw_m=F.when(m0 > ed, ed + (m0 - ed) * F.pow(F.lit(10.0), -c("_fw_dry")))
-        .when(m0 < ew, ew - (ew - m0) * F.pow(F.lit(10.0), -c("_fw_wetting")))
-        # A missing temperature, humidity or wind leaves the code unknown.
-        .otherwise(F.when(ed.isNotNull() & ew.isNotNull(), m0)),
+        # Drying towards one equilibrium, wetting towards the other, else no
+        # change; a missing input leaves the code unknown.
+        _fw_m="case when _fw_m0 > _fw_ed then _fw_ed + (_fw_m0 - _fw_ed) * pow(10D, -_fw_dry)"
+        " when _fw_m0 < _fw_ew then _fw_ew - (_fw_ew - _fw_m0) * pow(10D, -_fw_wetting)"
+        " when _fw_ed is not null and _fw_ew is not null then _fw_m0 end",
     )
-    df = _stage(df, fw_code=59.5 * (250 - c("_fw_m")) / (147.2 + c("_fw_m")))
-    return _finish(df, out, clip("_fw_code", 0, 101))
+    df = _stage(df, _fw_code="59.5D * (250D - _fw_m) / (147.2D + _fw_m)")
+    return _finish(df, out, _limit("_fw_code", 0.0, 101.0))
 
 
 def with_dmc(
@@ -100,36 +102,33 @@ def with_dmc(
     out: str = "dmc",
 ) -> DataFrame:
     """Duff moisture code, not negative."""
-    c, r = F.col, F.col(rain)
     df = _stage(
         df,
-        fw_prev=_col(prev).cast("double"),
-        fw_le=month_factor(month, DUFF_DAY_LENGTH, DUFF_DAY_LENGTH_DEFAULT),
+        _fw_prev=_col(prev).cast("double"),
+        _fw_le=month_factor(month, DUFF_DAY_LENGTH, DUFF_DAY_LENGTH_DEFAULT),
+        _fw_excess=f"{rain} - 1.27D",
     )
     df = _stage(
         df,
-        fw_log=F.log(clip("_fw_prev", lo=1e-6)),
-        fw_rk=1.894 * (c(temp) + 1.1) * (100 - c(rh)) * c("_fw_le") * 1e-4,
-        fw_excess=r - 1.27,
+        _fw_log=f"ln({_limit('_fw_prev', lo=1e-6)})",
+        _fw_rk0=f"1.894D * ({temp} + 1.1D) * (100D - {rh}) * _fw_le * 1e-4D",
     )
     df = _stage(
         df,
-        fw_rk=clip("_fw_rk", lo=0),
-        fw_b=F.when(c("_fw_prev") <= 33, 100 / (0.5 + 0.3 * c("_fw_prev")))
-        .when(c("_fw_prev") <= 65, 14 - 1.3 * c("_fw_log"))
-        .otherwise(6.2 * c("_fw_log") - 17.2),
+        _fw_rk=_limit("_fw_rk0", lo=0.0),
+        _fw_b="case when _fw_prev <= 33D then 100D / (0.5D + 0.3D * _fw_prev)"
+        " when _fw_prev <= 65D then 14D - 1.3D * _fw_log else 6.2D * _fw_log - 17.2D end",
     )
     df = _stage(
         df,
-        fw_mr=c("_fw_prev") + 1000 * c("_fw_excess") / (48.77 + c("_fw_b") * clip("_fw_excess", lo=1e-6)),
+        _fw_mr=f"_fw_prev + 1000D * _fw_excess / (48.77D + _fw_b * ({_limit('_fw_excess', lo=1e-6)}))",
     )
     df = _stage(
         df,
-        fw_code=F.when(r > 1.5, clip("_fw_mr", lo=0) + c("_fw_rk")).when(
-            r.isNotNull(), c("_fw_prev") + c("_fw_rk")
-        ),
+        _fw_code=f"case when {rain} > 1.5D then ({_limit('_fw_mr', lo=0.0)}) + _fw_rk"
+        f" when {rain} is not null then _fw_prev + _fw_rk end",
     )
-    return _finish(df, out, clip("_fw_code", lo=0))
+    return _finish(df, out, _limit("_fw_code", lo=0.0))
 
 
 def with_dc(
@@ -141,39 +140,39 @@ def with_dc(
     out: str = "dc",
 ) -> DataFrame:
     """Drought code, not negative."""
-    c, r = F.col, F.col(rain)
     df = _stage(
         df,
-        fw_prev=_col(prev).cast("double"),
-        fw_lf=month_factor(month, DROUGHT_DAY_LENGTH, DROUGHT_DAY_LENGTH_DEFAULT),
+        _fw_prev=_col(prev).cast("double"),
+        _fw_lf=month_factor(month, DROUGHT_DAY_LENGTH, DROUGHT_DAY_LENGTH_DEFAULT),
+    )
+    df = _stage(
+        df,
+        _fw_v0=f"0.36D * ({temp} + 2.8D) + _fw_lf",
+        _fw_q=f"800D * exp(-_fw_prev / 400D) + 3.937D * (0.83D * {rain} - 1.27D)",
     )
-    df = _stage(df, fw_v=0.36 * (c(temp) + 2.8) + c("_fw_lf"))
     df = _stage(
         df,
-        fw_v=clip("_fw_v", lo=0),
-        fw_q=800 * F.exp(-c("_fw_prev") / 400) + 3.937 * (0.83 * r - 1.27),
+        _fw_v=_limit("_fw_v0", lo=0.0),
+        _fw_dr=f"400D * ln(800D / ({_limit('_fw_q', lo=1e-6)}))",
     )
-    df = _stage(df, fw_dr=400 * F.log(800 / clip("_fw_q", lo=1e-6)))
     df = _stage(
         df,
-        fw_code=F.when(r > 2.8, clip("_fw_dr", lo=0)).when(r.isNotNull(), c("_fw_prev"))
-        + 0.5 * c("_fw_v"),
+        _fw_code=f"case when {rain} > 2.8D then ({_limit('_fw_dr', lo=0.0)})"
+        f" when {rain} is not null then _fw_prev end + 0.5D * _fw_v",
     )
-    return _finish(df, out, clip("_fw_code", lo=0))
+    return _finish(df, out, _limit("_fw_code", lo=0.0))
 
 
 def with_bui(df: DataFrame, dmc: str = "dmc", dc: str = "dc", out: str = "bui") -> DataFrame:
     """Build-up index, not negative."""
-    p, d, c = F.col(dmc), F.col(dc), F.col
-    df = _stage(df, fw_den=p + 0.4 * d)
-    df = _stage(df, fw_den=clip("_fw_den", lo=1e-6))
+    df = _stage(df, _fw_sum=f"{dmc} + 0.4D * {dc}")
+    df = _stage(df, _fw_den=_limit("_fw_sum", lo=1e-6))
     df = _stage(
         df,
-        fw_code=F.when(p <= 0.4 * d, 0.8 * p * d / c("_fw_den")).otherwise(
-            p - (1 - 0.8 * d / c("_fw_den")) * (0.92 + F.pow(0.0114 * p, F.lit(1.7)))
-        ),
+        _fw_code=f"case when {dmc} <= 0.4D * {dc} then 0.8D * {dmc} * {dc} / _fw_den"
+        f" else {dmc} - (1D - 0.8D * {dc} / _fw_den) * (0.92D + pow(0.0114D * {dmc}, 1.7D)) end",
     )
-    return _finish(df, out, clip("_fw_code", lo=0))
+    return _finish(df, out, _limit("_fw_code", lo=0.0))
 
 
 def with_fwi(
@@ -184,26 +183,34 @@ def with_fwi(
     out: str = "fwi",
 ) -> DataFrame:
     """Fire weather index, with the initial spread index inside."""
-    c, b = F.col, F.col(bui)
-    df = _stage(df, fw_gap=101 - c(ffmc))
     df = _stage(
         df,
-        fw_isi=91.9
-        * F.exp(-0.1386 * c("_fw_gap"))
-        * (1 + F.pow(c("_fw_gap"), F.lit(5.31)) / 4.93e7)
-        * F.exp(0.05039 * (c(wind_ms) * 3.6)),
-        fw_fd=F.when(b <= 80, 0.626 * F.pow(b, F.lit(0.809)) + 2).otherwise(
-            1000 / (25 + 108.64 * F.exp(-0.023 * b))
-        ),
+        _fw_gap=f"101D - {ffmc}",
+        _fw_fd=f"case when {bui} <= 80D then 0.626D * pow({bui}, 0.809D) + 2D"
+        f" else 1000D / (25D + 108.64D * exp(-0.023D * {bui})) end",
     )
-    df = _stage(df, fw_b=0.1 * c("_fw_isi") * c("_fw_fd"))
     df = _stage(
         df,
-        fw_code=F.when(c("_fw_b") <= 1, c("_fw_b")).otherwise(
-            F.exp(2.72 * F.pow(0.434 * F.log("_fw_b"), F.lit(0.647)))
-        ),
+        _fw_isi="91.9D * exp(-0.1386D * _fw_gap) * (1D + pow(_fw_gap, 5.31D) / 4.93e7D)"
+        f" * exp(0.05039D * ({wind_ms} * 3.6D))",
     )
-    return _finish(df, out, clip("_fw_code", lo=0))
+    df = _stage(df, _fw_b="0.1D * _fw_isi * _fw_fd")
+    df = _stage(
+        df, _fw_code="case when _fw_b <= 1D then _fw_b else exp(2.72D * pow(0.434D * ln(_fw_b), 0.647D)) end"
+    )
+    return _finish(df, out, _limit("_fw_code", lo=0.0))
+
+
+def sealed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Stops the optimizer from copying the definitions of ``columns`` upwards.
+
+    A filter on an index would otherwise be pushed below the staged projections
+    by substituting every stage into it, which multiplies to an expression of
+    millions of nodes. Rows pass through a one-element ``inline``, behind which
+    the columns are plain attributes.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
 
 
 def with_indices(df: DataFrame, month=5, ffmc_prev=FFMC_START, dmc_prev=DMC_START, dc_prev=DC_START) -> DataFrame:
@@ -211,4 +218,4 @@ def with_indices(df: DataFrame, month=5, ffmc_prev=FFMC_START, dmc_prev=DMC_STAR
     df = with_ffmc(df, prev=ffmc_prev)
     df = with_dmc(df, month=month, prev=dmc_prev)
     df = with_dc(df, month=month, prev=dc_prev)
-    return with_fwi(with_bui(df))
+    return sealed(with_fwi(with_bui(df)), ["ffmc", "dmc", "dc", "bui", "fwi"])

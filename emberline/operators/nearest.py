@@ -265,33 +265,22 @@ def _descend(
         F.lit(0).alias("_px"),
     )
 
-    def gap(v, lo, hi):
-        return F.greatest(lo - v, v - hi, F.lit(0.0))
-
-    def far(v, lo, hi):
-        return F.greatest(F.abs(v - lo), F.abs(v - hi))
-
-    y, x = F.col("_y"), F.col("_x")
+    # Squared distance from the zone to the nearest and to the farthest place
+    # in a tile's extent.
+    rate = """transform(_kids, t -> struct(t._ty as ty, t._tx as tx,
+        pow(greatest(t.y0 - _y, _y - t.y1, 0D), 2D) + pow(greatest(t.x0 - _x, _x - t.x1, 0D), 2D) as lo,
+        pow(greatest(abs(_y - t.y0), abs(_y - t.y1)), 2D)
+          + pow(greatest(abs(_x - t.x0), abs(_x - t.x1)), 2D) as hi))"""
+    tighten = "least(_bound, array_min(transform(_rated, t -> t.hi)))"
+    # The margin keeps ties and rounding on the safe side.
+    survive = "inline(filter(_rated, t -> t.lo <= _bound * 1.000000001D))"
     for level in range(1, LEVELS + 1):
-        search = search.join(children(level), [*by, "_py", "_px"])
-        rated = F.transform(
-            "_kids",
-            lambda t: F.struct(
-                t["_ty"].alias("ty"),
-                t["_tx"].alias("tx"),
-                (square(gap(y, t["y0"], t["y1"])) + square(gap(x, t["x0"], t["x1"]))).alias("lo"),
-                (square(far(y, t["y0"], t["y1"])) + square(far(x, t["x0"], t["x1"]))).alias("hi"),
-            ),
-        )
-        search = search.withColumn("_rated", rated)
-        search = search.withColumn(
-            "_bound", F.least("_bound", F.array_min(F.transform("_rated", lambda t: t["hi"])))
-        )
-        # The margin keeps ties and rounding on the safe side.
-        keep = F.filter("_rated", lambda t: t["lo"] <= F.col("_bound") * (1 + 1e-9))
-        search = search.select(*by, "zone_idx", "_y", "_x", "_bound", F.explode(keep).alias("_t"))
-        search = search.select(
-            *by, "zone_idx", "_y", "_x", "_bound", F.col("_t.ty").alias("_py"), F.col("_t.tx").alias("_px")
+        search = (
+            search.join(children(level), [*by, "_py", "_px"])
+            .withColumn("_rated", F.expr(rate))
+            .withColumn("_bound", F.expr(tighten))
+            .select(*by, "zone_idx", "_y", "_x", "_bound", F.expr(survive))
+            .select(*by, "zone_idx", "_y", "_x", "_bound", F.col("ty").alias("_py"), F.col("tx").alias("_px"))
         )
 
     # Copies at the same place are one candidate: the smallest tie value.
@@ -301,7 +290,7 @@ def _descend(
     hits = search.join(
         places.withColumnsRenamed({"_ty": "_py", "_tx": "_px"}), [*by, "_py", "_px"]
     )
-    d2 = square(y - F.col("latitude")) + square(x - F.col("longitude"))
+    d2 = F.expr("(_y - latitude) * (_y - latitude) + (_x - longitude) * (_x - longitude)")
     return (
         hits.select(*by, "zone_idx", F.struct(d2.alias("d2"), F.col("_p.tie").alias("tie"), F.col("_p.v").alias("v")).alias("_b"))
         .groupBy(*by, "zone_idx")

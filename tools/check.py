@@ -98,8 +98,9 @@ def main() -> int:
         if not ok or kinds:
             bad += 1
             print("   ", names, dnames, len(rows), len(drows))
-            gone = [r for r in rows if r not in set(drows)][:3]
-            new = [r for r in drows if r not in set(rows)][:3]
+            here, there = set(rows), set(drows)
+            gone = [r for r in rows if r not in there][:3]
+            new = [r for r in drows if r not in here][:3]
             print("    only spark ", gone)
             print("    only duckdb", new, flush=True)
     print("differences:", bad)
