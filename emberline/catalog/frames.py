@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberline.catalog import views as V
 from emberline.functions.scalar import brightness
 from emberline.plans import daily, spread, state, training
+from emberline.sources.writers import stored
 from emberline.spec import RegionSpec
 
 REGION = RegionSpec()
@@ -25,6 +26,11 @@ def training_rows(spark, sf) -> DataFrame:
     )
 
 
+def stored_training(spark, sf) -> DataFrame:
+    """The training set as the stored table that model fitting reads."""
+    return stored(training_rows(spark, sf), "training")
+
+
 def unified(spark, sf) -> DataFrame:
     return daily.unified(detections(spark, sf), V.weather_now(spark, sf), REGION)
 
@@ -61,7 +67,8 @@ def rule_scores(spark, sf) -> DataFrame:
         F.struct(F.lit("wind").alias("model"), F.round(F.col("wx_wind_speed_ms") / 12.0, 4).alias("score")),
     )
     long = t.select(F.col("fire_risk_label").alias("label"), F.explode(models).alias("m"))
-    return long.select("m.model", "label", "m.score", (F.col("m.score") >= 0.5).cast("int").alias("prediction"))
+    rows = long.select("m.model", "label", "m.score", (F.col("m.score") >= 0.5).cast("int").alias("prediction"))
+    return stored(rows, "rule_scores")
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

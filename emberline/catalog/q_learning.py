@@ -14,6 +14,7 @@ from emberline.operators import metrics as M
 from emberline.operators import sequences as Q
 from emberline.plans import serving, state, training
 from emberline.schemas import LIVE_FEATURES, TRAINING_FEATURES
+from emberline.sources.writers import stored
 
 
 @query(
@@ -115,7 +116,8 @@ def a14(spark, sf):
 )
 def a14_rows(spark, sf):
     rows = X.training_rows(spark, sf).select("date", "zone_idx", *TRAINING_FEATURES)
-    return X.rounded(M.standardise(rows, M.column_scale(rows, TRAINING_FEATURES), TRAINING_FEATURES))
+    scaled = M.standardise(rows, M.column_scale(rows, TRAINING_FEATURES), TRAINING_FEATURES)
+    return scaled.withColumns({c: F.round(c, 4) for c in TRAINING_FEATURES})
 
 
 @query("a15_model_comparison", "select * from comparison")
@@ -181,33 +183,33 @@ def _plain(seq):
 
 
 _TRAIN_SPLIT = "(select *, case when date<DATE '2024-01-21' then 'train' else 'test' end as split from training) t"
-_STATION_SEQ = f"""(select *, {", ".join(f"lag(fwi, {_N - 1 - i}) over w as f{i}" for i in range(_N))},
-    row_number() over w as n, lag(date, {_N - 1}) over w as d0, cast(fwi>60 as int) as label
-  from station_indices window w as (partition by station_id order by date)) q where n>={_N}"""
+def _station_sql(n: int) -> str:
+    lags = ", ".join(f"lag(fwi, {n - 1 - i}) over w as f{i}" for i in range(n))
+    days = ", ".join(f"round(f{i}, 4) as fwi_{i}" for i in range(n))
+    return f"""select station_id, date, label, {days} from (select *, {lags}, row_number() over w as n,
+    lag(date, {n - 1}) over w as d0, cast(fwi>60 as int) as label
+  from station_indices window w as (partition by station_id order by date)) q where n>={n}"""
 
 
-def _station_windows(spark, sf, gap_free):
+def _station_windows(spark, sf, n, gap_free):
     """Stations report on some days only, so their rows have real gaps."""
     rows = I.with_indices(station_weather(spark, sf), month=F.month("date"))
     rows = rows.withColumn("label", (F.col("fwi") > 60).cast("int"))
-    seq = Q.sequences(rows, _N, ["fwi"], label="label", gap_free=gap_free, zone="station_id")
-    days = [F.round(F.col("sequence")[i][0], 4).alias(f"fwi_{i}") for i in range(_N)]
+    seq = Q.sequences(rows, n, ["fwi"], label="label", gap_free=gap_free, zone="station_id")
+    days = [F.round(F.col("sequence")[i][0], 4).alias(f"fwi_{i}") for i in range(n)]
     return seq.select("station_id", "date", "label", *days)
 
 
-@query("w1_row_sequences", f"select station_id, date, label, {_DAYS} from {_STATION_SEQ}")
+@query("w1_row_sequences", _station_sql(_N))
 def w1(spark, sf):
     """Windows of seven rows, which may bridge missing days."""
-    return _station_windows(spark, sf, gap_free=False)
+    return _station_windows(spark, sf, _N, gap_free=False)
 
 
-@query(
-    "w2_gap_free_sequences",
-    f"select station_id, date, label, {_DAYS} from {_STATION_SEQ} and date_diff('day', d0, date)={_N - 1}",
-)
+@query("w2_gap_free_sequences", _station_sql(3) + " and date_diff('day', d0, date)=2")
 def w2(spark, sf):
-    """Windows of seven consecutive days."""
-    return _station_windows(spark, sf, gap_free=True)
+    """Windows of three consecutive days (few stations report seven in a row)."""
+    return _station_windows(spark, sf, 3, gap_free=True)
 
 
 @query(
@@ -261,15 +263,14 @@ NETWORK = L.SequenceSpec(iterations=30)
 
 
 def _sides(spark, sf):
-    return training.temporal_split(X.training_rows(spark, sf), X.TEST_START)
+    return training.temporal_split(X.stored_training(spark, sf), X.TEST_START)
 
 
-def _windows(spark, sf):
+def _windows(train, test):
     """Standardised flat windows of both sides, scaled by the training side."""
-    train, test = _sides(spark, sf)
     scale = M.column_scale(train, TRAINING_FEATURES)
     sides = [M.standardise(side.select("zone_idx", "date", *TRAINING_FEATURES, "fire_risk_label"), scale, TRAINING_FEATURES) for side in (train, test)]
-    return [Q.flattened(Q.sequences(side, _N), vector=True) for side in sides]
+    return [stored(Q.flattened(Q.sequences(side, _N), vector=True), "windows") for side in sides]
 
 
 @query("m1_random_forest")
@@ -286,7 +287,7 @@ def m2(spark, sf):
 
 @query("m3_sequence_network")
 def m3(spark, sf):
-    train, test = _windows(spark, sf)
+    train, test = _windows(*_sides(spark, sf))
     model = L.fit_sequences(train, NETWORK, _N * len(TRAINING_FEATURES))
     return L.evaluated(L.score(test, model), NETWORK.name, "label")
 
@@ -324,7 +325,7 @@ def m5(spark, sf):
 def m6(spark, sf):
     """All tabular models on the rule label over a hash split."""
     rows = L.split_rows(X.processed(spark, sf), ["date", "zone_idx"])
-    matrix = rows.withColumn("active_fire_nearby", F.col("active_fire_nearby").cast("int"))
+    matrix = stored(rows.withColumn("active_fire_nearby", F.col("active_fire_nearby").cast("int")), "features")
     train, test = (matrix.where(F.col("split") == side) for side in ("train", "test"))
     return L.fit_and_compare(train, test, [FOREST, BOOSTED], LIVE_FEATURES)
 
@@ -333,7 +334,7 @@ def m6(spark, sf):
 def m7(spark, sf):
     """All models on the observed label over the temporal split."""
     train, test = _sides(spark, sf)
-    train_w, test_w = _windows(spark, sf)
+    train_w, test_w = _windows(train, test)
     return L.fit_and_compare(
         train,
         test,

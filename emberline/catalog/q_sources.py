@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline import schemas
 from emberline.catalog import frames as X
@@ -135,7 +136,7 @@ def src8(spark, sf):
     path = scratch_dir(spark, "hotspots_hist")
     hist = V.hotspots_hist(spark, sf)
     columns = ["latitude", "longitude", "frp", "acq_date", "fire_season_year"]
-    schema = type(hist.schema)([hist.schema[c] for c in columns])
+    schema = T.StructType([hist.schema[c] for c in columns])
     W.write_table(hist.select(*columns), path, fmt="csv")
     return R.read_table(spark, path, schema, "csv")
 
@@ -311,7 +312,7 @@ def kw1(spark, sf):
     """The training set written by season year and read back."""
     path = scratch_dir(spark, "training_set")
     W.write_training_set(X.training_rows(spark, sf).select(*schemas.TRAINING_SET.names), path)
-    schema = type(schemas.TRAINING_SET)(list(schemas.TRAINING_SET.fields)).add("season_year", "int")
+    schema = T.StructType([*schemas.TRAINING_SET.fields, T.StructField("season_year", T.IntegerType())])
     stored = R.read_table(spark, path, schema)
     return stored.groupBy("season_year").agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from emberline.operators import metrics
 from emberline.operators.alerts import fallback_risk
+from emberline.sources.writers import stored
 
 
 @dataclass(frozen=True)
@@ -165,7 +166,10 @@ def split_rows(
 
 
 def evaluated(scored: DataFrame, name: str, label: str) -> DataFrame:
-    row = metrics.evaluate(scored, label, "prediction", "risk_score")
+    """Named metric row. The metrics read the predictions several times, so
+    these are stored first and the model runs once."""
+    kept = stored(scored.select(label, "prediction", "risk_score"), "predictions")
+    row = metrics.evaluate(kept, label, "prediction", "risk_score")
     return row.select(F.lit(name).alias("model"), *metrics.METRICS)
 
 
@@ -184,29 +188,22 @@ def fit_and_compare(
     """Fits every model, scores the test side and returns the rounded table.
 
     The network joins only if both sides have enough windows. ``keep`` receives
-    each fitted model, to save it.
+    each fitted model, to save it. All inputs are read many times: pass stored
+    tables.
     """
-    train = train.persist()
-    try:
-        rows = []
-        for spec in specs:
-            model = fit(train, spec, features, label)
+    rows = []
+    for spec in specs:
+        model = fit(train, spec, features, label)
+        if keep:
+            keep(spec.name, model)
+        rows.append(evaluated(score(test, model), spec.name, label))
+    if sequence is not None and train_windows is not None and test_windows is not None:
+        if enough(train_windows, sequence.min_train) and enough(test_windows, sequence.min_test):
+            model = fit_sequences(train_windows, sequence, n_inputs)
             if keep:
-                keep(spec.name, model)
-            rows.append(evaluated(score(test, model), spec.name, label))
-        if sequence is not None and train_windows is not None and test_windows is not None:
-            train_windows = train_windows.persist()
-            try:
-                if enough(train_windows, sequence.min_train) and enough(test_windows, sequence.min_test):
-                    model = fit_sequences(train_windows, sequence, n_inputs)
-                    if keep:
-                        keep(sequence.name, model)
-                    rows.append(evaluated(score(test_windows, model), sequence.name, "label"))
-            finally:
-                train_windows.unpersist()
-        return metrics.comparison(reduce(DataFrame.unionByName, rows))
-    finally:
-        train.unpersist()
+                keep(sequence.name, model)
+            rows.append(evaluated(score(test_windows, model), sequence.name, "label"))
+    return metrics.comparison(reduce(DataFrame.unionByName, rows))
 
 
 def enough(df: DataFrame, n: int) -> bool:

@@ -83,7 +83,10 @@ def roc_auc(df: DataFrame, label="label", score="score", by: Sequence[str] = ())
 
 
 def evaluate(df: DataFrame, label="label", prediction="prediction", score="score", by: Sequence[str] = ()) -> DataFrame:
-    """All six metrics per group, as one row each."""
+    """All six metrics per group, as one row each.
+
+    The rows are read several times: pass a stored table if they are costly.
+    """
     by = list(by)
     table = rates(confusion(df, label, prediction, by))
     auc = roc_auc(df, label, score, by)

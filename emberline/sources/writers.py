@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.session import scratch_dir
+
 
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", mode: str = "overwrite"
@@ -22,6 +24,18 @@ def write_table(
     writer.save(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows behind a table in the shared scratch folder.
+
+    Cuts the lineage where a result is read several times (model fitting,
+    metrics), so that later passes and lost executors read files instead of
+    running the whole plan again.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_training_set(df: DataFrame, path: str) -> None:
     """Training rows laid out by season year, which the temporal split prunes."""
     write_table(df.withColumn("season_year", F.year("date")), path, ["season_year"])
