@@ -30,6 +30,12 @@ def _zone_distance2(row: Column, col: Column, spec: RegionSpec) -> Column:
     return square(lat - F.col("latitude")) + square(lon - F.col("longitude"))
 
 
+def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def _unfold(points: DataFrame, lo_hi_rows, lo_hi_cols, spec: RegionSpec) -> DataFrame:
     """One row per point and grid cell in the given row and column ranges."""
     edges = {
@@ -104,7 +110,7 @@ def nearest_within(
     Zones without one have no row: join the result to a spine to keep them.
     """
     keys = [*by, "zone_idx"]
-    near = zones_within(points, spec, radius)
+    near = zones_within(_present(points, by), spec, radius)
     near = near.withColumn("_d2", _zone_distance2(
         F.floor(F.col("zone_idx") / spec.n_cols), F.pmod("zone_idx", F.lit(spec.n_cols)), spec
     ))
@@ -161,9 +167,12 @@ def nearest(
     guarantees is settled. Second search, for the few others: see ``_descend``.
     """
     keys = [*by, "zone_idx"]
-    points = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    # Stating that keys are present lets a second use of the result, such as a
+    # median per date, share its exchanges: the planner adds the same filters
+    # on one side of a join only.
+    points = _present(points, [*by, "latitude", "longitude"])
     points = points.select(*by, "latitude", "longitude", tie, *[v for v in values if v != tie])
-    wanted = zones.select(*keys)
+    wanted = _present(zones.select(*keys), keys)
     reach = one_row_per_day(_window_cells(points, spec, by), by)
 
     row, col = (
@@ -172,28 +181,34 @@ def nearest(
     )
     k = F.col("_k")
     pairs = _unfold(points.join(reach, list(by)), (row - k, row + k), (col - k, col + k), spec)
-    found = pairs.select(*keys, _best(F.col("_d2"), tie, values).alias("_b"), "_k")
+    # The window width travels inside the candidate, as one aggregate that every
+    # use of the result needs whole: the uses then share one exchange.
+    candidate = F.struct(
+        F.col("_d2").alias("d2"), F.col(tie).alias("tie"), F.struct(*values).alias("v"), F.col("_k").alias("k")
+    )
+    found = pairs.select(*keys, candidate.alias("_b"))
     # The wanted rows enter the same aggregation, which so keeps every zone
     # without a second exchange.
     blank = wanted.select(
         *keys,
         F.lit(None).cast(found.schema["_b"].dataType).alias("_b"),
-        F.lit(None).cast("int").alias("_k"),
         F.lit(True).alias("_wanted"),
     )
     first = (
         found.withColumn("_wanted", F.lit(False))
         .unionByName(blank)
         .groupBy(*keys)
-        .agg(F.min("_b").alias("_first"), F.max("_k").alias("_k"), F.max("_wanted").alias("_wanted"))
+        .agg(F.min("_b").alias("_first"), F.max("_wanted").alias("_wanted"))
         .where("_wanted")
         .drop("_wanted")
     )
-    sure = (F.col("_k") + 0.5) * spec.cell_deg - 1e-9
-    # A zone without candidates has no _k either; it is open by definition.
+    sure = (F.col("_first.k") + 0.5) * spec.cell_deg - 1e-9
     open_zones = first.where(F.col("_first").isNull() | (F.col("_first.d2") > square(sure)))
     second = _descend(open_zones, points, spec, values, tie, by)
-    best = first.join(second, keys, "left").withColumn("_best", F.coalesce("_second", "_first"))
+    settled = F.struct("_first.d2", "_first.tie", "_first.v")
+    best = first.join(second, keys, "left").withColumn(
+        "_best", F.coalesce("_second", F.when(F.col("_first").isNotNull(), settled))
+    )
     return _unpack(best, keys, values, prefix)
 
 
