@@ -49,6 +49,12 @@ def alert_rows(spark, sf) -> DataFrame:
     return alerts(scored(spark, sf)).drop("triggered_at")
 
 
+def snapshot(spark, sf) -> DataFrame:
+    """The scored zone-days as a stored snapshot, for queries that read them
+    more than once."""
+    return stored(scored(spark, sf), "snapshot")
+
+
 def cells(spark, sf) -> DataFrame:
     return spread.alert_seeds(scored(spark, sf))
 

@@ -137,8 +137,9 @@ def j7(spark, sf):
 )
 def j9(spark, sf):
     """Which zones are on the alert list."""
-    hot = A.alerting_zones(X.alert_rows(spark, sf)).select("date", "zone_idx").withColumn("_a", F.lit(True))
-    return X.processed(spark, sf).join(hot, ["date", "zone_idx"], "left").select(
+    rows = X.snapshot(spark, sf)
+    hot = A.alerting_zones(A.alerts(rows)).select("date", "zone_idx").withColumn("_a", F.lit(True))
+    return rows.join(hot, ["date", "zone_idx"], "left").select(
         "date", "zone_idx", F.coalesce("_a", F.lit(False)).alias("alerting")
     )
 
@@ -308,7 +309,8 @@ def p19(spark, sf):
 )
 def p20(spark, sf):
     """Ignition of the zones named in the alert list."""
-    rows = spread.member_seeds(X.processed(spark, sf), A.alerting_zones(X.alert_rows(spark, sf)))
+    state_rows = X.snapshot(spark, sf)
+    rows = spread.member_seeds(state_rows, A.alerting_zones(A.alerts(state_rows)))
     return rows.select("date", "zone_idx", "ignition")
 
 
@@ -367,7 +369,7 @@ def a7(spark, sf):
 )
 def a17(spark, sf):
     """One-step ignition probability of each exposed cell."""
-    return X.rounded(spread.exposure(X.cells(spark, sf), X.REGION))
+    return X.rounded(spread.exposure(spread.alert_seeds(X.snapshot(spark, sf)), X.REGION))
 
 
 @query(
@@ -390,7 +392,7 @@ def x1(spark, sf):
 )
 def x2(spark, sf):
     """Exposure of cells next to active fires."""
-    return X.rounded(spread.exposure(spread.fire_seeds(X.processed(spark, sf)), X.REGION))
+    return X.rounded(spread.exposure(spread.fire_seeds(X.snapshot(spark, sf)), X.REGION))
 
 
 _STEP = """select c.date, 1 as step, 15 as minutes_elapsed, round(coalesce(e.s, 0e0), 4) as expected_new_burning,
@@ -402,7 +404,7 @@ _STEP = """select c.date, 1 as step, 15 as minutes_elapsed, round(coalesce(e.s,
 @query("x3_next_step", _STEP)
 def x3(spark, sf):
     """Counts after one spread step."""
-    return X.rounded(spread.projection(X.cells(spark, sf), X.REGION))
+    return X.rounded(spread.projection(spread.alert_seeds(X.snapshot(spark, sf)), X.REGION))
 
 
 # -- summary and serving -------------------------------------------------------
@@ -479,7 +481,7 @@ def v4(spark, sf):
 )
 def v6(spark, sf):
     """Header numbers and spread projection of each day."""
-    rows = X.scored(spark, sf)
+    rows = X.snapshot(spark, sf)
     projected = spread.projection(spread.alert_seeds(rows), X.REGION)
     return X.rounded(serving.run_summary(state.summary(rows), projected))
 

@@ -48,5 +48,8 @@ def exposure(
 def projection(
     cells: DataFrame, region: RegionSpec, spec: SpreadSpec = SpreadSpec(), by: Sequence[str] = ("date",)
 ) -> DataFrame:
-    """Per group: expected new fires, cells burning out, counts after the step."""
+    """Per group: expected new fires, cells burning out, counts after the step.
+
+    ``cells`` is read three times (counts, wind, neighbours): pass a stored snapshot.
+    """
     return N.next_step(cells, exposure(cells, region, spec, by), spec, by)
