@@ -218,7 +218,10 @@ def _tiles(points: DataFrame, spec: RegionSpec) -> DataFrame:
     side = 1 << (FAN_BITS * LEVELS)
 
     def index(value: str, lo: float, hi: float) -> Column:
-        return F.floor(clip((F.col(value) - lo) / (hi - lo), 0, 1 - 1e-12) * side).cast("int")
+        tile = F.floor(clip((F.col(value) - lo) / (hi - lo), 0, 1 - 1e-12) * side).cast("int")
+        # Never null here; saying so spares each level its own null filter, and
+        # the levels then share one exchange.
+        return F.coalesce(tile, F.lit(0))
 
     return points.withColumns(
         {
