@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -13,6 +16,20 @@ from pyspark.sql.types import StructType
 ROWS_AT_ONCE = 256
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once an application, as
+    ``--py-files`` does. The archive is made on the driver, which serves it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp()
+        context.addPyFile(shutil.make_archive(f"{folder}/emberline", "zip", root, "emberline"))
+        _shipped.add(context.applicationId)
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """Drops columns of these names, whatever their case, so new ones can take them."""
     taken = {n.lower() for n in names}
@@ -33,6 +50,7 @@ def with_text_columns(
     """
     if not isinstance(schema, StructType):
         schema = StructType.fromDDL(schema)
+    ship_package(df.sparkSession)
     kept = without(df, schema.names)
     if text not in kept.columns:
         raise ValueError(f"column {text} is read and can't be replaced")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, line_templates, quality_rules, sentencepieces
-from emberline.llm.reference_sql import CHATS, LEAKS, LINES
+from emberline.llm import chat, decontaminate, line_templates, near_dups, quality_rules, sentencepieces
+from emberline.llm.reference_sql import CHATS, LEAKS, LINES, NEAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op5(spark, sf):
     return chat.digest(chat.format_chats(turns.unionByName(planted)))
 
 
+@query("op6_minhash_near_dedup", NEAR)
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return near_dups.digest(near_dups.near_duplicates(docs))
+
+
 @query("op7_benchmark_decontamination", LEAKS)
 def op7(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

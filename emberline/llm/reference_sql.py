@@ -83,3 +83,24 @@ with split as (
 )
 select doc_id, n_lines, n_dropped, length(kept) as kept_chars, sha256(kept) as kept_sha256 from kept
 """
+
+# Pairs are counted on all common shingles; components by walking the links.
+NEAR = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+    select distinct doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as sh
+    from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)
+), reach(a, b) as (
+    select doc_id, doc_id from w
+    union select r.a, l.b from reach r join links l on l.a = r.b
+), c as (select a as doc_id, min(b) as component_id from reach group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from w left join n using (doc_id) join c using (doc_id)
+"""
