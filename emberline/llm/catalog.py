@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, line_templates, near_dups, quality_rules, sentencepieces
+from emberline.llm import chat, decontaminate, line_templates, near_dups, pii, quality_rules, rule_ensemble, sentence_spans, sentencepieces
 from emberline.llm.reference_sql import CHATS, LEAKS, LINES, NEAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return sentence_spans.digest(sentence_spans.substring_dedup(docs))
+
+
 @query("op2_sentencepiece")
 def op2(spark, sf):
     return sentencepieces.digest(table(spark, sf, "documents"))
@@ -40,6 +46,12 @@ def op3(spark, sf):
     return scored.select("doc_id", *quality_rules.BASE_COLUMNS, "kept", "probability")
 
 
+@query("op4_pii")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_pii(docs, pii.fit(docs)))
+
+
 @query("op5_chat_formatting", CHATS)
 def op5(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -64,6 +76,13 @@ def op7(spark, sf):
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, sf, "benchmark")))
 
 
+@query("op8_quality_classifier")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(docs, table(spark, sf, "labels"))
+    return rule_ensemble.digest(rule_ensemble.score(docs, model))
+
+
 @query("op9_line_dedup", LINES)
 def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
