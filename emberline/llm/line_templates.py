@@ -66,9 +66,11 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     mixed = variants.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     wanted = variants.join(mixed.select("leaf"), "leaf").select("leaf", "key", "documents", F.col("at._doc"), F.col("at.pos"))
     # The text of one line for each variant comes from its document.
+    # These and the marks below grow with the documents, so they are never broadcast.
     texts = (
         wanted.groupBy("_doc")
         .agg(F.collect_list(F.struct("pos", "leaf", "key", "documents")).alias("wanted"))
+        .hint("merge")
         .join(docs.select("text", F.xxhash64("doc_id", "text").alias("_doc")).where("text is not null"), "_doc")
         .withColumn("_lines", F.split("text", "\n"))
         .select("_lines", F.explode("wanted").alias("w"))
@@ -106,7 +108,7 @@ def line_dedup(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     but for n_lines and n_dropped, which are replaced.
     """
     docs = without(docs, ["n_lines", "n_dropped"])
-    dropped = recurring_lines(docs, spec).groupBy("_doc").agg(F.collect_set("pos").alias("_pos"))
+    dropped = recurring_lines(docs, spec).groupBy("_doc").agg(F.collect_set("pos").alias("_pos")).hint("merge")
     lines = F.split("text", "\n")
     left = F.filter(F.col("_lines"), lambda line, i: ~F.array_contains(F.col("_pos"), i))
     out = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(dropped, "_doc", "left").withColumn("_lines", lines)
