@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, line_templates, near_dups, pii, quality_rules, rule_ensemble, sentence_spans, sentencepieces
+from emberline.llm import chat, decontaminate, line_templates, near_dups, pii, quality_rules, rule_ensemble, sentence_spans, sentencepieces, suffixes
 from emberline.llm.reference_sql import CHATS, LEAKS, LINES, NEAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8(spark, sf):
 def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_templates.digest(line_templates.line_dedup(docs))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return suffixes.digest(suffixes.suffix_dedup(docs))
