@@ -227,22 +227,69 @@ def p1(spark, sf):
 
 @query(
     "p2_brightness",
-    """select event_id, bright_ti4 as fire_brightness from hotspots
-    union all select event_id, 290e0+value as fire_brightness from events where event_type='click'""",
+    """select latitude, longitude, acq_date, acq_time, bright_ti4 as fire_brightness from hotspots
+    union all select latitude, longitude, acq_date, acq_time, bright_ti4-7e0 as fire_brightness from hotspots where event_id%2=0""",
 )
 def p2(spark, sf):
-    """Detections of two sensors whose brightness columns differ."""
-    viirs = V.hotspots(spark, sf).select("event_id", "bright_ti4")
-    modis = V.table(spark, sf, "events").where("event_type = 'click'").selectExpr("event_id", "290e0 + value as brightness")
-    both = dedup.stitch([viirs, modis])
-    return both.select("event_id", scalar.brightness(both.columns).alias("fire_brightness"))
+    """Files of two sensors whose brightness columns differ, read with the schema of each."""
+    hot = V.hotspots(spark, sf)
+    newer, older = scratch_dir(spark, "newer_csv"), scratch_dir(spark, "older_csv")
+    W.write_table(hot.select(*FEED), newer, fmt="csv")
+    renamed = hot.where("event_id % 2 = 0").withColumn("brightness", F.col("bright_ti4") - 7)
+    W.write_table(renamed.select(*schemas.HOTSPOT_MODIS.names), older, fmt="csv")
+    both = dedup.stitch([R.read_hotspots(spark, newer), R.read_hotspots(spark, older, schema=schemas.HOTSPOT_MODIS)])
+    return both.select("latitude", "longitude", "acq_date", "acq_time", scalar.brightness(both.columns).alias("fire_brightness"))
 
 
-@query("p3_ingest_stamp", "select event_id, TIMESTAMP '2024-02-01 06:00:00' as fetched_at from hotspots")
+@query("p3_ingest_stamp", "select latitude, longitude, acq_date, acq_time, TIMESTAMP '2024-02-01 06:00:00' as fetched_at from hotspots")
 def p3(spark, sf):
-    """Detections stamped with an explicit fetch time."""
-    stamp = F.lit("2024-02-01 06:00:00").cast("timestamp_ntz")
-    return V.hotspots(spark, sf).select("event_id", stamp.alias("fetched_at"))
+    """Detections stamped with an explicit fetch time by the reader."""
+    path = scratch_dir(spark, "hotspots_csv")
+    W.write_table(V.hotspots(spark, sf).select(*FEED), path, fmt="csv")
+    rows = R.read_hotspots(spark, path, fetched_at=F.lit("2024-02-01 06:00:00").cast("timestamp_ntz"))
+    return rows.select("latitude", "longitude", "acq_date", "acq_time", "fetched_at")
+
+
+def _mixed_files(spark, sf):
+    """A folder with data files, data files with broken lines, and error answers."""
+    path = scratch_dir(spark, "mixed_csv")
+    hot = V.hotspots(spark, sf).select("event_id", *FEED)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FEED])
+    broken = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("broken,,"), F.col("event_id").cast("string"))).otherwise(line)
+    header = F.lit(",".join(FEED))
+    # One text file for each day: its header, then its lines.
+    body = F.array_join(F.array_sort(F.collect_list(broken)), "\n")
+    files = hot.groupBy("acq_date").agg(body.alias("body"))
+    failed = F.dayofmonth("acq_date") % 5 == 0
+    text = F.when(failed, F.concat(F.lit("Invalid MAP_KEY for "), F.col("acq_date").cast("string"))).otherwise(F.concat(header, F.lit("\n"), F.col("body")))
+    files.select(F.dayofmonth("acq_date").alias("day"), text.alias("value")).repartition("day").write.partitionBy("day").text(path)
+    return path + "/*"
+
+
+@query(
+    "src2_mixed_files",
+    """select latitude, longitude, acq_date, acq_time, frp from hotspots where event_id%7<>0 and day(acq_date)%5<>0""",
+)
+def src2_mixed(spark, sf):
+    """What is read from good files, files with broken lines and error answers."""
+    return R.read_hotspots(spark, _mixed_files(spark, sf)).select("latitude", "longitude", "acq_date", "acq_time", "frp")
+
+
+@query("src2_quarantined_files", "select day(acq_date) as day from hotspots where day(acq_date)%5=0 group by 1")
+def src2_files(spark, sf):
+    """Files that are error answers."""
+    bad = R.quarantined(spark, _mixed_files(spark, sf))
+    return bad.select(F.regexp_extract("file_path", "day=([0-9]+)", 1).cast("long").alias("day"))
+
+
+@query(
+    "src2_quarantined_rows",
+    """select day(acq_date) as day, concat('broken,,', event_id) as line from hotspots where event_id%7=0 and day(acq_date)%5<>0""",
+)
+def src2_rows(spark, sf):
+    """Lines of data files that can't be read."""
+    bad = R.quarantined_rows(spark, _mixed_files(spark, sf))
+    return bad.select(F.regexp_extract("file_path", "day=([0-9]+)", 1).cast("long").alias("day"), "line")
 
 
 @query("p5_wind_units", "select station_id, date, round(coalesce(wspd, 0e0)/3.6e0, 4) as wind_speed_ms from weather_daily")

@@ -8,13 +8,13 @@ from emberline.catalog import frames as X
 from emberline.catalog import views as V
 from emberline.catalog.registry import query
 from emberline.operators import alerts as A
-from emberline.plans import daily
+from emberline.operators.dedup import DETECTION_KEYS
+from emberline.plans import refresh, state
 from emberline.session import scratch_dir
+from emberline.spec import AlertSpec
 from emberline.sources.writers import write_table
 from emberline.streaming import detections as D
 
-KEYS = ["event_id"]
-
 
 def _landed(spark, sf, view):
     """Detections landed as Parquet files, read as a stream with event time."""
@@ -24,6 +24,28 @@ def _landed(spark, sf, view):
     return D.file_stream(spark, folder, hot.schema)
 
 
+def _landed_in_order(spark, sf, files=3):
+    """Detections as so many files, one after the other in time, each of which
+    is a micro-batch. A third of each file was in the one before."""
+    folder = scratch_dir(spark, "landed_in_order")
+    hot = X.detections(spark, sf).withColumn("acq_datetime", F.col("ts").cast("timestamp")).drop("ts")
+    day = F.dayofmonth("date")
+    for i in range(files):
+        low, high = 31 * i / files - (4 if i else 0), 31 * (i + 1) / files
+        part = hot.where((day > low) & (day <= high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return D.file_stream(spark, folder, hot.schema, max_files=1)
+
+
+def refreshed(spark, sf):
+    """The zone state that a refresh over several micro-batches stored."""
+    base, check = scratch_dir(spark, "refresh"), scratch_dir(spark, "refresh_check")
+    stream = _landed_in_order(spark, sf)
+    run = refresh.refresh_by_batches(V.weather_now(spark, sf), X.REGION, base, stream.schema, V.ndvi_obs(spark, sf))
+    D.run_refresh(stream, run, check)
+    return state.read_state(spark, f"{base}/zone_state")
+
+
 def _sink(spark, stream):
     out, check = scratch_dir(spark, "stream"), scratch_dir(spark, "stream_check")
     D.run_available(stream, out, check)
@@ -33,7 +55,7 @@ def _sink(spark, stream):
 @query("ts1_deduplicated_stream", "select event_id, date, round(frp, 4) as frp from hotspots")
 def ts1(spark, sf):
     """Detections of repeated polls, each once."""
-    stream = D.deduplicated(_landed(spark, sf, V.hotspots_repolled), KEYS)
+    stream = D.deduplicated(_landed(spark, sf, V.hotspots_repolled), DETECTION_KEYS)
     return _sink(spark, stream.select("event_id", "date", F.round("frp", 4).alias("frp")))
 
 
@@ -47,7 +69,7 @@ def ts1(spark, sf):
 )
 def ts2(spark, sf):
     """Closed quarter hours per zone: detections and radiative power."""
-    stream = D.deduplicated(_landed(spark, sf, V.hotspots_repolled), KEYS)
+    stream = D.deduplicated(_landed(spark, sf, V.hotspots_repolled), DETECTION_KEYS)
     rows = _sink(spark, D.zone_windows(stream, X.REGION))
     return X.rounded(rows).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
@@ -57,15 +79,17 @@ def ts2(spark, sf):
 @query("ts3_refresh_alerts", "select date, zone_idx, severity, reason from alert_rows")
 def ts3(spark, sf):
     """Micro-batches of detections refreshed against the latest weather into alerts."""
-    weather, observed = V.weather_now(spark, sf), V.ndvi_obs(spark, sf)
-
-    def refresh(batch):
-        hot = batch.withColumn("brightness", F.col("bright_ti4"))
-        rows = daily.scored(daily.processed(daily.unified(hot, weather, X.REGION), observed))
-        return {"alerts": A.alerts(rows)}
-
-    base, check = scratch_dir(spark, "refresh"), scratch_dir(spark, "refresh_check")
-    D.run_refresh(_landed(spark, sf, V.hotspots), refresh, base, check)
-    return spark.read.parquet(f"{base}/alerts").select("date", "zone_idx", "severity", "reason")
+    return A.alerts(refreshed(spark, sf)).select("date", "zone_idx", "severity", "reason")
 
 
+@query(
+    "ts4_current_state",
+    """select zone_idx, date, round(risk_score, 4) as risk_score, severity from (select *, row_number() over
+    (partition by zone_idx order by date desc) as rn from banded) b where rn=1""",
+)
+def ts4(spark, sf):
+    """Latest row of every zone in the table that the refresh keeps."""
+    history = refreshed(spark, sf).select(
+        "zone_idx", "date", "risk_score", A.severity("risk_score", AlertSpec()).alias("severity")
+    )
+    return X.rounded(state.current_state(history, order="date"))

@@ -68,11 +68,8 @@ def j4(spark, sf):
     return training.fire_labels(zones, V.hotspots(spark, sf), X.REGION)
 
 
-RANGES = [
-    ("early", "2024-01-01", "2024-01-03"),
-    ("middle", "2024-01-12", "2024-01-16"),
-    ("late", "2024-01-28", "2024-01-30"),
-]
+# Ten ranges of three days and the last day: short enough that stations have gaps, and all days are read.
+RANGES = [(f"from {day:02d}", f"2024-01-{day:02d}", f"2024-01-{min(day + 2, 31):02d}") for day in range(1, 32, 3)]
 _RANGES_SQL = "(values " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in RANGES) + ") r(season, s, e)"
 _HAV = """6371.0e0*2*asin(sqrt(sin(radians(s.latitude-p.plat)/2)*sin(radians(s.latitude-p.plat)/2)
   + cos(radians(p.plat))*cos(radians(s.latitude))*sin(radians(s.longitude-p.plon)/2)*sin(radians(s.longitude-p.plon)/2)))"""
@@ -484,16 +481,3 @@ def v6(spark, sf):
     rows = X.snapshot(spark, sf)
     projected = spread.projection(spread.alert_seeds(rows), X.REGION)
     return X.rounded(serving.run_summary(state.summary(rows), projected))
-
-
-@query(
-    "ts4_current_state",
-    """select zone_idx, date, round(risk_score, 4) as risk_score, severity from (select *, row_number() over
-    (partition by zone_idx order by date desc) as rn from banded) b where rn=1""",
-)
-def ts4(spark, sf):
-    """Latest row of every zone in a history of snapshots."""
-    history = X.scored(spark, sf).select(
-        "zone_idx", "date", "risk_score", A.severity("risk_score", ALERT).alias("severity")
-    )
-    return X.rounded(state.current_state(history, order="date"))

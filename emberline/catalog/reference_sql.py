@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from emberline.catalog.views import TEXT, duckdb_text
-from emberline.functions.spread import NEIGHBOURS
 
 STEPS: dict[str, str] = {name: duckdb_text(name) for name in TEXT}
 
@@ -68,7 +67,7 @@ select station_id, date, temp as wx_temperature_c, rhum as wx_humidity_pct, wspd
   prcp as wx_precipitation_mm, month(date) as mon from weather_daily"""
 
 
-def _case_month(values: list[str]) -> str:
+def _case_month(values: list[float]) -> str:
     return "case mon " + " ".join(f"when {i} then {v}e0" for i, v in enumerate(values, 1)) + " end"
 
 
@@ -81,8 +80,9 @@ def _clip(x: str, lo=None, hi=None) -> str:
 def _index_steps(src: str, out: str) -> None:
     """The five indices as a chain of steps ending in ``out``."""
     T, H, W, R = "wx_temperature_c", "wx_humidity_pct", "(wx_wind_speed_ms*3.6e0)", "wx_precipitation_mm"
-    le = _case_month("6.5 7.5 9.0 12.8 13.9 13.9 12.4 10.9 9.4 8.0 7.0 6.0".split())
-    lf = _case_month("-1.6 -1.6 -1.6 0.9 3.8 5.8 6.4 5.0 2.4 0.4 -1.6 -1.6".split())
+    # Day-length factors of the twelve months.
+    le = _case_month([6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0])
+    lf = _case_month([-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6])
     chain = [
         f"""select *, 147.2e0*(101-85e0)/(59.5e0+85e0) as m00, {R}-0.5e0 as wet,
   0.18e0*(21.1e0-{T})*(1-exp(-0.115e0*{H})) as heat,
@@ -179,7 +179,9 @@ select *, case when ndvi<0.15 then 3 when risk_score>=0.7 then 1 else 0 end as s
   case when ndvi<0 then 0e0 when ndvi>1 then 1e0 else ndvi end as fuel from scored"""
 STEPS["day_wind"] = """
 select date, avg(wx_wind_speed_ms) as mean_wind_ms, avg(wx_wind_deg) as mean_wind_deg from scored group by date"""
-STEPS["offsets"] = "select * from (values " + ", ".join(map(str, NEIGHBOURS)) + ") o(d_row, d_col, bearing)"
+# Row step, column step and bearing of the eight neighbours, written out here so that a wrong one in the library shows.
+STEPS["offsets"] = """select * from (values (-1, 0, 0), (-1, 1, 45), (0, 1, 90), (1, 1, 135), (1, 0, 180), (1, -1, 225),
+  (0, -1, 270), (-1, -1, 315)) o(d_row, d_col, bearing)"""
 STEPS["edges"] = """
 select c.date, c.zone_idx as from_zone, (c.row+d_row)*35+(c.col+d_col) as to_zone, bearing
 from cells c cross join offsets where c.state=1 and c.row+d_row between 0 and 39 and c.col+d_col between 0 and 34"""

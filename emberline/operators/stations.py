@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -68,12 +70,13 @@ def stations_near_lattice(
 def in_ranges(daily: DataFrame, ranges: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rows inside each (label, first day, last day) range, with the label as
     ``season``. The ranges are arguments of the call, so no join is needed; a
-    row in two overlapping ranges appears in both."""
-    labels = [
-        F.when(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(label))
-        for label, start, end in ranges
-    ]
-    return daily.withColumn("season", F.explode(F.array_compact(F.array(*labels))))
+    row in two overlapping ranges appears in both. The plain date ranges come
+    first, so that the scan can skip files and row groups."""
+    inside = [F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) for _, start, end in ranges]
+    if not ranges:
+        return daily.where(F.lit(False)).withColumn("season", F.lit(""))
+    labels = [F.when(test, F.lit(label)) for test, (label, _, _) in zip(inside, ranges)]
+    return daily.where(reduce(or_, inside)).withColumn("season", F.explode(F.array_compact(F.array(*labels))))
 
 
 def choose_stations(near: DataFrame, daily: DataFrame, ranges: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -22,12 +22,11 @@ HOTSPOT = _struct(
     "acq_date DATE, acq_time INT, satellite STRING, confidence STRING, version STRING, "
     "bright_t31 DOUBLE, frp DOUBLE, daynight STRING"
 )
-# The older sensor names its brightness columns differently; the rest agrees.
-HOTSPOT_MODIS = T.StructType(
-    [
-        T.StructField({"bright_ti4": "brightness"}.get(f.name, f.name), f.dataType)
-        for f in HOTSPOT
-    ]
+# The older sensor names its brightness differently.
+HOTSPOT_MODIS = _struct(
+    "latitude DOUBLE, longitude DOUBLE, brightness DOUBLE, scan DOUBLE, track DOUBLE, "
+    "acq_date DATE, acq_time INT, satellite STRING, confidence STRING, version STRING, "
+    "bright_t31 DOUBLE, frp DOUBLE, daynight STRING"
 )
 HOTSPOT_HIST = T.StructType(list(HOTSPOT) + [T.StructField("fire_season_year", T.IntegerType())])
 

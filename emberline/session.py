@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,12 +30,31 @@ def session(app: str = "emberline", master: str | None = None, **conf) -> SparkS
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path for one run inside the cluster's shared checkpoint folder.
+    """A new path for one run inside the cluster's shared checkpoint folder,
+    removed when the application ends.
 
-    Only when the session names none (tests, one machine) a local temporary
-    folder stands in for it.
+    On one machine, where the session may name none, the JVM's temporary folder
+    stands in for it. On a cluster that would lose rows without a word, so
+    there an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "emberline")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not single_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark._jvm.java.lang.System.getProperty('java.io.tmpdir')}/emberline"
+    own = f"{base.rstrip('/')}/emberline-{spark.sparkContext.applicationId}"
+    if own not in _made:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop_path)
+        files.deleteOnExit(hadoop_path)
+        _made.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+# Folders of applications that this process has made.
+_made: set[str] = set()
+
+
+def single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")

@@ -49,13 +49,19 @@ def _fields(schema: T.StructType) -> T.StructType:
 def payload_status(spark: SparkSession, path: str) -> DataFrame:
     """Per landed file: is it an error message instead of data?
 
-    A landed file is one answer of the feed, a few megabytes at most, so it can
-    be read whole; each is reduced at once to its name and a flag.
+    Judged by the first line: an error answer has its message there, a data
+    file its header. Lines are numbered in reading order within a task and the
+    first block of a file is read by one, so the smallest number is the first
+    line; a file of any size goes through one line at a time.
     """
-    files = spark.read.option("wholetext", True).text(path)
-    return files.select(
-        F.col("_metadata.file_path").alias("file_path"), is_error_payload("value").alias("rejected")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.substring("value", 1, 200).alias("value"),
+        F.monotonically_increasing_id().alias("n"),
     )
+    first = lines.where("start = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("value"))
+    return first.select("file_path", is_error_payload("value").alias("rejected"))
 
 
 def read_hotspots(
@@ -67,15 +73,10 @@ def read_hotspots(
 ) -> DataFrame:
     """Landed detection files as typed rows with fetch and acquisition time.
 
-    Files that carry an error message contribute nothing. The rejected names
-    are few; the anti-join lets the planner choose by their measured size.
+    Files that carry an error message contribute nothing (``quarantined`` names
+    them), nor do rows without a place (``quarantined_rows`` has them).
     """
-    raw = read_csv(spark, path, _fields(schema))
-    if path_exists(spark, path):
-        bad = payload_status(spark, path).where("rejected").select("file_path")
-        raw = raw.withColumn("file_path", F.col("_metadata.file_path")).join(bad, "file_path", "left_anti")
-        raw = raw.drop("file_path")
-    rows = raw.where(F.col(CORRUPT).isNull() | F.col("latitude").isNotNull()).drop(CORRUPT)
+    rows = _accepted(spark, path, schema).where(f"not {_BAD_ROW}").drop(CORRUPT, "file_path")
     if region is not None:
         rows = rows.where(in_box("latitude", "longitude", region))
     return rows.withColumns(
@@ -86,6 +87,25 @@ def read_hotspots(
     )
 
 
+# A line that did not fit the schema and left no place.
+_BAD_ROW = f"({CORRUPT} is not null and latitude is null)"
+
+
+def _accepted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of files that carry data, with ``file_path``. The rejected
+    names are few; the planner chooses the anti-join by their measured size."""
+    raw = read_csv(spark, path, _fields(schema))
+    if not path_exists(spark, path):
+        return raw.withColumn("file_path", F.lit(""))
+    bad = payload_status(spark, path).where("rejected").select("file_path")
+    return raw.withColumn("file_path", F.col("_metadata.file_path")).join(bad, "file_path", "left_anti")
+
+
+def quarantined_rows(spark: SparkSession, path: str, schema: T.StructType = schemas.HOTSPOT) -> DataFrame:
+    """(file_path, line) of the rows that ``read_hotspots`` refuses."""
+    return _accepted(spark, path, schema).where(_BAD_ROW).select("file_path", F.col(CORRUPT).alias("line"))
+
+
 def quarantined(spark: SparkSession, path: str) -> DataFrame:
     """Names of landed files that were refused."""
     return payload_status(spark, path).where("rejected")

@@ -10,8 +10,7 @@ from dataclasses import dataclass, field
 class RegionSpec:
     """A latitude/longitude box cut into square cells."""
 
-    # The study region and its two grid steps, in degrees.
-    name: str = "Karnataka / Western Ghats"
+    # The study region's box and its two grid steps, in degrees.
     min_lat: float = 11.5
     max_lat: float = 15.5
     min_lon: float = 74.0

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from emberline.functions.scalar import acquisition_time
 from emberline.operators.nearest import zones_within
 from emberline.spec import RegionSpec
 
@@ -35,10 +34,6 @@ def file_stream(
     return reader.load(path)
 
 
-def with_acquisition_time(stream: DataFrame) -> DataFrame:
-    return stream.withColumn("acq_datetime", acquisition_time("acq_date", "acq_time"))
-
-
 def deduplicated(
     stream: DataFrame, keys: Sequence[str], event_time: str = "acq_datetime", lateness: str = LATENESS
 ) -> DataFrame:
@@ -76,46 +71,40 @@ def zone_windows(
 
 
 def run_available(
-    stream: DataFrame, path: str, checkpoint: str, timeout_s: int = 600, mode: str = "append"
+    stream: DataFrame, path: str, checkpoint: str, timeout_s: int | None = None, mode: str = "append"
 ) -> None:
-    """Processes what is there into Parquet and stops."""
+    """Processes what is there into Parquet and stops. Without ``timeout_s``
+    it takes as long as it takes."""
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     query = writer.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
     _finish(query, timeout_s)
 
 
-def _finish(query, timeout_s: int) -> None:
-    done = query.awaitTermination(timeout_s)
-    if not done:
+def _finish(query, timeout_s: int | None) -> None:
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout_s} s")
 
 
 def refresh_batches(
     stream: DataFrame,
-    refresh: Callable[[DataFrame], dict[str, DataFrame]],
-    base: str,
+    refresh: Callable[[DataFrame, int], None],
     checkpoint: str,
     trigger: dict | None = None,
 ):
-    """Runs ``refresh`` on each micro-batch and stores the tables it returns.
-
-    Each table goes to ``<base>/<name>/batch_id=<n>``, overwritten if the batch
-    is replayed after a failure, so every batch counts exactly once.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        for name, table in refresh(batch).items():
-            table.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
-
+    """Runs ``refresh`` on each micro-batch and its number. A batch may be
+    replayed after a failure, so ``refresh`` has to replace what it wrote
+    (see ``plans.refresh``)."""
     return (
-        stream.writeStream.foreachBatch(store)
+        stream.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": INTERVAL}))
         .start()
     )
 
 
-def run_refresh(stream: DataFrame, refresh, base: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_refresh(stream: DataFrame, refresh, checkpoint: str, timeout_s: int | None = None) -> None:
     """``refresh_batches`` over what is there, then stop."""
-    _finish(refresh_batches(stream, refresh, base, checkpoint, {"availableNow": True}), timeout_s)
+    _finish(refresh_batches(stream, refresh, checkpoint, {"availableNow": True}), timeout_s)
