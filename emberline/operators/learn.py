@@ -135,34 +135,44 @@ def split_rows(
 ) -> DataFrame:
     """Adds ``split`` (train or test), stable for a key whatever the partitioning.
 
-    By default a hash threshold: no exchange, class shares equal in
-    expectation. With ``label`` the shares are exact per class: rows are
-    ranked by hash inside hash buckets, and the count of the buckets before
-    gives each its offset, so a class that holds nearly every row is ranked by
-    many tasks.
+    By default a threshold on the first eight hex digits of an md5: no
+    exchange, class shares equal in expectation. With ``label`` the shares are
+    exact per class. The bucket in which the wanted count falls follows from
+    counts alone, first over the high and then over the low hash bits; rows of
+    other buckets are decided by comparison, and only those of that last
+    bucket, 1 in 2^24 rows, are ranked. Rows are read several times then: pass
+    a stored table.
     """
-    h = F.xxhash64(*keys, F.lit(seed))
     if label is None:
-        part = F.pmod(h, F.lit(10_000)) < int(share * 10_000)
+        text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+        number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        part = F.pmod(number, F.lit(10_000)) < int(share * 10_000)
         return df.withColumn("split", F.when(part, "train").otherwise("test"))
-    buckets = 4096
-    hashed = df.withColumns({"_h": h, "_bucket": F.pmod(h, F.lit(buckets)).cast("int")})
-    sizes = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(label)
-    # At most 4096 rows per class.
-    sizes = sizes.select(
-        F.col(label).alias("_label"),
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    inside = Window.partitionBy(label, "_bucket").orderBy("_h", *keys)
-    placed = hashed.withColumn("_i", F.row_number().over(inside)).join(
-        sizes, (F.col(label) == F.col("_label")) & (F.col("_bucket") == F.col("_b"))
-    )
-    part = F.col("_offset") + F.col("_i") <= F.round(F.col("_total") * share)
-    return placed.withColumn("split", F.when(part, "train").otherwise("test")).select(*df.columns, "split")
+    h = F.xxhash64(*keys, F.lit(seed))
+    hashed = df.withColumns({"_h": h, "_high": F.shiftrightunsigned(h, 52), "_low": F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(0xFFF))})
+    totals = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).select(label, F.round(F.col("_n") * share).cast("long").alias("_want"))
+
+    def boundary(rows: DataFrame, bucket: str, wants: DataFrame) -> DataFrame:
+        """Per class the bucket that holds the last wanted row, and how many
+        rows of it are wanted; at most 4096 buckets a class are ordered."""
+        sizes = rows.groupBy(label, bucket).agg(F.count(F.lit(1)).alias("_n")).join(wants, label)
+        before = F.sum("_n").over(Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+        sizes = sizes.withColumn("_before", before)
+        held = sizes.where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want")))
+        return held.select(label, F.col(bucket).alias(f"{bucket}_at"), (F.col("_want") - F.col("_before")).alias("_want"))
+
+    high = boundary(hashed, "_high", totals)
+    inside = hashed.join(high.drop("_want"), label).where("_high = _high_at").drop("_high_at")
+    low = boundary(inside, "_low", high.select(label, "_want"))
+    marks = high.drop("_want").join(low.withColumnRenamed("_want", "_left"), label)
+    placed = hashed.join(marks, label, "left")
+    order = F.struct("_high", "_low")
+    at = F.struct(F.col("_high_at").alias("_high"), F.col("_low_at").alias("_low"))
+    sure = placed.withColumn("split", F.when(order < at, "train").when((order > at) | at["_high"].isNull(), "test"))
+    ranked = Window.partitionBy(label).orderBy("_h", *keys)
+    edge = sure.where("split is null").withColumn("_i", F.row_number().over(ranked))
+    edge = edge.withColumn("split", F.when(F.col("_i") <= F.col("_left"), "train").otherwise("test"))
+    return sure.where("split is not null").select(*df.columns, "split").union(edge.select(*df.columns, "split"))
 
 
 def evaluated(scored: DataFrame, name: str, label: str) -> DataFrame:
@@ -187,9 +197,9 @@ def fit_and_compare(
 ) -> DataFrame:
     """Fits every model, scores the test side and returns the rounded table.
 
-    The network joins only if both sides have enough windows. ``keep`` receives
-    each fitted model, to save it. All inputs are read many times: pass stored
-    tables.
+    Too few windows for the network are an error, not a shorter table. ``keep``
+    receives each fitted model, to save it. All inputs are read many times:
+    pass stored tables.
     """
     rows = []
     for spec in specs:
@@ -198,11 +208,12 @@ def fit_and_compare(
             keep(spec.name, model)
         rows.append(evaluated(score(test, model), spec.name, label))
     if sequence is not None and train_windows is not None and test_windows is not None:
-        if enough(train_windows, sequence.min_train) and enough(test_windows, sequence.min_test):
-            model = fit_sequences(train_windows, sequence, n_inputs)
-            if keep:
-                keep(sequence.name, model)
-            rows.append(evaluated(score(test_windows, model), sequence.name, "label"))
+        if not (enough(train_windows, sequence.min_train) and enough(test_windows, sequence.min_test)):
+            raise ValueError(f"{sequence.name} needs {sequence.min_train} windows to train and {sequence.min_test} to test")
+        model = fit_sequences(train_windows, sequence, n_inputs)
+        if keep:
+            keep(sequence.name, model)
+        rows.append(evaluated(score(test_windows, model), sequence.name, "label"))
     return metrics.comparison(reduce(DataFrame.unionByName, rows))
 
 
