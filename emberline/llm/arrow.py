@@ -41,12 +41,13 @@ def with_text_columns(
     schema: str | StructType,
     setup: Callable[[], Callable[[str | None], tuple]],
     text: str = "text",
+    read: Callable[[pa.Scalar], object] = lambda value: value.as_py(),
 ) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, computed from ``text``.
 
     ``setup`` runs once a task and returns the function of one text; that
     function gets None for null and returns one value for each new column.
-    Columns of the same name are replaced. Nothing is shuffled.
+    ``read`` makes a Python value of an Arrow one. Columns of the same name are replaced. Nothing is shuffled.
     """
     if not isinstance(schema, StructType):
         schema = StructType.fromDDL(schema)
@@ -62,7 +63,7 @@ def with_text_columns(
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(start, ROWS_AT_ONCE)
-                rows = [of(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+                rows = [of(read(t)) for t in batch.column(batch.schema.get_field_index(text))]
                 columns = [*batch.columns, *[pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)]]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[n for n, _ in kinds]])
 

@@ -15,6 +15,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from emberline.llm.arrow import with_text_columns
 
 SPACE = "▁"
-#: Pieces of the search: a run of spaces with what follows, or one line end.
-#: No piece reaches over the border of two such parts (see ``Pieces``).
-PART = re.compile(" *[^ \n]+|\n| +")
+#: A run of spaces with what follows. No piece reaches over the border of two
+#: such parts, nor over a line end (see ``Pieces``).
+PART = re.compile(" *[^ ]+| +")
 
 
 @dataclass(frozen=True)
@@ -58,17 +60,24 @@ class Pieces:
             raise ValueError("a piece reaches over a space or line end")
         self.longest = max(map(len, self.ids))
         self.of_byte = {i: b for b, i in self.bytes.items()}
-        #: Ids of recent parts, and of those before them: what is in use stays.
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.line_end = self.bytes[10]
+        #: Ids of recent words, after a space and not, and of those before them: what is in use stays.
+        self.recent: tuple[dict, dict] = ({}, {})
+        self.older: tuple[dict, dict] = ({}, {})
+        self.pairs: dict[int, bool] = {}
         #: Ranks by score (0 merges first). Pieces of spaces only share one score, so they have none.
         order = sorted((p for p in self.ids if len(p) > 1 and p.strip(" ")), key=lambda p: -self.scores[p])
         self.ranks = {p: n for n, p in enumerate(order)}
         self.halves: dict[str, tuple[str, str]] = {}
-        #: Pieces that merging can reach, and all ends of pieces.
-        self.stands = {p for p in self.ids if self.merged(p) == [p]}
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        #: Ends of pieces, with the id of those that are a piece that merging can reach.
+        self.ends: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))}
+        self.ends |= {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
+        self.size = len(self.names)
+        self.widths = [len(n) for n in self.names]
+        self.raw = [n.replace(SPACE, " ").encode() for n in self.names]
+        for i, b in self.of_byte.items():
+            self.raw[i] = bytes([b])
+        self.is_byte = np.isin(np.arange(self.size), list(self.of_byte))
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-scored pair first, the
@@ -112,49 +121,60 @@ class Pieces:
             else:
                 limit, right = b + 1, self._halves(right)[0]
 
-    def _follows(self, left: str, right: str) -> bool:
+    def _follows(self, left: int, right: int) -> bool:
         """Whether merging keeps the two apart; remembered in ``pairs``."""
         if len(self.pairs) >= self.spec.remembered:
             self.pairs.clear()
-        ranked = (len(left) == 1 or left in self.ranks) and (len(right) == 1 or right in self.ranks)
-        if ranked and not (left == " " and right[0] == " "):
-            found = self._apart(left, right)
+        a, b = (self.names[i].replace(SPACE, " ") for i in (left, right))
+        if all(len(p) == 1 or p in self.ranks for p in (a, b)) and not (a == " " and b[0] == " "):
+            found = self._apart(a, b)
         else:
-            found = self.merged(left + right) == [left, right]
-        self.pairs[left, right] = found
+            found = self.merged(a + b) == [a, b]
+        self.pairs[left * self.size + right] = found
         return found
 
-    def search(self, text: str) -> Iterator[list[str]]:
-        """Pieces of the best path, committed while the text is read."""
-        stands, tails, pairs, longest = self.stands, self.tails, self.pairs, self.longest
-        last: dict[int, str] = {}  # boundary: the piece that ends there
+    def search(self, text: str) -> Iterator[list[int]]:
+        """Ids on the best path, committed while the text is read."""
+        ends, pairs, longest, size, widths = self.ends, self.pairs, self.longest, self.size, self.widths
+        last: dict[int, int] = {}  # boundary: the piece that ends there
         done, check, n = 0, self.spec.commit_every, len(text)
         for end in range(1, n + 1):
-            for start in range(end - 1, max(done, end - longest) - 1, -1):
-                piece = text[start:end]
-                if piece in stands or start == end - 1:
-                    if not start:
+            start = end - 1
+            low = max(done, end - longest)
+            while start >= low:
+                piece = ends.get(text[start:end])
+                if piece is None:
+                    # Nothing longer is a piece either; unknown characters stand alone.
+                    if start == end - 1:
+                        last[end] = -1
+                    break
+                if piece >= 0:
+                    if not start or (left := last[start]) < 0:
                         last[end] = piece
                         break
-                    follows = pairs.get((last[start], piece))
+                    follows = pairs.get(left * size + piece)
                     if follows is None:
-                        follows = self._follows(last[start], piece)
+                        follows = self._follows(left, piece)
                     if follows:
                         last[end] = piece
                         break
-                if piece not in tails:
-                    break
+                start -= 1
             if end == check or end == n:
                 check = end + self.spec.commit_every
                 meet = end if end == n else self._meeting(last, done, end)
                 if meet > done:
                     path, at = [], meet
                     while at > done:
-                        path.append(last[at])
-                        at -= len(last[at])
+                        piece = last[at]
+                        at -= 1 if piece < 0 else widths[piece]
+                        if piece < 0:
+                            path += [self.bytes[b] for b in reversed(text[at].encode("utf-8", "surrogatepass"))]
+                        else:
+                            path.append(piece)
                     path.reverse()
                     yield path
-                    last = {b: p for b, p in last.items() if b >= meet}
+                    if end < n:
+                        last = {b: p for b, p in last.items() if b >= meet}
                     done = meet
 
     def _meeting(self, last: dict[int, str], done: int, end: int) -> int:
@@ -163,18 +183,20 @@ class Pieces:
         while len(alive) > 1:
             far = max(alive)
             alive.discard(far)
-            alive.add(far - len(last[far]))
+            alive.add(far - (1 if last[far] < 0 else self.widths[last[far]]))
         return alive.pop() if alive else done
 
-    def _ids(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for pieces in self.search(text):
-            for piece in pieces:
-                if piece in self.ids:
-                    out.append(self.ids[piece])
-                else:  # one unknown character
-                    out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return tuple(out)
+    def _word(self, word: str, bare: bool) -> tuple[int, ...]:
+        """Ids of a word that is not among the recent ones."""
+        ids = self.older[bare].get(word)
+        if ids is None:
+            text = word if bare else " " + word
+            ids = tuple(i for path in self.search(text) for i in path)
+        if len(word) <= self.spec.remember_up_to:
+            if len(self.recent[0]) + len(self.recent[1]) >= self.spec.remembered:
+                self.older, self.recent = self.recent, ({}, {})
+            self.recent[bare][word] = ids
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null and empty texts.
@@ -185,27 +207,26 @@ class Pieces:
         if not text:
             return []
         out: list[int] = []
-        for part in PART.findall(" " + text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.older.get(part) or self._ids(part)
-                if len(part) <= self.spec.remember_up_to:
-                    if len(self.parts) >= self.spec.remembered:
-                        self.parts, self.older = {}, self.parts
-                    self.parts[part] = ids
-            out += ids
+        bare = False  # the first line has a space put before it
+        for line in text.split("\n"):
+            if bare:
+                out.append(self.line_end)
+            words = line.split(" ")
+            if "" in words:
+                for part in PART.findall(line if bare else " " + line):
+                    out += self._word(part, True)
+            else:
+                for word in words:
+                    ids = self.recent[bare].get(word)
+                    out += self._word(word, bare) if ids is None else ids
+                    bare = False
+            bare = True
         return out
 
-    def decode(self, ids: list[int] | None) -> str:
+    def decode(self, ids) -> str:
         """The text of ids; the space that encoding put first is taken off."""
-        raw = bytearray()
-        for i in ids or ():
-            b = self.of_byte.get(i)
-            if b is None:
-                raw += self.names[i].replace(SPACE, " ").encode()
-            else:
-                raw.append(b)
-        text = raw.decode("utf-8", "surrogatepass")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -237,8 +258,8 @@ def encode(docs: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
         pieces = load()
 
         def of(text):
-            ids = pieces.encode(text)
-            return ids, len(ids), sum(i in pieces.of_byte for i in ids)
+            ids = np.array(pieces.encode(text), np.int32)
+            return ids, len(ids), int(pieces.is_byte[ids].sum())
 
         return of
 
@@ -253,7 +274,10 @@ def decode(encoded: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
         pieces = load()
         return lambda ids: (pieces.decode(ids),)
 
-    return with_text_columns(encoded, "decoded string", setup, text="ids")
+    def numbers(ids: pa.ListScalar) -> list[int]:
+        return ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
+
+    return with_text_columns(encoded, "decoded string", setup, text="ids", read=numbers)
 
 
 def digest(docs: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
