@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.plans.refresh import refresh_by_batches
 from emberline.spec import RegionSpec
 from emberline.streaming import detections as D
 
@@ -49,13 +50,52 @@ def test_windows_equal_batch_over_closed_intervals(spark, landed, tmp_path):
     assert got == {tuple(r) for r in closed.collect()} and got
 
 
-def test_refresh_writes_each_batch_once(spark, landed, tmp_path):
-    base, check = str(tmp_path / "base"), str(tmp_path / "check")
+FEED = "event_id LONG, date DATE, latitude DOUBLE, longitude DOUBLE, acq_date DATE, acq_time INT, frp DOUBLE, confidence STRING, brightness DOUBLE"
+WEATHER = (
+    "station_id LONG, date DATE, latitude DOUBLE, longitude DOUBLE, temperature_c DOUBLE, humidity_pct DOUBLE, "
+    "wind_speed_ms DOUBLE, wind_deg DOUBLE, precipitation_mm DOUBLE, clouds_pct DOUBLE"
+)
 
-    def refresh(batch):
-        return {"counts": batch.agg(F.count(F.lit(1)).alias("n"))}
 
-    D.run_refresh(stream(spark, landed), refresh, base, check)
-    first = sorted(r.n for r in spark.read.parquet(f"{base}/counts").collect())
-    D.run_refresh(stream(spark, landed), refresh, base, check)
-    assert sorted(r.n for r in spark.read.parquet(f"{base}/counts").collect()) == first == [1, 20, 30, 30]
+def detection(n, day):
+    date = dt.date(2024, 1, day)
+    return (n, date, 11.55 + n * 0.1, 74.05, date, 100 * n, 5.0 + n, "n", 310.0)
+
+
+@pytest.fixture
+def weather(spark):
+    rows = [(1, dt.date(2024, 1, d), 11.6, 74.1, 30.0 + d, 30.0, 5.0, 90.0, 0.0, 10.0) for d in (1, 2, 3)]
+    return spark.createDataFrame(rows, WEATHER)
+
+
+def state_rows(spark, base):
+    rows = spark.read.parquet(f"{base}/zone_state").select("date", "zone_idx", "active_fire_nearby", "fire_frp", "risk_score")
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_refresh_keeps_each_zone_day_once(spark, weather, tmp_path):
+    region = RegionSpec(min_lat=11.5, max_lat=12.5, min_lon=74.0, max_lon=74.5)
+    batches = [[detection(0, 1), detection(1, 2)], [detection(2, 1), detection(0, 1)], [detection(3, 2)]]
+    frames = [spark.createDataFrame(b, FEED) for b in batches]
+    step, whole = str(tmp_path / "step"), str(tmp_path / "whole")
+    run = refresh_by_batches(weather, region, step, frames[0].schema)
+    for n, batch in enumerate(frames):
+        run(batch, n)
+    once = state_rows(spark, step)
+    run(frames[1], 1)  # a replay
+    assert state_rows(spark, step) == once
+    everything = spark.createDataFrame(sorted({r for b in batches for r in b}), FEED)
+    refresh_by_batches(weather, region, whole, everything.schema)(everything, 0)
+    assert once == state_rows(spark, whole)
+    assert len(once) == 3 * region.n_zones and sum(r[2] for r in once) > 0
+
+
+def test_refresh_runs_on_a_stream(spark, weather, tmp_path):
+    region = RegionSpec(min_lat=11.5, max_lat=12.5, min_lon=74.0, max_lon=74.5)
+    folder, base = str(tmp_path / "landed"), str(tmp_path / "base")
+    for day in (1, 2):
+        spark.createDataFrame([detection(day, day)], FEED).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], FEED).schema
+    run = refresh_by_batches(weather, region, base, schema)
+    D.run_refresh(D.file_stream(spark, folder, schema, max_files=1), run, str(tmp_path / "check"))
+    assert len(state_rows(spark, base)) == 3 * region.n_zones

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from emberline import schemas
 from emberline.operators import dedup, features, learn, metrics, sequences
+from emberline.operators.stations import in_ranges
 from emberline.plans import serving, training
+from emberline.session import scratch_dir, single_machine
 from emberline.sources import readers, writers
 from emberline.spec import RegionSpec, SeasonSpec
 
@@ -182,3 +184,41 @@ def test_sinks_round_trip(spark, tmp_path):
     data = json.loads((tmp_path / "meta" / files[0]).read_text())
     assert data["train_rows"] == 2 and data["test_date_range"] == ["2024-01-03", "2024-01-03"]
     assert data["feature_columns"] == ["x"]
+
+
+def test_scratch_on_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session(), "x")
+    assert single_machine("local[4]") and not single_machine("local-cluster[2,1,1024]")
+
+
+def test_range_dates_reach_the_scan(spark, tmp_path):
+    days = spark.sql("select 1L as station_id, explode(sequence(date'2024-01-01', date'2024-01-30')) as date, 2.0D as temp")
+    days.write.parquet(str(tmp_path / "days"))
+    rows = in_ranges(spark.read.parquet(str(tmp_path / "days")), [("a", "2024-01-02", "2024-01-04"), ("b", "2024-01-04", "2024-01-05")])
+    assert rows.groupBy("season").count().collect() and rows.count() == 5
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+
+
+def test_rows_without_a_place_are_quarantined(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    names = ",".join(schemas.HOTSPOT.names)
+    good = "12.0,75.0,310.5,0.4,0.4,2024-01-05,630,N,n,2.0NRT,290.1,7.5,D"
+    (folder / "a.csv").write_text(f"{names}\n{good}\nbroken,line\n")
+    (folder / "b.csv").write_text("Invalid MAP_KEY.\n")
+    path = str(folder)
+    assert readers.read_hotspots(spark, path).count() == 1
+    bad = readers.quarantined_rows(spark, path).collect()
+    assert [r.line for r in bad] == ["broken,line"] and bad[0].file_path.endswith("a.csv")
