@@ -8,9 +8,11 @@ estimate can't rule out is compared on full shingle sets.
 
 Copies are one node from the start. Buckets are not expanded into pairs: first
 every member is compared with one pivot; a bucket whose members are then still
-in different groups gets another pivot, and in the end its members outside its
-largest group are compared with all the others. Pairs inside one group add
-nothing and are never made, so no group is lost and none is squared.
+in different groups gets another pivot. What is still open after that is mostly
+not similar, but shares passages. There, members outside the bucket's largest
+group are held against all others: in large buckets block by block, first on
+packed signatures and then on full sets, so that only links become rows. Pairs
+inside one group are never made, and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ _LOW = 0x1111111111111111
 @dataclass(frozen=True)
 class NearSpec:
     """A pair at the threshold is in no common band once in 200,000 cases;
-    ``slack`` is five standard errors of the estimate."""
+    ``slack`` is five standard errors of the estimate. ``small``: members of a
+    bucket whose pairs are rows; ``block``: members of a block of a larger one."""
 
     words: int = 5
     similar: tuple[int, int] = (75, 100)
@@ -42,6 +45,8 @@ class NearSpec:
     rows: int = 4
     slack: float = 0.2
     pivots: int = 2
+    small: int = 32
+    block: int = 64
 
     @property
     def minima(self) -> int:
@@ -173,8 +178,9 @@ def _buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
     """Each member with its bucket's pivot, unless both are in one group. The
-    first pivot is the smallest node, the next ones are drawn by hash."""
-    drawn = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+    first pivot is the smallest node, which a group's buckets share; then each
+    bucket draws its own by hash, so that a member meets many of them."""
+    drawn = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "band", "node")
     order = F.struct(drawn.alias("drawn"), "node", "component")
     pivots = open_.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.node", "p.component")
     pivots = pivots.toDF("band", "pivot", "group")
@@ -193,6 +199,71 @@ def _other_pairs(open_: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
+def _sized(open_: DataFrame, spec: NearSpec) -> tuple[DataFrame, DataFrame]:
+    """The open buckets of few members, and those of more."""
+    sizes = open_.groupBy("band").agg((F.count(F.lit(1)) <= spec.small).alias("few"))
+    sized = open_.join(sizes, "band")
+    return sized.where("few").drop("few"), sized.where("not few").drop("few")
+
+
+def _block_links(large: DataFrame, nodes: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
+    """Links between different groups of large buckets. Blocks hold a bounded
+    number of members; a row is a pair of blocks. A pair that shares several
+    bands is compared in the first of them."""
+    ship_package(large.sparkSession)
+    sizes = large.groupBy("band", "component").count()
+    whole = sizes.groupBy("band").agg(F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("m"))
+    whole = whole.select("band", "size", F.col("m.component").alias("largest"))
+    placed = large.join(whole, "band").join(nodes.select("node", "packed", "bands"), "node").join(texts, "node")
+    number = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / spec.block).cast("long"))
+    member = F.struct("node", "component", "packed", "bands", "text")
+    blocks = placed.withColumn("outside", F.col("component") != F.col("largest")).groupBy("band", number.alias("block"), "outside").agg(
+        F.collect_list(member).alias("members")
+    )
+    blocks = stored(blocks, "blocks")
+    left = blocks.where("outside").select("band", F.col("block").alias("x"), F.col("members").alias("left"))
+    right = blocks.select("band", F.col("block").alias("y"), "outside", F.col("members").alias("right"))
+    pairs = left.join(right, "band").where("not outside or x <= y").select("band", "left", "right")
+    low, high = spec.similar
+    share = low / high - spec.slack
+    least = int(np.ceil((share * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)) * spec.minima))
+
+    class Block:
+        def __init__(self, rows):
+            self.node, self.component = rows.field("node").to_numpy(), rows.field("component").to_numpy()
+            self.packed = rows.field("packed").flatten().to_numpy().view(np.uint64).reshape(len(self.node), -1)
+            self.bands = rows.field("bands").flatten().to_numpy().reshape(len(self.node), -1)
+            self.texts, self.sets = rows.field("text"), {}
+
+        def found(self, i):
+            if i not in self.sets:
+                self.sets[i] = shingles(self.texts[i].as_py(), spec.words)
+            return self.sets[i]
+
+    def links(a: Block, b: Block, band: int):
+        x = a.packed[:, None, :] ^ b.packed[None, :, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        unequal = np.bitwise_count(x & np.uint64(_LOW)).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero((spec.minima - unequal >= least) & (a.component[:, None] != b.component[None, :]))
+        same = a.bands[i] == b.bands[j]
+        first = a.bands[i, same.argmax(axis=1)] == band
+        for m, n in zip(i[first].tolist(), j[first].tolist()):
+            one, two = a.found(m), b.found(n)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if both and high * both >= low * (len(one) + len(two) - both):
+                yield sorted((int(a.node[m]), int(b.node[n])))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                pair = list(links(Block(row.column("left")[0].values), Block(row.column("right")[0].values), row.column("band")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pair], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """The rows of ``docs`` with ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -224,16 +295,22 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
 
     links, tried, labels = None, None, None
     for turn in range(spec.pivots + 1):
-        open_ = _buckets(shared, labels)
-        pairs = _pivot_pairs(open_, turn) if turn < spec.pivots else _other_pairs(open_)
+        open_ = stored(_buckets(shared, labels), "open_buckets")
+        if open_.isEmpty():
+            break
+        more = None
+        if turn < spec.pivots:
+            pairs = _pivot_pairs(open_, turn)
+        else:
+            few, many = _sized(open_, spec)
+            pairs = _other_pairs(few)
+            more = stored(_block_links(many, nodes, texts, spec), "links")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.union(pairs)
         found = stored(_confirmed(pairs, texts, nodes, spec), "links")
-        links = found if links is None else links.union(found)
+        links = reduce(DataFrame.union, [x for x in (links, found, more) if x is not None])
         labels = components(links)
     edges = copies if links is None else copies.union(links)
     whole = components(edges)
