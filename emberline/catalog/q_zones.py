@@ -436,7 +436,8 @@ def p25(spark, sf):
     "v1_header_metrics",
     """select date, total_zones, total_alerts, n_extreme, n_high, round(max_risk_score, 4) as max_risk_score,
     case when max_risk_score>0.7 then 'danger' when max_risk_score>0.4 then 'warn' else 'ok' end as peak_class,
-    case when total_alerts>0 then 'warn' else 'ok' end as alerts_class from day_summary""",
+    case when total_alerts>0 then 'warn' else 'ok' end as alerts_class, case when n_extreme>0 then 'danger' else 'ok' end as extreme_class,
+    case when n_high>0 then 'warn' else 'ok' end as high_class from day_summary""",
 )
 def v1(spark, sf):
     return X.rounded(serving.header_metrics(X.summary(spark, sf)))
@@ -454,11 +455,13 @@ def v2(spark, sf):
 
 @query(
     "v3_alert_list",
-    f"""select *, (select greatest(count(*)-20, 0) from alert_rows) as more_alerts from (select {_ALERT_COLUMNS} from alert_rows) a
+    f"""select *, (select greatest(count(*)-20, 0) from latest_alerts) as more_alerts from (select {_ALERT_COLUMNS} from latest_alerts) a
     order by risk_score desc, date, zone_idx limit 20""",
 )
 def v3(spark, sf):
-    return serving.alert_list(X.rounded(X.alert_rows(spark, sf)))
+    """The first alerts of the newest snapshot."""
+    rows = serving.latest(X.snapshot(spark, sf))
+    return serving.alert_list(X.rounded(A.alerts(rows).drop("triggered_at")))
 
 
 @query(
@@ -473,11 +476,15 @@ def v4(spark, sf):
 
 @query(
     "v6_run_summary",
-    f"""select {_SUMMARY.replace("date,", "s.date,", 1)}, x.minutes_elapsed, x.expected_new_burning, x.n_burning_out, x.n_burned_after
-    from day_summary s left join ({_STEP}) x on x.date=s.date""",
+    f"""select {_SUMMARY.replace("date,", "s.date,", 1)}, x.minutes_elapsed, x.expected_new_burning, x.n_burning_out, x.n_burned_after, coalesce(a.top_alerts, '') as top_alerts
+    from day_summary s left join ({_STEP}) x on x.date=s.date
+    left join (select date, string_agg(concat(severity, ' ', zone_id, ' ', reason), ' / ' order by n) as top_alerts
+      from (select *, row_number() over (partition by date order by risk_score desc, zone_idx) as n from alert_rows) r where n<=10 group by 1) a
+      on a.date=s.date""",
 )
 def v6(spark, sf):
-    """Header numbers and spread projection of each day."""
+    """Header numbers, spread projection and ten first alerts of each day."""
     rows = X.snapshot(spark, sf)
     projected = spread.projection(spread.alert_seeds(rows), X.REGION)
-    return X.rounded(serving.run_summary(state.summary(rows), projected))
+    out = serving.run_summary(state.summary(rows), projected, A.alerts(rows))
+    return X.rounded(out).withColumn("top_alerts", F.array_join("top_alerts", " / "))

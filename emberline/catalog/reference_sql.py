@@ -173,6 +173,7 @@ from (select *, concat_ws('; ', case when active_fire_nearby then 'active satell
     case when fwi>60 then concat('extreme FWI (', {one_decimal("fwi")}, ')') end,
     case when wx_wind_speed_ms>8 then concat('high wind (', {one_decimal("wx_wind_speed_ms")}, ' m/s)') end) as why
   from banded where risk_score>=0.7) a"""
+STEPS["latest_alerts"] = "select * from alert_rows where date=(select max(date) from scored)"
 STEPS["cells"] = """
 select *, case when ndvi<0.15 then 3 when risk_score>=0.7 then 1 else 0 end as state,
   case when ffmc/101<0 then 0e0 when ffmc/101>1 then 1e0 else ffmc/101 end as dryness,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.scalar import clip
 from emberline.operators.alerts import ranked, top_alerts
@@ -31,9 +31,18 @@ def header_metrics(summary_rows: DataFrame) -> DataFrame:
         "max_risk_score",
         peak_class("max_risk_score").alias("peak_class"),
         F.when(F.col("total_alerts") > 0, "warn").otherwise("ok").alias("alerts_class"),
+        F.when(F.col("n_extreme") > 0, "danger").otherwise("ok").alias("extreme_class"),
+        F.when(F.col("n_high") > 0, "warn").otherwise("ok").alias("high_class"),
     )
 
 
+def latest(rows: DataFrame, order: str = "date") -> DataFrame:
+    """The rows of the newest snapshot. On a table partitioned by ``order``
+    the newest value comes from the partition list and prunes the scan."""
+    newest = rows.agg(F.max(order).alias("newest")).select("newest").scalar()
+    return rows.where(F.col(order) == newest)
+
+
 def risk_map(scored: DataFrame) -> DataFrame:
     keys = [c for c in ("date",) if c in scored.columns]
     return scored.select(
@@ -80,8 +89,21 @@ def model_table(table: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(summary_rows: DataFrame, projection_rows: DataFrame, by=("date",)) -> DataFrame:
-    """Header numbers with the spread projection beside them."""
+def first_alerts(alert_rows: DataFrame, k: int = 10, by=("date",)) -> DataFrame:
+    """Per group the k highest alerts as one text each; tasks keep k rows a
+    group before anything is moved."""
+    order = Window.partitionBy(*by).orderBy(F.desc("risk_score"), "zone_idx")
+    rows = alert_rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    text = F.concat_ws(" ", "severity", "zone_id", "reason")
+    top = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", text.alias("text")))).alias("top"))
+    return top.select(*by, F.transform("top", lambda a: a["text"]).alias("top_alerts"))
+
+
+def run_summary(summary_rows: DataFrame, projection_rows: DataFrame, alert_rows: DataFrame | None = None, by=("date",)) -> DataFrame:
+    """Header numbers with the spread projection and the first alerts beside them."""
+    if alert_rows is not None:
+        none = F.array().cast("array<string>")
+        summary_rows = summary_rows.join(first_alerts(alert_rows, by=by), list(by), "left").withColumn("top_alerts", F.coalesce("top_alerts", none))
     spread = projection_rows.select(
         *by, "minutes_elapsed", "expected_new_burning", "n_burning_out", "n_burned_after"
     )
@@ -90,7 +112,9 @@ def run_summary(summary_rows: DataFrame, projection_rows: DataFrame, by=("date",
 
 __all__ = [
     "alert_list",
+    "first_alerts",
     "header_metrics",
+    "latest",
     "marker_size",
     "model_radar",
     "model_table",

@@ -59,6 +59,19 @@ def summary(
     )
 
 
+def summary_of(spark: SparkSession, path: str, refreshed_at: str = "ingested_at") -> DataFrame:
+    """Status, time and numbers of the stored state; before the first refresh
+    one row that says so."""
+    numbers = "total_zones LONG, total_alerts LONG, n_extreme LONG, n_high LONG, max_risk_score DOUBLE, mean_risk_score DOUBLE"
+    if not path_exists(spark, path):
+        row = spark.range(1).select(F.lit("not_initialised").alias("status"), F.lit(None).cast("timestamp").alias("timestamp"))
+        return row.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in numbers.split(", "))])
+    rows = spark.read.parquet(path)
+    when = rows.agg(F.max(refreshed_at).alias("t")).select("t").scalar()
+    names = [c.split()[0] for c in numbers.split(", ")]
+    return summary(rows, by=()).select(F.lit("ok").alias("status"), when.alias("timestamp"), *names)
+
+
 def snapshot_sequences(state: DataFrame, features: Sequence[str], n: int = 7) -> DataFrame:
     """Trailing windows over stored snapshots, for scoring a sequence model live."""
     return sequences(
