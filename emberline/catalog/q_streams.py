@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberline import schemas
 from emberline.catalog import frames as X
 from emberline.catalog import views as V
 from emberline.catalog.registry import query
 from emberline.operators import alerts as A
-from emberline.operators.dedup import DETECTION_KEYS
-from emberline.plans import refresh, state
+from emberline.operators.dedup import DETECTION_KEYS, stitch
+from emberline.plans import daily, refresh, state
 from emberline.session import scratch_dir
 from emberline.spec import AlertSpec
+from emberline.sources import readers as R
 from emberline.sources.writers import write_table
 from emberline.streaming import detections as D
 
@@ -93,3 +95,31 @@ def ts4(spark, sf):
         "zone_idx", "date", "risk_score", A.severity("risk_score", AlertSpec()).alias("severity")
     )
     return X.rounded(state.current_state(history, order="date"))
+
+
+@query("refresh_from_files", "select date, zone_idx, severity, reason from alert_rows_of_files")
+def refresh_from_files(spark, sf):
+    """Landed files of both sensors, one of them an error answer, and landed
+    weather answers, to alerts."""
+    hot, weather = V.hotspots(spark, sf), V.weather_now(spark, sf)
+    newer, older, answers = (scratch_dir(spark, name) for name in ("newer_csv", "older_csv", "answers"))
+    write_table(hot.where("event_id % 2 = 0").select(*schemas.HOTSPOT.names), newer, fmt="csv")
+    renamed = hot.where("event_id % 2 = 1").withColumnRenamed("bright_ti4", "brightness")
+    write_table(renamed.select(*schemas.HOTSPOT_MODIS.names), older, fmt="csv")
+    spark.range(1).select(F.lit("Invalid MAP_KEY.").alias("value")).write.mode("append").text(newer)
+    payload = F.to_json(
+        F.struct(
+            F.struct(F.col("temperature_c").alias("temp"), F.col("humidity_pct").alias("humidity"), F.lit(1010.0).alias("pressure")).alias("main"),
+            F.struct(F.col("wind_speed_ms").alias("speed"), F.col("wind_deg").alias("deg")).alias("wind"),
+            F.struct(F.col("precipitation_mm").alias("1h")).alias("rain"),
+            F.struct(F.col("clouds_pct").alias("all")).alias("clouds"),
+        )
+    )
+    stamp = F.col("date").cast("timestamp").alias("fetched_at")
+    weather.select("latitude", "longitude", payload.alias("payload"), stamp).write.json(answers)
+
+    sensors = [R.read_hotspots(spark, newer), R.read_hotspots(spark, older, schema=schemas.HOTSPOT_MODIS)]
+    detections = daily.of_landed_hotspots(stitch(sensors))
+    points = daily.of_landed_weather(R.read_weather_json(spark, answers))
+    rows = daily.daily_alerts(detections, points, X.REGION, observed_ndvi=V.ndvi_obs(spark, sf))
+    return rows.select("date", "zone_idx", "severity", "reason")

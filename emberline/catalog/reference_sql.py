@@ -173,6 +173,17 @@ from (select *, concat_ws('; ', case when active_fire_nearby then 'active satell
     case when fwi>60 then concat('extreme FWI (', {one_decimal("fwi")}, ')') end,
     case when wx_wind_speed_ms>8 then concat('high wind (', {one_decimal("wx_wind_speed_ms")}, ' m/s)') end) as why
   from banded where risk_score>=0.7) a"""
+# The same chain over what is left of the weather once it has been landed as answers.
+STEPS["weather_files"] = """
+select cast(round(latitude*1000) as bigint)*1000000+cast(round(longitude*1000) as bigint) as station_id, date, latitude, longitude,
+  temperature_c, humidity_pct, coalesce(wind_speed_ms, 0e0) as wind_speed_ms, coalesce(wind_deg, 0e0) as wind_deg,
+  coalesce(precipitation_mm, 0e0) as precipitation_mm, coalesce(clouds_pct, 0e0) as clouds_pct
+from weather_now where temperature_c is not null and humidity_pct is not null"""
+_LIVE = [n for n in STEPS if n in ("matched_now", "unified", "live_clean", "processed", "scored", "banded", "alert_rows") or n.startswith("live_indices")]
+for _name in _LIVE:
+    STEPS[f"{_name}_of_files"] = re.sub(
+        r"[a-z_0-9]+", lambda m: {"weather_now": "weather_files", **{n: f"{n}_of_files" for n in _LIVE}}.get(m.group(), m.group()), STEPS[_name]
+    )
 STEPS["latest_alerts"] = "select * from alert_rows where date=(select max(date) from scored)"
 STEPS["cells"] = """
 select *, case when ndvi<0.15 then 3 when risk_score>=0.7 then 1 else 0 end as state,

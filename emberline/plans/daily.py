@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.indices import with_indices
+from emberline.functions.scalar import brightness
 from emberline.operators import alerts as A
 from emberline.operators import features as X
 from emberline.operators.grid import spine, with_zone_columns
@@ -25,6 +26,22 @@ LIVE_WEATHER = [
 FIRE_VALUES = ["frp", "confidence", "brightness"]
 
 
+def of_landed_hotspots(hotspots: DataFrame, id_column: str = "event_id") -> DataFrame:
+    """Rows of ``read_hotspots``, of one sensor or several stitched, as
+    ``unified`` takes them. The feed has no number: place and time make one."""
+    place_and_time = F.xxhash64("latitude", "longitude", "acq_date", "acq_time")
+    return hotspots.withColumns(
+        {"date": F.col("acq_date"), "brightness": brightness(hotspots.columns), id_column: place_and_time}
+    )
+
+
+def of_landed_weather(weather: DataFrame, id_column: str = "station_id") -> DataFrame:
+    """Rows of ``read_weather_json`` as ``unified`` takes them: the day of the
+    fetch, and a number that follows from the place (thousandths of a degree)."""
+    number = F.round(F.col("latitude") * 1000).cast("long") * 1_000_000 + F.round(F.col("longitude") * 1000).cast("long")
+    return weather.withColumns({"date": F.to_date("fetched_at"), id_column: number})
+
+
 def unified(
     hotspots: DataFrame,
     weather: DataFrame,

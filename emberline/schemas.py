@@ -8,6 +8,7 @@ _TYPES = {
     "INT": T.IntegerType(),
     "STRING": T.StringType(),
     "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
 }
 
 
@@ -35,7 +36,8 @@ WEATHER_PAYLOAD = (
     "wind STRUCT<speed: DOUBLE, deg: DOUBLE>, rain STRUCT<`1h`: DOUBLE>, "
     "clouds STRUCT<all: DOUBLE>, weather ARRAY<STRUCT<main: STRING>>"
 )
-WEATHER_LANDED = _struct("latitude DOUBLE, longitude DOUBLE, payload STRING")
+# Answers may carry the time at which they were fetched.
+WEATHER_LANDED = _struct("latitude DOUBLE, longitude DOUBLE, payload STRING, fetched_at TIMESTAMP")
 WEATHER_POINT = _struct(
     "latitude DOUBLE, longitude DOUBLE, temperature_c DOUBLE, humidity_pct DOUBLE, "
     "pressure_hpa DOUBLE, wind_speed_ms DOUBLE, wind_deg DOUBLE, precipitation_mm DOUBLE, "

@@ -154,11 +154,13 @@ def flatten_weather(payloads: DataFrame, payload: str = "payload", keep: Sequenc
 
 
 def read_weather_json(spark: SparkSession, path: str, fetched_at=None) -> DataFrame:
-    """Landed weather answers, one per line as latitude, longitude, payload."""
+    """Landed weather answers, one per line as latitude, longitude, payload and,
+    if known, fetched_at; else they are stamped now."""
     stamp = F.current_timestamp() if fetched_at is None else fetched_at
     if not path_exists(spark, path):
         return empty(spark, schemas.WEATHER_POINT).withColumn("fetched_at", stamp)
-    return flatten_weather(spark.read.schema(schemas.WEATHER_LANDED).json(path)).withColumn("fetched_at", stamp)
+    landed = spark.read.schema(schemas.WEATHER_LANDED).json(path)
+    return flatten_weather(landed.withColumn("fetched_at", F.coalesce("fetched_at", stamp)), keep=["fetched_at"])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
