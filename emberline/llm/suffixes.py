@@ -46,6 +46,10 @@ class SuffixSpec:
     length: int = 400
     gram: int = 128
 
+    def __post_init__(self):
+        if not BLOCK < self.gram < self.length < 1 << 16:
+            raise ValueError("16 < gram < length < 65536")
+
     @property
     def core(self) -> int:
         return self.length - BLOCK
@@ -160,12 +164,13 @@ def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
 
     def of(text):
         gram, stretch, first, starts, place = anchors((text or "").encode("utf-8", "surrogatepass"), spec)
-        return gram.view(np.int64), stretch.view(np.int64), first.astype(np.int32), starts.astype(np.int32), place.astype(np.int32)
+        where = (first << 32) | (starts << 16) | (place - first)
+        return gram.view(np.int64), stretch.view(np.int64), where
 
     named = docs.select("text", F.xxhash64("doc_id", "text").alias("_doc"))
-    schema = "gram array<long>, stretch array<long>, first array<int>, starts array<int>, place array<int>"
+    schema = "gram array<long>, stretch array<long>, at array<long>"
     held = stored(with_text_columns(named, schema, lambda: of).drop("text"), "anchors")
-    zipped = F.explode(F.arrays_zip("gram", "stretch", "first", "starts", "place"))
+    zipped = F.explode(F.arrays_zip("gram", "stretch", "at"))
     places = held.select("_doc", zipped.alias("z")).select("_doc", "z.*")
 
     counts = stored(places.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n")), "stretches")
@@ -173,15 +178,23 @@ def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
     mixed_ = mixed_.where("kinds > 1 and least = 1").select("gram", F.lit(True).alias("open"))
     # An anchor found once, or always in one stretch, needs no more than the count.
     wanted = counts.join(mixed_, "gram", "left").where("n > 1 or open").select("gram", "stretch", "n", F.coalesce("open", F.lit(False)).alias("open"))
-    marked = stored(places.join(wanted, ["gram", "stretch"]), "marked_anchors")
+    # First start, number of starts and place of the gram travel as one long.
+    small = F.lit(0xFFFF)
+    numbers = {
+        "first": F.shiftright("at", 32).cast("int"),
+        "starts": F.shiftright("at", 16).bitwiseAND(small).cast("int"),
+        "offset": F.col("at").bitwiseAND(small).cast("int"),
+    }
+    marked = places.join(wanted, ["gram", "stretch"]).withColumns(numbers).drop("at")
+    marked = stored(marked, "marked_anchors")
     whole = marked.where("n > 1").select("_doc", "first", (F.col("first") + F.col("starts") - 1).alias("last"))
 
     # One stretch of each kind stands for all of them.
     kinds = marked.where("open").groupBy("gram", "stretch").agg(
-        F.max("n").alias("n"), F.min(F.struct("_doc", "first", "starts", "place")).alias("at")
+        F.max("n").alias("n"), F.min(F.struct("_doc", "first", "starts", "offset")).alias("at")
     )
     spots = kinds.groupBy("at._doc").agg(
-        F.collect_list(F.struct("gram", "n", "at.first", "at.starts", (F.col("at.place") - F.col("at.first")).alias("offset"))).alias("spots")
+        F.collect_list(F.struct("gram", "n", "at.first", "at.starts", "at.offset")).alias("spots")
     )
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("_doc")).where("text is not null")
 
@@ -192,26 +205,38 @@ def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
 
     both = texts.join(spots.hint("merge"), "_doc").select("_doc", "text", "spots")
     pieces = _rows_from(both, "_doc long, gram long, n long, first int, starts int, offset int, raw binary", cut)
-    pieces = stored(pieces.dropDuplicates(["_doc", "gram", "first"]), "stretch_texts")
+    pieces = pieces.dropDuplicates(["_doc", "gram", "first"]).withColumn("piece", F.monotonically_increasing_id())
+    pieces = stored(pieces, "stretch_texts")
 
     def hashed(row):
         for block, low, high, core, head, tail in _blocks(row["raw"], row["offset"], row["starts"], spec):
-            yield row["gram"], block, _hash64(core), _hash64(b"%d %d " % (low, high) + head + core + tail)
+            yield row["piece"], row["gram"], block, _hash64(core), _hash64(b"%d %d " % (low, high) + head + core + tail)
 
-    blocks = _rows_from(pieces, "gram long, block int, core long, all long", hashed)
+    # Only numbers meet here; bytes follow for the blocks that stay.
+    blocks = _rows_from(pieces.drop("_doc", "n", "first"), "piece long, gram long, block int, core long, all long", hashed)
     shared = blocks.groupBy("gram", "block", "core").agg(F.count(F.lit(1)).alias("n"), F.min("all").alias("low"), F.max("all").alias("high"))
     shared = shared.where("n > 1").select("gram", "block", "core", (F.col("low") == F.col("high")).alias("same"))
+    wanted_blocks = (
+        blocks.drop("all")
+        .join(shared.hint("merge"), ["gram", "block", "core"])
+        .groupBy("piece")
+        .agg(F.collect_list(F.struct("block", "same")).alias("live"))
+    )
 
     def placed(row):
+        live = {x["block"]: x["same"] for x in row["live"]}
         for block, low, high, core, head, tail in _blocks(row["raw"], row["offset"], row["starts"], spec):
-            first = row["first"] + row["offset"] + block * BLOCK
-            yield row["_doc"], row["n"], row["gram"], block, _hash64(core), first, low, high, core, head + tail
+            if block in live:
+                begin = row["first"] + row["offset"] + block * BLOCK
+                same = live[block]
+                yield row["_doc"], row["n"], begin, low, high, same, b"" if same else core, b"" if same else head + tail
 
     full = _rows_from(
-        pieces, "_doc long, n long, gram long, block int, core long, begin int, low int, high int, bytes binary, edge binary", placed
+        pieces.drop("gram").join(wanted_blocks.hint("merge"), "piece"),
+        "_doc long, n long, begin int, low int, high int, same boolean, bytes binary, edge binary",
+        placed,
     )
-    live = full.join(shared.hint("merge"), ["gram", "block", "core"]).withColumn("piece", F.monotonically_increasing_id())
-    live = stored(live, "live_blocks")
+    live = stored(full.withColumn("piece", F.monotonically_increasing_id()), "live_blocks")
     equal = live.where("same and n = 1").select("_doc", (F.col("begin") + F.col("low")).alias("first"), (F.col("begin") + F.col("high")).alias("last"))
     unclear = live.where("not same")
     names = core_names(unclear.select("piece", F.col("bytes").alias("core")), spec)
