@@ -1,11 +1,12 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: its number of tokens, then its first
-tokens. Tokens with a digit are variable fields from the start. In each leaf the
-line that most documents have is the pattern; lines that agree with it in most
-positions belong to its template, the other positions being variable fields.
-Lines that agree less are templates of their own. A template found in many
-documents is dropped from all of them but the first.
+tokens. Tokens with a digit are variable fields from the start. A leaf has as many
+patterns as it needs: lines that are equal but for their rarest tokens, or in a band
+of tokens, meet, and those that agree with the most common of them in most
+positions belong to its template, the other positions being variable fields. Lines
+that agree with none are templates of their own. A template found in many documents
+is dropped from all of them but the first.
 
 Only DataFrame operations are used.
 """
@@ -44,6 +45,99 @@ def _lines(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "_doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def _agreeing(a: Column, b: Column, spec: LineSpec) -> Column:
+    up, down = spec.agree
+    equal = F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda same: same))
+    return down * equal >= up * F.size(F.split(a, " "))
+
+
+def _buckets(variants: DataFrame, spec: LineSpec) -> DataFrame:
+    """(leaf, key, documents, bucket, masked) of variants that may have variable
+    fields. Lines of one template meet in a bucket: ``masked``, where their
+    rarest tokens are left out, one more in each; or by one of the bands of
+    neighbouring tokens, of which there is one more than variable fields."""
+    up, down = spec.agree
+    zero = F.lit(0).cast("long")
+
+    def folded(hashes: Column) -> Column:
+        return F.aggregate(hashes, zero, lambda a, h: a.bitwiseXOR(h))
+
+    tokens = variants.withColumn("hashes", F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, t)))
+    tokens = tokens.withColumn("n", F.size("hashes")).withColumn("fields", F.expr(f"n * {down - up} div {down}").cast("int"))
+    tokens = tokens.where(f"fields > 0 and n > {spec.depth}")
+    each = tokens.select("leaf", "key", "documents", F.explode(F.expr(f"slice(hashes, {spec.depth + 1}, n)")).alias("hash"))
+    seen = each.groupBy("leaf", "hash").agg(F.sum("documents").alias("seen"))
+    rare = each.join(seen, ["leaf", "hash"]).groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("seen", "hash"))).alias("rare"))
+    masks = F.aggregate(
+        F.slice("rare", 1, F.col("fields")),
+        F.array(folded(F.col("hashes"))),
+        lambda found, r: F.concat(found, F.array(F.element_at(found, -1).bitwiseXOR(r["hash"]))),
+    )
+    free = f"(n - {spec.depth})"
+    bounds = F.transform(F.sequence(F.lit(0), F.col("fields")), lambda b: F.struct(b.alias("b")))
+    bands = F.transform(
+        bounds,
+        lambda x: F.xxhash64(
+            x["b"],
+            folded(
+                F.slice(
+                    "hashes",
+                    F.floor(x["b"] * F.expr(free) / (F.col("fields") + 1)).cast("int") + spec.depth + 1,
+                    (F.floor((x["b"] + 1) * F.expr(free) / (F.col("fields") + 1)) - F.floor(x["b"] * F.expr(free) / (F.col("fields") + 1))).cast("int"),
+                )
+            ),
+        ),
+    )
+    kinds = F.concat(
+        F.transform(F.slice(masks, 2, F.col("fields")), lambda m: F.struct(m.alias("bucket"), F.lit(True).alias("masked"))),
+        F.transform(bands, lambda m: F.struct(m.alias("bucket"), F.lit(False).alias("masked"))),
+    )
+    return tokens.join(rare, ["leaf", "key"]).select("leaf", "key", "documents", F.inline(kinds))
+
+
+def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame:
+    """(leaf, key, family) of the variants that belong to a template.
+
+    Each bucket has a pivot: the line whose masked tokens most documents share.
+    Lines that agree with a pivot of theirs join the one that gathers the most
+    documents. Rounds go on over the lines that are left, until no template
+    reaches the documents that it takes. Documents are counted in sketches that
+    are exact well beyond that number.
+    """
+    exact = max(8, spec.documents.bit_length() + 2)
+    union = F.theta_sketch_estimate(F.theta_union_agg("docs", exact))
+    left, found, docs = variants, None, None
+    while True:
+        buckets = stored(_buckets(left, spec), "line_buckets")
+        full = buckets.groupBy("leaf", "bucket").agg(F.sum("documents").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        full = full.where((F.col("n") >= spec.documents) & (F.col("low") < F.col("high"))).select("leaf", "bucket")
+        buckets = buckets.join(full, ["leaf", "bucket"])
+        if docs is None:
+            some = buckets.select("leaf", "key").distinct()
+            docs = held.join(some, ["leaf", "key"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"))
+            docs = stored(docs, "line_documents")
+        counted = buckets.join(docs, ["leaf", "key"]).groupBy("leaf", "bucket").agg(union.alias("n")).where(F.col("n") >= spec.documents)
+        buckets = stored(buckets.join(counted, ["leaf", "bucket"]), "line_full_buckets")
+        score = buckets.groupBy("leaf", "key").agg(F.max(F.when(F.col("masked"), F.col("n")).otherwise(F.col("documents"))).alias("score"))
+        pivots = buckets.join(score, ["leaf", "key"]).groupBy("leaf", "bucket").agg(F.min(F.struct(-F.col("score"), -F.col("documents"), "key")).alias("p"))
+        pairs = buckets.join(pivots.select("leaf", "bucket", F.col("p.key").alias("family")), ["leaf", "bucket"]).select("leaf", "key", "family").distinct()
+        lines = left.select("leaf", "key", "line")
+        pairs = pairs.join(lines, ["leaf", "key"]).join(lines.select("leaf", F.col("key").alias("family"), F.col("line").alias("pattern")), ["leaf", "family"])
+        pairs = stored(pairs.where(_agreeing(F.col("line"), F.col("pattern"), spec)).select("leaf", "key", "family"), "line_pairs")
+        gathered = pairs.join(docs, ["leaf", "key"]).groupBy("leaf", "family").agg(union.alias("n")).where(F.col("n") >= spec.documents)
+        best = pairs.join(gathered, ["leaf", "family"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
+        best = best.select("leaf", "key", F.col("p.family").alias("family"))
+        reached = best.join(docs, ["leaf", "key"]).groupBy("leaf", "family").agg(union.alias("n")).where(F.col("n") >= spec.documents)
+        now = stored(best.join(reached.select("leaf", "family"), ["leaf", "family"]).select("leaf", "key", "family"), "line_families")
+        found = now if found is None else found.union(now)
+        if now.isEmpty():
+            return found
+        # Only leaves that found a template can find another one.
+        open_ = now.select("leaf").distinct()
+        left = left.join(docs.select("leaf", "key"), ["leaf", "key"], "semi").join(open_, "leaf").join(now, ["leaf", "key"], "anti")
+        left = stored(left, "line_texts_left")
+
+
 def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """(doc_id, _doc, pos) of the lines to drop."""
     tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1
@@ -78,11 +172,7 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
         .dropDuplicates(["leaf", "key"])
     )
     texts = stored(texts, "line_texts")
-    pattern = texts.groupBy("leaf").agg(F.min(F.struct(-F.col("documents"), "line", "key")).alias("p"))
-    pattern = pattern.select("leaf", F.col("p.line").alias("pattern"), F.col("p.key").alias("family"))
-    up, down = spec.agree
-    equal = F.size(F.filter(F.zip_with(F.split("line", " "), F.split("pattern", " "), lambda a, b: a == b), lambda same: same))
-    joined = texts.join(pattern, "leaf").where(down * equal >= up * F.size(F.split("line", " "))).select("leaf", "key", "family")
+    joined = _families(texts, held, spec)
     members = held.join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
     templates = (
         members.groupBy("leaf", "family", "_doc")

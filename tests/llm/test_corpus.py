@@ -112,6 +112,26 @@ def test_lines_of_odd_rows(spark):
     assert line_templates.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_every_template_of_a_leaf_is_found(spark):
+    def name(i):
+        return "".join(chr(97 + int(d)) for d in f"{i:04d}")
+
+    rows = [(i, f"Posted by reader {name(i)} from our old town") for i in range(100)]
+    rows += [(200 + i, f"Posted by reader and printed with {name(i)} change") for i in range(40)]
+    # A field that stands in other lines, too, and one whose places differ by line.
+    rows += [(300 + i, f"Posted by reader {name(i % 4)} from {name(900 + i)} hill {name(950 + i)}") for i in range(30)]
+    line = "Posted by reader in the evening paper of all our towns and hills".split()
+    for i in range(40):
+        own = list(line)
+        own[3 + i % 10] = name(500 + i)
+        rows.append((400 + i, " ".join(own)))
+    # The smallest text, as frequent as any other; and a list within one document.
+    rows += [(600, "Posted by reader Aaa and Bbb or Ccc"), (601, "\n".join(f"Posted by reader who has {name(i)} for us" for i in range(30)))]
+    left = {r.doc_id: r.n_dropped for r in line_templates.line_dedup(frame(spark, rows, "doc_id long, text string")).collect()}
+    gone = {d for d, n in left.items() if n}
+    assert gone == {*range(1, 100), *range(201, 240), *range(401, 440)}
+
+
 def test_line_plan_is_native(spark):
     plan = line_templates.line_dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
