@@ -25,11 +25,18 @@ from emberline.sources.writers import stored
 class LineSpec:
     """``depth``: first tokens that lead to a leaf; ``agree``: least share of
     equal positions, as a fraction; ``documents``: from how many documents on
-    a template recurs."""
+    a template recurs, ``long_documents`` if a line of it has ``long_words``
+    tokens and more without a digit."""
 
     depth: int = 3
     agree: tuple[int, int] = (4, 5)
     documents: int = 20
+    long_words: int = 50
+    long_documents: int = 2
+
+    def enough(self) -> Column:
+        """The documents that a group with the column ``long`` takes."""
+        return F.when(F.max("long"), min(self.long_documents, self.documents)).otherwise(self.documents)
 
 
 def masked(line: Column) -> Column:
@@ -38,6 +45,15 @@ def masked(line: Column) -> Column:
     return F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
 
 
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+
+
+def _long(line: Column, spec: LineSpec) -> Column:
+    plain = F.filter(F.split(line, " "), lambda t: t != "<*>")
+    return (_tokens(line) >= spec.long_words) & (F.size(plain) >= spec.long_words)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, _doc, pos, line) of all lines. _doc tells apart rows that
     share an id."""
@@ -52,7 +68,7 @@ def _agreeing(a: Column, b: Column, spec: LineSpec) -> Column:
 
 
 def _buckets(variants: DataFrame, spec: LineSpec) -> DataFrame:
-    """(leaf, key, documents, bucket, masked) of variants that may have variable
+    """(leaf, key, documents, long, bucket, masked) of variants that may have variable
     fields. Lines of one template meet in a bucket: ``masked``, where their
     rarest tokens are left out, one more in each; or by one of the bands of
     neighbouring tokens, of which there is one more than variable fields."""
@@ -92,7 +108,7 @@ def _buckets(variants: DataFrame, spec: LineSpec) -> DataFrame:
         F.transform(F.slice(masks, 2, F.col("fields")), lambda m: F.struct(m.alias("bucket"), F.lit(True).alias("masked"))),
         F.transform(bands, lambda m: F.struct(m.alias("bucket"), F.lit(False).alias("masked"))),
     )
-    return tokens.join(rare, ["leaf", "key"]).select("leaf", "key", "documents", F.inline(kinds))
+    return tokens.join(rare, ["leaf", "key"]).select("leaf", "key", "documents", _long(F.col("line"), spec).alias("long"), F.inline(kinds))
 
 
 def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame:
@@ -106,29 +122,33 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
     """
     exact = max(8, spec.documents.bit_length() + 2)
     union = F.theta_sketch_estimate(F.theta_union_agg("docs", exact))
+
+    def reaching(rows: DataFrame, group: str) -> DataFrame:
+        counted = rows.join(docs, ["leaf", "key"]).groupBy("leaf", group).agg(union.alias("n"), spec.enough().alias("enough"))
+        return counted.where("n >= enough").drop("enough")
+
     left, found, docs = variants, None, None
     while True:
         buckets = stored(_buckets(left, spec), "line_buckets")
-        full = buckets.groupBy("leaf", "bucket").agg(F.sum("documents").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-        full = full.where((F.col("n") >= spec.documents) & (F.col("low") < F.col("high"))).select("leaf", "bucket")
-        buckets = buckets.join(full, ["leaf", "bucket"])
+        full = buckets.groupBy("leaf", "bucket").agg(
+            F.sum("documents").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), spec.enough().alias("enough")
+        )
+        full = full.where("n >= enough and low < high").select("leaf", "bucket")
+        buckets = buckets.drop("long").join(full, ["leaf", "bucket"])
         if docs is None:
             some = buckets.select("leaf", "key").distinct()
-            docs = held.join(some, ["leaf", "key"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"))
+            docs = held.join(some, ["leaf", "key"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"), F.max("long").alias("long"))
             docs = stored(docs, "line_documents")
-        counted = buckets.join(docs, ["leaf", "key"]).groupBy("leaf", "bucket").agg(union.alias("n")).where(F.col("n") >= spec.documents)
-        buckets = stored(buckets.join(counted, ["leaf", "bucket"]), "line_full_buckets")
+        buckets = stored(buckets.join(reaching(buckets, "bucket"), ["leaf", "bucket"]), "line_full_buckets")
         score = buckets.groupBy("leaf", "key").agg(F.max(F.when(F.col("masked"), F.col("n")).otherwise(F.col("documents"))).alias("score"))
         pivots = buckets.join(score, ["leaf", "key"]).groupBy("leaf", "bucket").agg(F.min(F.struct(-F.col("score"), -F.col("documents"), "key")).alias("p"))
         pairs = buckets.join(pivots.select("leaf", "bucket", F.col("p.key").alias("family")), ["leaf", "bucket"]).select("leaf", "key", "family").distinct()
         lines = left.select("leaf", "key", "line")
         pairs = pairs.join(lines, ["leaf", "key"]).join(lines.select("leaf", F.col("key").alias("family"), F.col("line").alias("pattern")), ["leaf", "family"])
         pairs = stored(pairs.where(_agreeing(F.col("line"), F.col("pattern"), spec)).select("leaf", "key", "family"), "line_pairs")
-        gathered = pairs.join(docs, ["leaf", "key"]).groupBy("leaf", "family").agg(union.alias("n")).where(F.col("n") >= spec.documents)
-        best = pairs.join(gathered, ["leaf", "family"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
+        best = pairs.join(reaching(pairs, "family"), ["leaf", "family"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
         best = best.select("leaf", "key", F.col("p.family").alias("family"))
-        reached = best.join(docs, ["leaf", "key"]).groupBy("leaf", "family").agg(union.alias("n")).where(F.col("n") >= spec.documents)
-        now = stored(best.join(reached.select("leaf", "family"), ["leaf", "family"]).select("leaf", "key", "family"), "line_families")
+        now = stored(best.join(reaching(best, "family"), ["leaf", "family"]).select("leaf", "key", "family"), "line_families")
         found = now if found is None else found.union(now)
         if now.isEmpty():
             return found
@@ -140,15 +160,17 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
 
 def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """(doc_id, _doc, pos) of the lines to drop."""
-    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "))) + 1
+    line = F.col("line")
+    leaf = F.xxhash64(_tokens(line), F.substring_index("line", " ", spec.depth))
     keys = (
         _lines(docs)
-        .withColumn("line", masked(F.col("line")))
+        .withColumn("line", masked(line))
         .where("line <> ''")
-        .select("doc_id", "_doc", "pos", F.xxhash64(tokens, F.substring_index("line", " ", spec.depth)).alias("leaf"), F.xxhash64("line").alias("key"))
+        .select("doc_id", "_doc", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("key"), _long(line, spec).alias("long"))
     )
     keys = stored(keys, "line_keys")
-    crowded = keys.select("leaf", "_doc").distinct().groupBy("leaf").count().where(F.col("count") >= spec.documents)
+    crowded = keys.groupBy("leaf", "_doc").agg(F.max("long").alias("long")).groupBy("leaf")
+    crowded = crowded.agg(F.count(F.lit(1)).alias("n"), spec.enough().alias("enough")).where("n >= enough")
     held = keys.join(crowded.select("leaf"), "leaf")
     variants = (
         held.groupBy("leaf", "key", "_doc", "doc_id")
@@ -176,10 +198,10 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     members = held.join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
     templates = (
         members.groupBy("leaf", "family", "_doc")
-        .agg(F.min("doc_id").alias("doc_id"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("long").alias("long"))
         .groupBy("leaf", "family")
-        .agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
-        .where(F.col("documents") >= spec.documents)
+        .agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"), spec.enough().alias("enough"))
+        .where("documents >= enough")
     )
     return (
         members.join(templates, ["leaf", "family"])

@@ -132,6 +132,20 @@ def test_every_template_of_a_leaf_is_found(spark):
     assert gone == {*range(1, 100), *range(201, 240), *range(401, 440)}
 
 
+def test_long_lines_recur_in_few_documents(spark):
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    other = long.upper()
+    numbers = [" ".join(str(i * k) for i in range(60)) for k in (1, 2)]
+    rows = [
+        (1, f"{long}\nshort line\n{numbers[0]}"),
+        (2, f"first here\n{long}\nshort line\n{numbers[1]}"),
+        (3, f"{long.replace('wbb', 'else')}\nshort line"),
+        (4, f"{other}\n{other}"),  # twice, but in one document
+    ]
+    left = {r.doc_id: r.n_dropped for r in line_templates.line_dedup(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert left == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_line_plan_is_native(spark):
     plan = line_templates.line_dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
