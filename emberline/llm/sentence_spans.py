@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-Every run of three consecutive sentences, and every run of two that have at
-least twenty words, is hashed. Equal hashes are joined over all documents;
+Every run of three consecutive sentences, every run of two that have at least
+twenty words, and every single sentence of at least forty, is hashed. Equal hashes are joined over all documents;
 sentences that a run covers which isn't the first of its kind are removed.
 """
 
@@ -21,7 +21,7 @@ from emberline.sources.writers import stored
 class SpanSpec:
     """(sentences, least words) of the runs that are hashed."""
 
-    runs: tuple[tuple[int, int], ...] = ((3, 0), (2, 20))
+    runs: tuple[tuple[int, int], ...] = ((3, 0), (2, 20), (1, 40))
 
 
 def sentences(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

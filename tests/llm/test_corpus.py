@@ -190,6 +190,14 @@ def test_spans_equal_plain_version(spark):
     assert rows_of(left.select("doc_id", "text")) == plain_spans(rows)
 
 
+def test_long_single_sentences_go(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    short = " ".join(f"s{i}" for i in range(39)) + "."
+    rows = [(1, f"One here. {long}. {short} More of it."), (2, f"Two there. {long.upper()}. Then {short}"), (3, f"{long}.")]
+    left = {r.doc_id: r.text for r in sentence_spans.substring_dedup(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert left == {1: rows[0][1], 2: f"Two there. Then {short}", 3: ""}
+
+
 def test_spans_of_odd_rows(spark):
     docs = frame(spark, odd_rows()).withColumn("n_removed", F.lit("clash"))
     left = {r.doc_id: r for r in sentence_spans.substring_dedup(docs).where("doc_id is not null").collect()}
