@@ -119,6 +119,13 @@ def test_model_finds_disguised_data_and_leaves_prose(spark):
     assert pii.fit(frame(spark, odd_rows())) is None
 
 
+def test_upper_case_at_is_proposed():
+    every = pii.PiiModel((), dict.fromkeys(pii.KINDS, 0.0), pii.PiiSpec())  # adds all proposals
+    for text in ("Kontakt: hans.maier (AT) firma (DOT) de", "HANS.MAIER AT FIRMA DOT DE"):
+        spans = pii.chosen(text, every)
+        assert [k for k, _, _ in spans] == ["email"] and text[spans[0][1] : spans[0][2]].lower().startswith("hans.maier")
+
+
 def test_redaction():
     text = "mail a.b@c.de, 10.0.0.1!"
     assert pii.redacted(text, pii.base_spans(text)) == "mail <email>, <ip>!"
