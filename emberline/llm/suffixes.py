@@ -6,18 +6,22 @@ and only where a repeat is possible:
 1. Anchors. In every window of ``length`` bytes one gram is the smallest by
    hash; equal windows have it in the same place. Windows whose gram is found
    once can't repeat. An anchor whose whole served stretch is found twice is
-   settled as it is. Both are counts, with partial sums before each exchange.
+   settled as it is. Both are counts of 64-bit hashes, with partial sums before
+   each exchange.
 2. Blocks. What is left, the stretches where repeats begin and end, is cut into
    blocks of sixteen neighbouring starts, placed relative to the anchor. The
    bytes that all sixteen windows share are the core, eight triples of symbols.
+   Blocks that are the same wherever their core is found are settled by hashes,
+   too; only the others go on to the next steps.
 3. Sort the sampled triples, name them by their order, and recurse on the names
    (eight names, then three, then one) until a name stands for a core.
-4. Merge the remaining suffixes: a start inside a block is ordered by its core's
-   name and the sixteen bytes before and behind the core.
-5. Compare adjacent prefixes: equal neighbours are repeated strings.
+4. Group the remaining starts by their core's name, their place in the block
+   and the sixteen bytes around the core. Groups of two and more are repeated
+   strings. This replaces merging all suffixes and comparing neighbours: no
+   suffixes are ordered here.
 
 No step gathers a group: names are given by range partitions, and equal
-neighbours are counted with partial sums.
+starts are counted with partial sums.
 """
 
 from __future__ import annotations
@@ -241,7 +245,7 @@ def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
     unclear = live.where("not same")
     names = core_names(unclear.select("piece", F.col("bytes").alias("core")), spec)
 
-    # Merge: sixteen bytes around the core order a start among those of one name.
+    # Grouped, not merged: sixteen bytes around the core tell apart the starts of one name.
     start = F.explode(F.sequence("low", "high")).alias("i")
     around = F.expr(f"substring(edge, i - low + 1, {BLOCK})")
     rest = unclear.join(names.hint("merge"), "piece").select("_doc", "n", "begin", "name", "edge", "low", start)
