@@ -36,6 +36,14 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_text_columns(
     df: DataFrame,
     schema: str | StructType,

@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, line_templates, near_dups, pii, quality_rules, rule_ensemble, sentence_spans, sentencepieces, suffixes
-from emberline.llm.reference_sql import CHATS, LEAKS, LINES, NEAR
+from emberline.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    line_templates,
+    merkle,
+    near_dups,
+    pii,
+    quality_rules,
+    rule_ensemble,
+    sentence_spans,
+    sentencepieces,
+    suffixes,
+    whitening,
+)
+from emberline.llm.reference_sql import CHATS, LEAKS, LINES, MERKLE, NEAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -93,3 +107,19 @@ def op9(spark, sf):
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return suffixes.digest(suffixes.suffix_dedup(docs))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf):
+    return whitening.digest(whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding")))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark, sf):
+    return fingerprints.sim_duplicates(table(spark, sf, "documents"))
+
+
+@query("op13_merkle_manifest", MERKLE)
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    return merkle.digest(merkle.proofs(docs, merkle.tampered(F.col("text"), F.col("doc_id"))))

@@ -104,3 +104,56 @@ shared as (
 select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
 from w left join n using (doc_id) join c using (doc_id)
 """
+
+
+def _merkle(levels: int = 14) -> str:
+    """One step a level, as many as 8^14 leaves need; a tree that has come down
+    to one node passes it on. The checksum is worked out bit by bit."""
+
+    def field(name: str) -> str:
+        return f"coalesce(cast(octet_length(encode(cast({name} as varchar))) as varchar) || ':' || cast({name} as varchar), '-')"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    others = [field(f) for f in ("doc_id", "source", "lang", "n_chars")]
+    byte = "list_reduce(list_prepend(xor(c, ascii(x)), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, x: {byte.replace('ascii(x)', 'x')}), 4294967295)"
+    steps = [
+        f"""l as (
+    select row_number() over (order by lang nulls first, doc_id nulls first, leaf) as row, *,
+        row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i0
+    from (select doc_id, lang, sha256({' || '.join([*others, field('text')])}) as leaf,
+        case when {crc} % 3 = 0 and text is not null then sha256({' || '.join([*others, field(lower)])}) end as shown from documents)
+)""",
+        "a0 as (select lang as g, i0 as i, leaf as d, count(*) over (partition by lang) as n from l)",
+    ]
+
+    def grow(name: str, k: int) -> str:
+        return f"""{name}{k + 1} as (
+    select g, i, case when m = 1 then ds[1] else sha256(array_to_string(ds, '')) end as d, count(*) over (partition by g) as n, m, ds
+    from (select g, i // 8 as i, max(n) as m, list(d order by i) as ds from {name}{k} group by g, i // 8)
+)"""
+
+    steps += [grow("a", k) for k in range(levels)]
+    steps.append(f"b0 as (select 0 as g, row_number() over (order by g nulls first) - 1 as i, d, count(*) over () as n, g as lang from a{levels})")
+    steps += [grow("b", k) for k in range(levels)]
+    steps.append(
+        f"""p0 as (
+    select l.*, b0.i as j0, b0.d as subroot, b{levels}.d as root, '' as proof, coalesce(shown, leaf) as h
+    from l join b0 on l.lang is not distinct from b0.lang cross join b{levels}
+)"""
+    )
+    for k in range(2 * levels):
+        name, at, on, place = ("a", k, "t.g is not distinct from p.lang", "i0") if k < levels else ("b", k - levels, "true", "j0")
+        node = f"(p.{place} // {8**at})"
+        left, right = f"array_to_string(ds[:{node} % 8], '')", f"array_to_string(ds[{node} % 8 + 2:], '')"
+        steps.append(
+            f"""p{k + 1} as (
+    select p.* exclude (proof, h), proof || case when m = 1 then '' else {left} || {right} end as proof,
+        case when m = 1 then h else sha256({left} || h || {right}) end as h
+    from p{k} p join {name}{at + 1} t on {on} and t.i = p.{place} // {8 ** (at + 1)}
+)"""
+        )
+    return f"with {', '.join(steps)} select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified from p{2 * levels}"
+
+
+MERKLE = _merkle()
