@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.catalog import frames as X
 from emberline.catalog import views as V
+from emberline.catalog.kept import once
 from emberline.catalog.registry import query, r4
 from emberline.operators import learn as L
 from emberline.operators import metrics as M
@@ -252,18 +253,6 @@ def w5(spark, sf):
 # checked exactly is which rows are scored and that every measure is in its range. --
 
 FOREST, BOOSTED, NETWORK = L.ForestSpec(), L.BoostedSpec(), L.SequenceSpec()
-_KEPT: dict[tuple, object] = {}
-
-
-def _once(spark, sf, what, make):
-    """One result for each application, table folder and ``what``: models are
-    fitted once and loaded by the other queries."""
-    key = (spark.sparkContext.applicationId, sf, what)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def _model(spark, sf, kind, spec, fit):
     """The saved model, fitted first if there is none yet."""
 
@@ -272,11 +261,11 @@ def _model(spark, sf, kind, spec, fit):
         L.save(fit(), path)
         return path
 
-    return L.load_or_none(spark, _once(spark, sf, (kind, spec), made))
+    return L.load_or_none(spark, once(spark, sf, (kind, spec), made))
 
 
 def _sides(spark, sf):
-    return training.temporal_split(_once(spark, sf, "training", lambda: X.stored_training(spark, sf)), X.TEST_START)
+    return training.temporal_split(once(spark, sf, "training", lambda: X.stored_training(spark, sf)), X.TEST_START)
 
 
 def _windows(spark, sf):
@@ -290,7 +279,7 @@ def _windows(spark, sf):
         sides = [M.standardise(side.select(*keep), scale, TRAINING_FEATURES) for side in (train, test)]
         return [stored(Q.flattened(Q.sequences(side, _N), vector=True), "windows") for side in sides]
 
-    return _once(spark, sf, "windows", made)
+    return once(spark, sf, "windows", made)
 
 
 def _tabular(spark, sf, spec):
@@ -310,7 +299,7 @@ def _rule_sides(spark, sf):
         rows = L.split_rows(X.processed(spark, sf), ["date", "zone_idx"])
         return stored(rows.withColumn("active_fire_nearby", F.col("active_fire_nearby").cast("int")), "features")
 
-    matrix = _once(spark, sf, "rule", made)
+    matrix = once(spark, sf, "rule", made)
     return [matrix.where(F.col("split") == side) for side in ("train", "test")]
 
 

@@ -250,20 +250,30 @@ def p3(spark, sf):
     return rows.select("latitude", "longitude", "acq_date", "acq_time", "fetched_at")
 
 
-def _mixed_files(spark, sf):
-    """A folder with data files, data files with broken lines, and error answers."""
+# Lines of a landed file of the fixture.
+_LINES = 20_000
+
+
+def mixed_files(spark, sf):
+    """A folder of data files, of which some have broken lines, and of error
+    answers. A day has as many files as its lines need, each of which one task
+    writes: its header first, then its lines. Days without data are one line."""
     path = scratch_dir(spark, "mixed_csv")
     hot = V.hotspots(spark, sf).select("event_id", *FEED)
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FEED])
     broken = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("broken,,"), F.col("event_id").cast("string"))).otherwise(line)
-    header = F.lit(",".join(FEED))
-    # One text file for each day: its header, then its lines.
-    body = F.array_join(F.array_sort(F.collect_list(broken)), "\n")
-    files = hot.groupBy("acq_date").agg(body.alias("body"))
+    files = hot.groupBy("acq_date").agg(F.ceil(F.count(F.lit(1)) / _LINES).alias("files"))
     failed = F.dayofmonth("acq_date") % 5 == 0
-    text = F.when(failed, F.concat(F.lit("Invalid MAP_KEY for "), F.col("acq_date").cast("string"))).otherwise(F.concat(header, F.lit("\n"), F.col("body")))
-    files.select(F.dayofmonth("acq_date").alias("day"), text.alias("value")).repartition("day").write.partitionBy("day").text(path)
-    return path + "/*"
+    lines = hot.join(F.broadcast(files), "acq_date").where(~failed)  # a row a calendar day
+    lines = lines.select("acq_date", F.pmod(F.xxhash64("event_id"), "files").alias("file"), F.lit(1).alias("at"), broken.alias("value"))
+    each = files.where(~failed).select("acq_date", F.explode(F.sequence(F.lit(0).cast("long"), F.col("files") - 1)).alias("file"))
+    headers = each.select("acq_date", "file", F.lit(0).alias("at"), F.lit(",".join(FEED)).alias("value"))
+    answer = F.concat(F.lit("Invalid MAP_KEY for "), F.col("acq_date").cast("string"))
+    errors = files.where(failed).select("acq_date", F.lit(0).cast("long").alias("file"), F.lit(0).alias("at"), answer.alias("value"))
+    rows = lines.unionByName(headers).unionByName(errors).withColumn("day", F.dayofmonth("acq_date"))
+    rows = rows.repartition("day", "file").sortWithinPartitions("day", "file", "at")
+    rows.select("day", "file", "value").write.partitionBy("day", "file").text(path)
+    return path
 
 
 @query(
@@ -272,13 +282,13 @@ def _mixed_files(spark, sf):
 )
 def src2_mixed(spark, sf):
     """What is read from good files, files with broken lines and error answers."""
-    return R.read_hotspots(spark, _mixed_files(spark, sf)).select("latitude", "longitude", "acq_date", "acq_time", "frp")
+    return R.read_hotspots(spark, mixed_files(spark, sf) + "/*/*").select("latitude", "longitude", "acq_date", "acq_time", "frp")
 
 
 @query("src2_quarantined_files", "select day(acq_date) as day from hotspots where day(acq_date)%5=0 group by 1")
 def src2_files(spark, sf):
     """Files that are error answers."""
-    bad = R.quarantined(spark, _mixed_files(spark, sf))
+    bad = R.quarantined(spark, mixed_files(spark, sf) + "/*/*")
     return bad.select(F.regexp_extract("file_path", "day=([0-9]+)", 1).cast("long").alias("day"))
 
 
@@ -288,7 +298,7 @@ def src2_files(spark, sf):
 )
 def src2_rows(spark, sf):
     """Lines of data files that can't be read."""
-    bad = R.quarantined_rows(spark, _mixed_files(spark, sf))
+    bad = R.quarantined_rows(spark, mixed_files(spark, sf) + "/*/*")
     return bad.select(F.regexp_extract("file_path", "day=([0-9]+)", 1).cast("long").alias("day"), "line")
 
 

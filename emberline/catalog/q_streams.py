@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from emberline import schemas
 from emberline.catalog import frames as X
 from emberline.catalog import views as V
+from emberline.catalog.kept import once
+from emberline.catalog.q_sources import mixed_files
+from emberline.catalog.reference_sql import one_decimal
 from emberline.catalog.registry import query
+from emberline.functions.scalar import acquisition_time
 from emberline.operators import alerts as A
 from emberline.operators.dedup import DETECTION_KEYS, stitch
 from emberline.plans import daily, refresh, state
@@ -26,26 +30,33 @@ def _landed(spark, sf, view):
     return D.file_stream(spark, folder, hot.schema)
 
 
-def _landed_in_order(spark, sf, files=3):
-    """Detections as so many files, one after the other in time, each of which
-    is a micro-batch. A third of each file was in the one before."""
-    folder = scratch_dir(spark, "landed_in_order")
-    hot = X.detections(spark, sf).withColumn("acq_datetime", F.col("ts").cast("timestamp")).drop("ts")
-    day = F.dayofmonth("date")
-    for i in range(files):
-        low, high = 31 * i / files - (4 if i else 0), 31 * (i + 1) / files
-        part = hot.where((day > low) & (day <= high))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return D.file_stream(spark, folder, hot.schema, max_files=1)
-
-
-def refreshed(spark, sf):
-    """The zone state that a refresh over several micro-batches stored."""
-    base, check = scratch_dir(spark, "refresh"), scratch_dir(spark, "refresh_check")
-    stream = _landed_in_order(spark, sf)
-    run = refresh.refresh_by_batches(V.weather_now(spark, sf), X.REGION, base, stream.schema, V.ndvi_obs(spark, sf))
-    D.run_refresh(stream, run, check)
-    return state.read_state(spark, f"{base}/zone_state")
+def refreshed(spark, sf) -> refresh.ZoneRefresh:
+    """The zone state after five landings of two feeds, each a micro-batch:
+    weather, of which the last eleven days are ten degrees too hot, detections
+    up to the tenth, the last eleven days' weather again as it should be, and
+    two more landings of detections. Each of detections repeats four days of
+    the one before."""
+
+    def run():
+        base = scratch_dir(spark, "refresh")
+        hot = X.detections(spark, sf).withColumn("acq_datetime", F.col("ts").cast("timestamp")).drop("ts")
+        weather, day = V.weather_now(spark, sf), F.dayofmonth("date")
+        off = weather.withColumn("temperature_c", F.when(day > 20, F.col("temperature_c") + 10).otherwise(F.col("temperature_c")))
+        zones = refresh.ZoneRefresh(base, X.REGION, hot.schema, weather.schema, V.ndvi_obs(spark, sf))
+        feeds = {"weather": zones.on_weather, "detections": zones.on_detections}
+        for kind, rows in (
+            ("weather", off),
+            ("detections", hot.where(day <= 10)),
+            ("weather", weather.where(day > 20)),
+            ("detections", hot.where((day > 6) & (day <= 20))),
+            ("detections", hot.where(day > 16)),
+        ):
+            folder = f"{base}/feed_{kind}"
+            rows.write.mode("append").parquet(folder)
+            D.run_refresh(D.file_stream(spark, folder, rows.schema), feeds[kind], f"{base}/check_{kind}")
+        return zones
+
+    return once(spark, sf, "refreshed", run)
 
 
 def _sink(spark, stream):
@@ -61,6 +72,38 @@ def ts1(spark, sf):
     return _sink(spark, stream.select("event_id", "date", F.round("frp", 4).alias("frp")))
 
 
+def _quarantined(spark, sf):
+    """What a stream over files with broken lines and error answers landed."""
+    out = scratch_dir(spark, "quarantined")
+    D.run_quarantine(spark, f"{mixed_files(spark, sf)}/*/*", out, scratch_dir(spark, "quarantine_check"), schemas.HOTSPOT)
+    return out, spark.read.schema(D.landed_schema(schemas.HOTSPOT)).parquet(out)
+
+
+@query(
+    "ts1_accepted_stream",
+    """select latitude, longitude, acq_date, acq_time, round(frp, 4) as frp from hotspots where event_id%7<>0 and day(acq_date)%5<>0""",
+)
+def ts1_accepted(spark, sf):
+    """Text files to rows to detections, each once, in two streams: error answers and broken lines are left behind."""
+    out, landed = _quarantined(spark, sf)
+    stream = D.accepted(D.file_stream(spark, out, landed.schema), landed)
+    timed = stream.withColumn("acq_datetime", acquisition_time("acq_date", "acq_time"))
+    rows = D.deduplicated(timed, DETECTION_KEYS).select("latitude", "longitude", "acq_date", "acq_time", F.round("frp", 4).alias("frp"))
+    return _sink(spark, rows)
+
+
+@query(
+    "ts1_refused_lines",
+    """select day(acq_date) as day, concat('broken,,', event_id) as line from hotspots where event_id%7=0 and day(acq_date)%5<>0
+    union all select distinct day(acq_date), null from hotspots where day(acq_date)%5=0""",
+)
+def ts1_refused(spark, sf):
+    """What the same stream refused: lines of data files, and whole files (null)."""
+    _, landed = _quarantined(spark, sf)
+    refused = D.refused_rows(landed).unionByName(D.refused_files(landed).withColumn("line", F.lit(None).cast("string")))
+    return refused.select(F.regexp_extract("file_path", "day=([0-9]+)", 1).cast("long").alias("day"), "line")
+
+
 @query(
     "ts2_zone_windows",
     """select time_bucket(interval '15 minutes', ts) as window_start, time_bucket(interval '15 minutes', ts)+interval '15 minutes' as window_end,
@@ -80,8 +123,21 @@ def ts2(spark, sf):
 
 @query("ts3_refresh_alerts", "select date, zone_idx, severity, reason from alert_rows")
 def ts3(spark, sf):
-    """Micro-batches of detections refreshed against the latest weather into alerts."""
-    return A.alerts(refreshed(spark, sf)).select("date", "zone_idx", "severity", "reason")
+    """Alerts of a state that followed detections and newer weather for the same dates."""
+    return A.alerts(refreshed(spark, sf).state.read(spark)).select("date", "zone_idx", "severity", "reason")
+
+
+@query(
+    "ts3_date_versions",
+    """select date, max(v) as version, max(case when kind='w' then v end) = 3 as weather_again from (
+      select date, 1 as v, 'w' as kind from weather_now union all select date, 3, 'w' from weather_now where day(date)>20
+      union all select date, 2, 'd' from hotspots where day(date)<=10 union all select date, 4, 'd' from hotspots where day(date)>6 and day(date)<=20
+      union all select date, 5, 'd' from hotspots where day(date)>16) e group by date having bool_or(kind='w')""",
+)
+def ts3_versions(spark, sf):
+    """Which version of the state wrote each date: only touched dates are written."""
+    rows = refreshed(spark, sf).state.ledger(spark).where("version is not null")
+    return rows.select("date", "version", (F.col("weather") > 0).alias("weather_again"))
 
 
 @query(
@@ -90,11 +146,33 @@ def ts3(spark, sf):
     (partition by zone_idx order by date desc) as rn from banded) b where rn=1""",
 )
 def ts4(spark, sf):
-    """Latest row of every zone in the table that the refresh keeps."""
-    history = refreshed(spark, sf).select(
-        "zone_idx", "date", "risk_score", A.severity("risk_score", AlertSpec()).alias("severity")
-    )
-    return X.rounded(state.current_state(history, order="date"))
+    """Latest row of every zone in the state that the refresh keeps."""
+    rows = state.newest(refreshed(spark, sf).state, spark)
+    return X.rounded(rows.select("zone_idx", "date", "risk_score", A.severity("risk_score", AlertSpec()).alias("severity")))
+
+
+@query(
+    "ts4_first_version",
+    f"""select date, zone_idx, severity, case when why='' then 'elevated model risk score' else why end as reason
+    from (select *, concat_ws('; ', case when fwi>60 then concat('extreme FWI (', {one_decimal("fwi")}, ')') end,
+        case when wx_wind_speed_ms>8 then concat('high wind (', {one_decimal("wx_wind_speed_ms")}, ' m/s)') end) as why
+      from banded where risk_score>=0.7 and day(date)<=20) a""",
+)
+def ts4_first(spark, sf):
+    """An older version, read after four newer ones: no detections yet."""
+    rows = refreshed(spark, sf).state.read(spark, version=1).where(F.dayofmonth("date") <= 20)
+    return A.alerts(rows).select("date", "zone_idx", "severity", "reason")
+
+
+@query(
+    "ts4_status",
+    """select 'ok' as status, count(*) as total_zones, count(*) filter (where risk_score>=0.7) as total_alerts,
+    count(*) filter (where severity='EXTREME') as n_extreme, count(*) filter (where severity='HIGH') as n_high,
+    round(max(risk_score), 4) as max_risk_score, round(avg(risk_score), 4) as mean_risk_score from banded""",
+)
+def ts4_status(spark, sf):
+    """Status and numbers of the newest version."""
+    return X.rounded(state.summary_of(refreshed(spark, sf).state, spark).drop("timestamp"))
 
 
 @query("refresh_from_files", "select date, zone_idx, severity, reason from alert_rows_of_files")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.functions.vegetation import ndvi, ndvi_proxy
 from emberline.operators.nearest import one_row_per_day
@@ -13,14 +13,42 @@ from emberline.schemas import LIVE_FEATURES
 WEATHER = ["wx_temperature_c", "wx_humidity_pct", "wx_wind_speed_ms", "wx_precipitation_mm"]
 
 
-def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",)) -> DataFrame:
-    """Exact median of each column per group.
+#: Parts of a group's rows in which the middle is searched, as an accuracy of
+#: the sketch; the state of a group is bounded by it.
+ACCURACY = 4096
 
-    The partial state counts distinct values, of which a group has no more than
-    weather stations, so a group that holds a third of the rows is still small
-    when it leaves the map side.
+
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",), accuracy: int = ACCURACY) -> DataFrame:
+    """Exact median of each column per group, as ``_med_<column>``.
+
+    Selection in two passes, neither of which holds a group's values. The first
+    takes a sketch whose ranks are wrong by one in ``accuracy`` rows at most,
+    and from it two values that surely enclose the middle. The second counts
+    the rows below and collapses those between them to distinct values, a
+    thousandth of the group; only these are ranked. Both shrink on the map side.
     """
-    return df.groupBy(*by).agg(*[F.median(c).alias(f"_med_{c}") for c in columns])
+    by = list(by)
+    entries = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])
+    values = df.select(*by, F.inline(entries)).where("_x is not null")
+    margin = 2 / accuracy
+    bounds = values.groupBy(*by, "_c").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", [0.5 - margin, 0.5 + margin], accuracy).alias("_q")
+    )
+    placed = values.join(one_row_per_day(bounds, by, "_c"), [*by, "_c"]).where(F.col("_x") <= F.col("_q")[1])
+    near = F.when(F.col("_x") >= F.col("_q")[0], F.col("_x"))
+    counted = placed.groupBy(*by, "_c", near.alias("_x")).agg(F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*by, "_c").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_upto", F.sum("_rows").over(upto))
+    # Ranks from 0: a value takes those from _upto - _rows to _upto - 1.
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+
+    def at(rank):
+        return F.max(F.when((F.col("_upto") - F.col("_rows") <= rank) & (rank < F.col("_upto")), F.col("_x")))
+
+    middle = ranked.groupBy(*by, "_c").agg((at(low) * 0.5 + at(high) * 0.5).alias("_m"))
+    sure = F.coalesce("_m", F.raise_error(F.lit("the sketch does not enclose the median")).cast("double"))
+    of = [F.max(F.when(F.col("_c") == i, sure)).alias(f"_med_{c}") for i, c in enumerate(columns)]
+    return middle.groupBy(*by).agg(*of)
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] = WEATHER, by: Sequence[str] = ("date",)) -> DataFrame:

@@ -38,43 +38,52 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-# Score buckets of the two upper levels of the rank sum, per level.
-_BUCKETS = 1024
+# Score ranges of a group's rank sum: a power of two.
+RANGES = 512
+
+
+def score_ranges(per_score: DataFrame, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """``per_score`` (by..., _s, ...), one row a score, with ``_range``: the
+    ranges follow the quantiles of the group's scores, so each has about the
+    same number of them, wherever they lie."""
+    by = list(by)
+    cuts = F.percentile_approx("_s", [i / ranges for i in range(1, ranges)], 16 * ranges).alias("_cuts")
+    if by:
+        rows = per_score.join(per_score.groupBy(*by).agg(cuts), by)
+    else:
+        rows = per_score.withColumn("_cuts", per_score.agg(cuts).scalar())
+    # How many cuts are at or below the score, by bisection.
+    rows, step = rows.withColumn("_range", F.lit(0)), ranges // 2
+    while step:
+        up = F.col("_s") >= F.element_at("_cuts", F.col("_range") + step)
+        rows, step = rows.withColumn("_range", F.col("_range") + F.when(up, step).otherwise(0)), step // 2
+    return rows.drop("_cuts")
 
 
 def roc_auc(df: DataFrame, label="label", score="score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the tie-aware rank sum; null with one class.
 
-    Equal scores collapse first, map-side. The running count of negatives below
-    a score is then built top-down over score buckets: 1024 coarse ones, 1024
-    fine ones in each, and the distinct scores inside a fine one. Every level
-    is a window over a bounded or narrow partition, so no task ever sorts the
-    whole table. Scores must lie in [0, 1].
+    Equal scores collapse first, map-side. The negatives below a score are
+    those of the ranges below (``score_ranges``), of which a group has a fixed
+    number, and those below it in its own range. So no task sorts more than its
+    ranges, even if all scores are crowded in one spot. Scores may be any numbers.
     """
     by = list(by)
-    s = F.col("_s")
     per_score = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*by, F.col(score).alias("_s"))
         .agg(F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("_pos"))
-        .withColumn("_cell", F.least(F.floor(s * (_BUCKETS * _BUCKETS)), F.lit(_BUCKETS * _BUCKETS - 1)))
-        .withColumns({"_hi": F.floor(F.col("_cell") / _BUCKETS), "_lo": F.pmod("_cell", F.lit(_BUCKETS))})
     )
+    ranged = score_ranges(per_score, by)
 
     def below(rows: DataFrame, part: list[str], order: str, out: str) -> DataFrame:
         w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(out, F.coalesce(F.sum("_neg").over(w), F.lit(0)))
 
-    fine = per_score.groupBy(*by, "_hi", "_lo").agg(F.sum("_neg").alias("_neg"))
-    coarse = fine.groupBy(*by, "_hi").agg(F.sum("_neg").alias("_neg"))
-    # A group's coarse level has at most 1024 rows, a coarse bucket's fine
-    # level as well.
-    coarse = below(coarse, by, "_hi", "_b1") if by else below(coarse.withColumn("_g", F.lit(0)), ["_g"], "_hi", "_b1").drop("_g")
-    fine = below(fine, [*by, "_hi"], "_lo", "_b2")
-    offset = fine.drop("_neg").join(coarse.drop("_neg"), [*by, "_hi"])
-    offset = offset.select(*by, "_hi", "_lo", (F.col("_b1") + F.col("_b2")).alias("_before"))
-    rows = below(per_score, [*by, "_hi", "_lo"], "_s", "_b3").join(offset, [*by, "_hi", "_lo"])
-    wins = F.col("_pos") * (F.col("_before") + F.col("_b3") + F.col("_neg") * 0.5)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("_neg").alias("_neg")).withColumn("_g", F.lit(0))
+    before = below(totals, ["_g", *by], "_range", "_before").drop("_neg", "_g")
+    rows = below(ranged, [*by, "_range"], "_s", "_within").join(before, [*by, "_range"])
+    wins = F.col("_pos") * (F.col("_before") + F.col("_within") + F.col("_neg") * 0.5)
     return rows.groupBy(*by).agg(
         F.try_divide(
             F.sum(wins), F.sum("_pos").cast("double") * F.sum("_neg").cast("double")

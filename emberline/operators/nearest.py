@@ -18,11 +18,14 @@ from emberline.spec import RegionSpec
 
 # Average number of candidates per zone the first search aims at.
 CANDIDATES = 8.0
-# Descent of the second search: each tile has FAN x FAN children, so a parent
-# never lists more than FAN**2 = 256 of them, however many points they hold; the
-# finest tiles are 1/4096 of the region on a side.
+# Descent of the second search: each tile has 2**FAN_BITS children a side, so a
+# parent never lists more than 256 of them, however many points they hold; the
+# finest regular tiles are 1/256 of the region on a side. What lies in one is cut
+# once more, into parts of its measured extent: as many a side as leave about
+# CANDIDATES places in each, so a crowd is resolved however small its spot is.
 FAN_BITS = 4
-LEVELS = 3
+LEVELS = 2
+MOST_PARTS = 64
 
 
 def _zone_distance2(row: Column, col: Column, spec: RegionSpec) -> Column:
@@ -136,14 +139,15 @@ def _window_cells(points: DataFrame, spec: RegionSpec, by: Sequence[str]) -> Dat
     return points.groupBy(*by).agg(F.greatest(F.least(ideal, widest), F.lit(1)).cast("int").alias("_k"))
 
 
-def one_row_per_day(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Broadcast hint for a table keyed by calendar date alone.
+def one_row_per_day(df: DataFrame, by: Sequence[str], also: str | None = None) -> DataFrame:
+    """Broadcast hint for a table keyed by calendar date alone, or by date and
+    ``also``, which numbers a few columns.
 
     Its size is bounded by the calendar (366 short rows a year, under 2 MB for a
     century) whatever the data volume. Any other key gets no hint and is left to
     the adaptive planner, which checks the measured size.
     """
-    only_date = len(by) == 1 and dict(df.dtypes).get(by[0]) == "date"
+    only_date = len(by) == 1 and dict(df.dtypes).get(by[0]) == "date"  # one row for each value of ``also``
     return F.broadcast(df) if only_date else df
 
 
@@ -231,6 +235,20 @@ def _tiles(points: DataFrame, spec: RegionSpec) -> DataFrame:
     )
 
 
+def _parted(places: DataFrame, finest: DataFrame, by: list[str]) -> DataFrame:
+    """The part of its tile that each place lies in, _sy and _sx: the tile's
+    measured extent is cut into as many a side as its points ask for."""
+    side = F.least(F.ceil(F.sqrt(F.col("n") / CANDIDATES)), F.lit(MOST_PARTS))
+
+    def part(value: str, lo: str, hi: str) -> Column:
+        share = F.when(F.col(hi) > F.col(lo), (F.col(value) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
+        return F.least(F.floor(share * side), side - 1).cast("int")
+
+    cut = places.join(finest, [*by, "_ty", "_tx"])
+    cut = cut.withColumns({"_sy": part("latitude", "y0", "y1"), "_sx": part("longitude", "x0", "x1")})
+    return cut.select(*places.columns, "_sy", "_sx")
+
+
 def _descend(
     open_zones: DataFrame,
     points: DataFrame,
@@ -244,8 +262,8 @@ def _descend(
     From the whole region down, a zone looks at the children of its surviving
     tiles (at most FAN**2 each) and drops those whose nearest possible point is
     farther than the farthest possible point of another. Few tiles survive a
-    level, so the final join with the points stays close to one tile a zone,
-    no matter how the points are spread.
+    level, so the final join with the points stays close to one part of a tile
+    a zone, no matter how the points are spread.
     """
     by = list(by)
     tiled = _tiles(points, spec)
@@ -255,7 +273,7 @@ def _descend(
         F.min("longitude").alias("x0"),
         F.max("longitude").alias("x1"),
     ]
-    finest = tiled.groupBy(*by, "_ty", "_tx").agg(*extent)
+    finest = tiled.groupBy(*by, "_ty", "_tx").agg(*extent, F.count(F.lit(1)).alias("n"))
 
     def children(level: int) -> DataFrame:
         """Per tile of the level above: its non-empty children and their extents."""
@@ -292,22 +310,30 @@ def _descend(
     tighten = "least(_bound, array_min(transform(_rated, t -> t.hi)))"
     # The margin keeps ties and rounding on the safe side.
     survive = "inline(filter(_rated, t -> t.lo <= _bound * 1.000000001D))"
-    for level in range(1, LEVELS + 1):
-        search = (
-            search.join(children(level), [*by, "_py", "_px"])
+    def narrowed(search: DataFrame, kids: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+        return (
+            search.join(kids, [*by, "_py", "_px"])
             .withColumn("_rated", F.expr(rate))
             .withColumn("_bound", F.expr(tighten))
-            .select(*by, "zone_idx", "_y", "_x", "_bound", F.expr(survive))
-            .select(*by, "zone_idx", "_y", "_x", "_bound", F.col("ty").alias("_py"), F.col("tx").alias("_px"))
+            .select(*by, "zone_idx", "_y", "_x", "_bound", *carried, F.expr(survive))
+        )
+
+    for level in range(1, LEVELS + 1):
+        search = narrowed(search, children(level)).select(
+            *by, "zone_idx", "_y", "_x", "_bound", F.col("ty").alias("_py"), F.col("tx").alias("_px")
         )
 
     # Copies at the same place are one candidate: the smallest tie value.
     places = tiled.groupBy(*by, "_ty", "_tx", "latitude", "longitude").agg(
         F.min(F.struct(F.col(tie).alias("tie"), F.struct(*values).alias("v"))).alias("_p")
     )
-    hits = search.join(
-        places.withColumnsRenamed({"_ty": "_py", "_tx": "_px"}), [*by, "_py", "_px"]
+    places = _parted(places, finest, by).withColumnsRenamed({"_ty": "_py", "_tx": "_px"})
+    parts = places.groupBy(*by, "_py", "_px", "_sy", "_sx").agg(*extent)
+    parts = parts.groupBy(*by, "_py", "_px").agg(
+        F.collect_list(F.struct(F.col("_sy").alias("_ty"), F.col("_sx").alias("_tx"), "y0", "y1", "x0", "x1")).alias("_kids")
     )
+    search = narrowed(search, parts, ["_py", "_px"]).withColumnsRenamed({"ty": "_sy", "tx": "_sx"})
+    hits = search.join(places, [*by, "_py", "_px", "_sy", "_sx"])
     d2 = F.expr("(_y - latitude) * (_y - latitude) + (_x - longitude) * (_x - longitude)")
     return (
         hits.select(*by, "zone_idx", F.struct(d2.alias("d2"), F.col("_p.tie").alias("tie"), F.col("_p.v").alias("v")).alias("_b"))

@@ -1,30 +1,22 @@
-"""Stored snapshots: append, read back the current state, summarise."""
+"""Stored snapshots: the current state, its summary, windows over its history."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.operators.alerts import severity
 from emberline.operators.sequences import sequences
-from emberline.sources.readers import path_exists
+from emberline.plans.versions import VersionedDates
 from emberline.spec import AlertSpec
 
 
-class StateNotReady(RuntimeError):
-    """Raised when the state is read before the first refresh."""
-
-
-def append_snapshot(scored: DataFrame, path: str, refreshed_at: Column) -> None:
-    """Adds one refresh to the zone state table."""
-    scored.withColumn("refreshed_at", refreshed_at).write.mode("append").parquet(path)
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, path):
-        raise StateNotReady("no zone state yet: run a refresh first")
-    return spark.read.parquet(path)
+def newest(state: VersionedDates, spark: SparkSession, version: int | None = None) -> DataFrame:
+    """Every zone's row of the last date in a version of the stored state. The
+    rows of a date hold all zones, so no other date is opened."""
+    last = state.ledger(spark, version).where("version is not null").agg(F.max("date")).head()[0]
+    return state.read(spark, version, [] if last is None else [last])
 
 
 def current_state(state: DataFrame, key: str = "zone_idx", order: str = "refreshed_at") -> DataFrame:
@@ -59,14 +51,14 @@ def summary(
     )
 
 
-def summary_of(spark: SparkSession, path: str, refreshed_at: str = "ingested_at") -> DataFrame:
-    """Status, time and numbers of the stored state; before the first refresh
+def summary_of(state: VersionedDates, spark: SparkSession, refreshed_at: str = "ingested_at") -> DataFrame:
+    """Status, time and numbers of the newest version; before the first refresh
     one row that says so."""
     numbers = "total_zones LONG, total_alerts LONG, n_extreme LONG, n_high LONG, max_risk_score DOUBLE, mean_risk_score DOUBLE"
-    if not path_exists(spark, path):
+    if not state.numbers(spark):
         row = spark.range(1).select(F.lit("not_initialised").alias("status"), F.lit(None).cast("timestamp").alias("timestamp"))
         return row.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in numbers.split(", "))])
-    rows = spark.read.parquet(path)
+    rows = state.read(spark)
     when = rows.agg(F.max(refreshed_at).alias("t")).select("t").scalar()
     names = [c.split()[0] for c in numbers.split(", ")]
     return summary(rows, by=()).select(F.lit("ok").alias("status"), when.alias("timestamp"), *names)

@@ -21,6 +21,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it is not there."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
+
+
+def input_files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of the files in a folder and in the folders in it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for pattern in ("*", "*/*") for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(hadoop_path, pattern)) or ()]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isFile()))
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -112,19 +112,17 @@ def test_initial_state_order(spark):
     assert [r[0] for r in df.select(S.initial_state("i", "b")).collect()] == [3, 1, 0]
 
 
-def test_snapshots(spark, tmp_path):
-    path = str(tmp_path / "state")
-    with pytest.raises(state.StateNotReady):
-        state.read_state(spark, path)
+def test_snapshots(spark):
     one = spark.createDataFrame([(0, 0.2, 10.0), (1, 0.95, 90.0)], "zone_idx INT, risk_score DOUBLE, fwi DOUBLE")
     two = spark.createDataFrame([(0, 0.8, 80.0)], "zone_idx INT, risk_score DOUBLE, fwi DOUBLE")
-    state.append_snapshot(one, path, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    state.append_snapshot(two, path, F.lit("2024-01-01 00:15:00").cast("timestamp"))
-    now = state.current_state(state.read_state(spark, path))
+    times = ("2024-01-01 00:00:00", "2024-01-01 00:15:00")
+    one, two = (df.withColumn("refreshed_at", F.lit(t).cast("timestamp")) for df, t in zip((one, two), times))
+    history = one.union(two)
+    now = state.current_state(history)
     assert {(r.zone_idx, r.risk_score) for r in now.collect()} == {(0, 0.8), (1, 0.95)}
     s = state.summary(now, by=[]).first()
     assert (s.total_zones, s.total_alerts, s.n_extreme, s.n_high, s.max_risk_score) == (2, 2, 1, 1, 0.95)
-    seq = state.snapshot_sequences(state.read_state(spark, path), ["fwi"], 2).collect()
+    seq = state.snapshot_sequences(history, ["fwi"], 2).collect()
     assert [(r.zone_idx, r.sequence) for r in seq] == [(0, [[10.0], [80.0]])]
 
 

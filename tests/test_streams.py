@@ -1,9 +1,15 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from emberline.plans.refresh import refresh_by_batches
+from emberline.operators import learn as L
+from emberline.plans import state
+from emberline.plans.refresh import ZoneRefresh
+from emberline.plans.versions import StateNotReady
 from emberline.spec import RegionSpec
 from emberline.streaming import detections as D
 
@@ -68,34 +74,104 @@ def weather(spark):
     return spark.createDataFrame(rows, WEATHER)
 
 
-def state_rows(spark, base):
-    rows = spark.read.parquet(f"{base}/zone_state").select("date", "zone_idx", "active_fire_nearby", "fire_frp", "risk_score")
+REGION = RegionSpec(min_lat=11.5, max_lat=12.5, min_lon=74.0, max_lon=74.5)
+
+
+def zone_refresh(spark, base, **more):
+    feeds = (spark.createDataFrame([], s).schema for s in (FEED, WEATHER))
+    return ZoneRefresh(str(base), REGION, *feeds, **more)
+
+
+def state_rows(zones, spark, version=None):
+    rows = zones.state.read(spark, version).select("date", "zone_idx", "active_fire_nearby", "fire_frp", "wx_temperature_c", "risk_score")
     return sorted(tuple(r) for r in rows.collect())
 
 
+def hotter(weather, degrees):
+    return weather.withColumn("temperature_c", F.col("temperature_c") + degrees)
+
+
 def test_refresh_keeps_each_zone_day_once(spark, weather, tmp_path):
-    region = RegionSpec(min_lat=11.5, max_lat=12.5, min_lon=74.0, max_lon=74.5)
     batches = [[detection(0, 1), detection(1, 2)], [detection(2, 1), detection(0, 1)], [detection(3, 2)]]
     frames = [spark.createDataFrame(b, FEED) for b in batches]
-    step, whole = str(tmp_path / "step"), str(tmp_path / "whole")
-    run = refresh_by_batches(weather, region, step, frames[0].schema)
+    step, whole = zone_refresh(spark, tmp_path / "step"), zone_refresh(spark, tmp_path / "whole")
+    step.on_weather(weather, 0)
     for n, batch in enumerate(frames):
-        run(batch, n)
-    once = state_rows(spark, step)
-    run(frames[1], 1)  # a replay
-    assert state_rows(spark, step) == once
+        step.on_detections(batch, n)
+    once = state_rows(step, spark)
+    step.on_detections(frames[1], 1)  # a replay
+    assert state_rows(step, spark) == once
     everything = spark.createDataFrame(sorted({r for b in batches for r in b}), FEED)
-    refresh_by_batches(weather, region, whole, everything.schema)(everything, 0)
-    assert once == state_rows(spark, whole)
-    assert len(once) == 3 * region.n_zones and sum(r[2] for r in once) > 0
-
-
-def test_refresh_runs_on_a_stream(spark, weather, tmp_path):
-    region = RegionSpec(min_lat=11.5, max_lat=12.5, min_lon=74.0, max_lon=74.5)
-    folder, base = str(tmp_path / "landed"), str(tmp_path / "base")
-    for day in (1, 2):
-        spark.createDataFrame([detection(day, day)], FEED).coalesce(1).write.mode("append").parquet(folder)
-    schema = spark.createDataFrame([], FEED).schema
-    run = refresh_by_batches(weather, region, base, schema)
-    D.run_refresh(D.file_stream(spark, folder, schema, max_files=1), run, str(tmp_path / "check"))
-    assert len(state_rows(spark, base)) == 3 * region.n_zones
+    whole.on_detections(everything, 0)  # detections before there is any weather
+    with pytest.raises(StateNotReady):
+        whole.state.read(spark)
+    whole.on_weather(weather, 0)
+    assert once == state_rows(whole, spark)
+    assert len(once) == 3 * REGION.n_zones and sum(r[2] for r in once) > 0
+
+
+def test_newer_weather_moves_its_dates_only(spark, weather, tmp_path):
+    zones = zone_refresh(spark, tmp_path / "base")
+    with pytest.raises(StateNotReady):
+        zones.state.read(spark)
+    assert state.summary_of(zones.state, spark).head()["status"] == "not_initialised"
+    zones.on_weather(weather, 0)
+    zones.on_detections(spark.createDataFrame([detection(1, 3)], FEED), 0)
+    before = state_rows(zones, spark)
+    zones.on_weather(hotter(weather, 10.0).where("date < DATE '2024-01-03'"), 1)
+    after = state_rows(zones, spark)
+    assert [b[4] - a[4] for a, b in zip(before, after)] == [10.0] * (2 * REGION.n_zones) + [0.0] * REGION.n_zones
+    whole = zone_refresh(spark, tmp_path / "whole")
+    both = hotter(weather, 10.0).where("date < DATE '2024-01-03'").union(weather.where("date = DATE '2024-01-03'"))
+    whole.on_weather(both, 0)
+    whole.on_detections(spark.createDataFrame([detection(1, 3)], FEED), 0)
+    assert after == state_rows(whole, spark)
+    # Detections of a day whose weather changed before are judged by the new weather.
+    zones.on_detections(spark.createDataFrame([detection(2, 1)], FEED), 1)
+    assert {r[4] for r in state_rows(zones, spark) if r[0].day == 1} == {41.0}
+    versions = {r["date"].day: (r["version"], r["detections"], r["weather"]) for r in zones.state.ledger(spark).collect()}
+    assert versions == {1: (4, 1, 1), 2: (3, None, 1), 3: (2, 0, 0)}
+
+
+def test_versions_are_whole_and_stay(spark, weather, tmp_path):
+    zones = zone_refresh(spark, tmp_path / "base")
+    zones.on_weather(weather, 0)
+    first = state_rows(zones, spark)
+    pinned = zones.state.read(spark).select("date", "zone_idx", "wx_temperature_c")
+    zones.on_weather(hotter(weather, 5.0), 1)
+    assert sorted(r["wx_temperature_c"] for r in pinned.collect()) == sorted(r[4] for r in first)
+    assert state_rows(zones, spark, 1) == first != state_rows(zones, spark)
+    # A write that breaks off before its ledger is not a version, and the next one replaces it.
+    (tmp_path / "base/zone_state/files/version=3/date=2024-01-01").mkdir(parents=True)
+    (tmp_path / "base/zone_state/ledger/3").mkdir()
+    assert zones.state.numbers(spark) == [1, 2]
+    zones.on_weather(weather.where("false"), 2)  # touches nothing
+    assert zones.state.numbers(spark) == [1, 2]
+    zones.on_weather(weather, 3)
+    assert zones.state.numbers(spark) == [1, 2, 3] and state_rows(zones, spark) == first
+    assert {r["date"].day for r in state.newest(zones.state, spark).select("date").distinct().collect()} == {3}
+    with pytest.raises(StateNotReady):
+        zones.state.read(spark, 9)
+
+
+def test_a_saved_model_scores_the_next_refresh(spark, weather, tmp_path):
+    path = str(tmp_path / "model")
+    zones = zone_refresh(spark, tmp_path / "base", model_path=path)
+    zones.on_weather(weather, 0)
+    ruled = state_rows(zones, spark)
+    rows = spark.createDataFrame([(float(i), 50.0 - i, i % 2) for i in range(40)], "wx_temperature_c DOUBLE, wx_humidity_pct DOUBLE, fire_risk_label INT")
+    assembled = VectorAssembler(inputCols=["wx_temperature_c", "wx_humidity_pct"], outputCol="features")
+    L.save(Pipeline(stages=[assembled, LogisticRegression(labelCol="fire_risk_label")]).fit(rows), path)
+    zones.on_weather(weather, 1)
+    scored = state_rows(zones, spark)
+    assert [r[:5] for r in scored] == [r[:5] for r in ruled] and [r[5] for r in scored] != [r[5] for r in ruled]
+
+
+def test_refresh_runs_on_streams(spark, weather, tmp_path):
+    zones = zone_refresh(spark, tmp_path / "base")
+    for kind, rows, run in (("weather", [weather], zones.on_weather), ("hot", [spark.createDataFrame([detection(d, d)], FEED) for d in (1, 2)], zones.on_detections)):
+        for part in rows:
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+        D.run_refresh(D.file_stream(spark, str(tmp_path / kind), rows[0].schema, max_files=1), run, str(tmp_path / f"check_{kind}"))
+    assert len(state_rows(zones, spark)) == 3 * REGION.n_zones
+    assert zones.state.numbers(spark) == [1, 2, 3]
