@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -44,6 +44,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, keys: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """The keys, and all other columns in one called _rest, so that none of
+    them meets a column that an operator makes on the way."""
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in keys]
+    return df.select(*keys, F.struct(F.lit(None).cast("byte").alias("c"), *others).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], *more, keys: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """``columns`` as they were before ``packed``, and ``more``."""
+    return df.select(*[F.col(c) if c in keys else F.col("_rest").getField(f"c{i}").alias(c) for i, c in enumerate(columns)], *more)
+
+
 def with_text_columns(
     df: DataFrame,
     schema: str | StructType,

@@ -21,7 +21,7 @@ from emberline.llm import (
     suffixes,
     whitening,
 )
-from emberline.llm.reference_sql import CHATS, LEAKS, LINES, MERKLE, NEAR
+from emberline.llm.reference_sql import CHATS, LEAKS, MERKLE, NEAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -97,7 +97,7 @@ def op8(spark, sf):
     return rule_ensemble.digest(rule_ensemble.score(docs, model))
 
 
-@query("op9_line_dedup", LINES)
+@query("op9_line_dedup")
 def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_templates.digest(line_templates.line_dedup(docs))

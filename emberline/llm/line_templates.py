@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.arrow import without
+from emberline.llm.arrow import packed, unpacked, without
 from emberline.sources.writers import stored
 
 
@@ -39,10 +39,17 @@ class LineSpec:
         return F.when(F.max("long"), min(self.long_documents, self.documents)).otherwise(self.documents)
 
 
-def masked(line: Column) -> Column:
-    """The tokens, one space apart, with ``<*>`` for those that have a digit."""
-    plain = F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))
-    return F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+def _spaced(line: Column) -> Column:
+    """The tokens, one space apart. Most lines are so already; only the others
+    meet a pattern."""
+    plain = F.translate(line, "\t\x0b\x0c\r", "    ")
+    loose = plain.contains("  ") | plain.startswith(" ") | plain.endswith(" ")
+    return F.when(loose, F.trim(F.regexp_replace(plain, " +", " "))).otherwise(plain)
+
+
+def _masked(tokens: Column) -> Column:
+    """``<*>`` for the tokens that have a digit."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(tokens)
 
 
 def _tokens(line: Column) -> Column:
@@ -54,11 +61,14 @@ def _long(line: Column, spec: LineSpec) -> Column:
     return (_tokens(line) >= spec.long_words) & (F.size(plain) >= spec.long_words)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _doc, pos, line) of all lines. _doc tells apart rows that
-    share an id."""
-    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_doc"))
-    return named.select("doc_id", "_doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _row(docs: DataFrame) -> Column:
+    """Tells apart rows that share an id; compared together with the id."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _leaf(line: Column, spec: LineSpec) -> Column:
+    """Of a line's tokens, one space apart: their number and the first ones."""
+    return F.xxhash64(_tokens(line), _masked(F.substring_index(line, " ", spec.depth)))
 
 
 def _agreeing(a: Column, b: Column, spec: LineSpec) -> Column:
@@ -83,7 +93,7 @@ def _buckets(variants: DataFrame, spec: LineSpec) -> DataFrame:
     tokens = tokens.where(f"fields > 0 and n > {spec.depth}")
     each = tokens.select("leaf", "key", "documents", F.explode(F.expr(f"slice(hashes, {spec.depth + 1}, n)")).alias("hash"))
     seen = each.groupBy("leaf", "hash").agg(F.sum("documents").alias("seen"))
-    rare = each.join(seen, ["leaf", "hash"]).groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("seen", "hash"))).alias("rare"))
+    rare = each.join(seen, ["leaf", "hash"]).groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("seen", "hash"))).alias("rare"))
     masks = F.aggregate(
         F.slice("rare", 1, F.col("fields")),
         F.array(folded(F.col("hashes"))),
@@ -158,44 +168,47 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
         left = stored(left, "line_texts_left")
 
 
-def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
-    """(doc_id, _doc, pos) of the lines to drop."""
+def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
+    """(leaf, key, doc_id, _doc, pos, line, long) of the lines in leaves that
+    may hold a recurring one, with their variable fields masked.
+
+    Leaves follow from the first tokens and are counted first. Few are crowded,
+    and only their lines are looked at as a whole.
+    """
     line = F.col("line")
-    leaf = F.xxhash64(_tokens(line), F.substring_index("line", " ", spec.depth))
-    keys = (
-        _lines(docs)
-        .withColumn("line", masked(line))
-        .where("line <> ''")
-        .select("doc_id", "_doc", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("key"), _long(line, spec).alias("long"))
-    )
-    keys = stored(keys, "line_keys")
-    crowded = keys.groupBy("leaf", "_doc").agg(F.max("long").alias("long")).groupBy("leaf")
-    crowded = crowded.agg(F.count(F.lit(1)).alias("n"), spec.enough().alias("enough")).where("n >= enough")
-    held = keys.join(crowded.select("leaf"), "leaf")
-    variants = (
-        held.groupBy("leaf", "key", "_doc", "doc_id")
-        .agg(F.min("pos").alias("pos"))
-        .groupBy("leaf", "key")
-        .agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "_doc", "pos")).alias("at"))
+    lines = docs.select("doc_id", _row(docs).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", _spaced(line))
+    places = lines.select("doc_id", "_doc", "pos", _leaf(line, spec).alias("leaf"), (_tokens(line) >= spec.long_words).alias("long"))
+    blank = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1), F.lit("")).alias("leaf")).head()["leaf"]
+    places = stored(places, "line_leaves").where(F.col("leaf") != blank)
+    crowded = places.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("n"), spec.enough().alias("enough"), F.min("_doc").alias("low"), F.max("_doc").alias("high")
     )
+    crowded = crowded.where("n >= enough and (low < high or enough = 1)").select("leaf")
+    # The text of the lines comes from their documents. The places grow with
+    # the documents, so they are never broadcast.
+    wanted = places.join(crowded, "leaf").groupBy("_doc", "doc_id").agg(F.collect_set("pos").alias("at"))
+    wanted = wanted.select(F.col("_doc").alias("_of"), F.col("doc_id").alias("_id"), "at").hint("merge")
+    rows = docs.where("text is not null").select("doc_id", "text", _row(docs).alias("_doc"))
+    found = wanted.join(rows, (F.col("_of") == F.col("_doc")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    found = found.withColumn("lines", F.split("text", "\n")).select("doc_id", "_doc", "lines", F.explode("at").alias("pos"))
+    found = found.select("doc_id", "_doc", "pos", _spaced(F.element_at("lines", F.col("pos") + 1)).alias("line"))
+    found = found.withColumn("leaf", _leaf(line, spec)).withColumn("line", _masked(line))
+    return found.select("leaf", F.xxhash64("line").alias("key"), "doc_id", "_doc", "pos", "line", _long(line, spec).alias("long"))
+
+
+def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
+    """(doc_id, _doc, pos) of the lines to drop."""
+    held = stored(_crowded_lines(docs, spec), "line_keys")
+    # Again by documents, now that the lines are known: repeats within one don't count.
+    full = held.groupBy("leaf", "_doc").agg(F.max("long").alias("long")).groupBy("leaf")
+    full = full.agg(F.count(F.lit(1)).alias("n"), spec.enough().alias("enough")).where("n >= enough")
+    held = held.join(full.select("leaf"), "leaf")
+    variants = held.groupBy("leaf", "key").agg(F.count_distinct("_doc").alias("documents"), F.first("line").alias("line"))
     variants = stored(variants, "line_variants")
     mixed = variants.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    wanted = variants.join(mixed.select("leaf"), "leaf").select("leaf", "key", "documents", F.col("at._doc"), F.col("at.pos"))
-    # The text of one line for each variant comes from its document.
-    # These and the marks below grow with the documents, so they are never broadcast.
-    texts = (
-        wanted.groupBy("_doc")
-        .agg(F.collect_list(F.struct("pos", "leaf", "key", "documents")).alias("wanted"))
-        .hint("merge")
-        .join(docs.select("text", F.xxhash64("doc_id", "text").alias("_doc")).where("text is not null"), "_doc")
-        .withColumn("_lines", F.split("text", "\n"))
-        .select("_lines", F.explode("wanted").alias("w"))
-        .select("w.leaf", "w.key", "w.documents", masked(F.element_at("_lines", F.col("w.pos") + 1)).alias("line"))
-        .dropDuplicates(["leaf", "key"])
-    )
-    texts = stored(texts, "line_texts")
-    joined = _families(texts, held, spec)
-    members = held.join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
+    joined = _families(variants.join(mixed.select("leaf"), "leaf"), held.drop("line"), spec)
+    members = held.drop("line").join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
     templates = (
         members.groupBy("leaf", "family", "_doc")
         .agg(F.min("doc_id").alias("doc_id"), F.max("long").alias("long"))
@@ -220,17 +233,19 @@ def line_dedup(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     but for n_lines and n_dropped, which are replaced.
     """
     docs = without(docs, ["n_lines", "n_dropped"])
-    dropped = recurring_lines(docs, spec).groupBy("_doc").agg(F.collect_set("pos").alias("_pos")).hint("merge")
-    lines = F.split("text", "\n")
-    left = F.filter(F.col("_lines"), lambda line, i: ~F.array_contains(F.col("_pos"), i))
-    out = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(dropped, "_doc", "left").withColumn("_lines", lines)
-    return out.withColumns(
+    dropped = recurring_lines(docs.select("doc_id", "text"), spec).groupBy("_doc", "doc_id").agg(F.collect_set("pos").alias("gone"))
+    dropped = dropped.select(F.col("_doc").alias("of"), F.col("doc_id").alias("id"), "gone").hint("merge")
+    rows = packed(docs).withColumn("row", _row(docs)).join(dropped, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    rows = rows.withColumn("lines", F.split("text", "\n"))
+    left = F.filter(F.col("lines"), lambda line, i: ~F.array_contains(F.col("gone"), i))
+    out = rows.withColumns(
         {
-            "text": F.when(F.col("_pos").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
-            "n_lines": F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.array_size("_pos"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
+            "n_lines": F.coalesce(F.array_size("lines"), F.lit(0)).cast("long"),
+            "n_dropped": F.coalesce(F.array_size("gone"), F.lit(0)).cast("long"),
         }
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    )
+    return unpacked(out, docs.columns, "n_lines", "n_dropped")
 
 
 def digest(left: DataFrame) -> DataFrame:

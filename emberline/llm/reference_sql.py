@@ -47,43 +47,6 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-# Each variant of a line is compared with its leaf's most frequent one.
-LINES = r"""
-with split as (
-    select doc_id, text, string_split(text, chr(10)) as ls from documents
-), l as (
-    select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from split
-), m as (
-    select doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' '),
-        lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as ts
-    from l
-), k as (
-    select doc_id, pos, ts, len(ts) as n, array_to_string(ts[1:3], ' ') as lead, array_to_string(ts, ' ') as line from m where ts <> ['']
-), held as (
-    select k.* from k join (select n, lead from k group by n, lead having count(distinct doc_id) >= 20) using (n, lead)
-), variants as (
-    select n, lead, line, any_value(ts) as ts, count(distinct doc_id) as docs from held group by n, lead, line
-), pattern as (
-    select n, lead, arg_min(line, (-docs, line)) as family, arg_min(ts, (-docs, line)) as ps from variants group by n, lead
-), members as (
-    select v.n, v.lead, v.line,
-        case when 5 * list_sum(list_transform(range(1, v.n + 1), lambda i: cast(v.ts[i] = p.ps[i] as int))) >= 4 * v.n
-            then p.family else v.line end as family
-    from variants v join pattern p using (n, lead)
-), rows_of as (
-    select h.doc_id, h.pos, h.n, h.lead, family from held h join members using (n, lead, line)
-), templates as (
-    select n, lead, family, min(doc_id) as first from rows_of group by all having count(distinct doc_id) >= 20
-), gone as (
-    select doc_id, list(distinct pos) as ps from rows_of join templates using (n, lead, family) where doc_id > first group by doc_id
-), kept as (
-    select s.doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(ps), 0) as n_dropped,
-        coalesce(array_to_string(list_transform(list_filter(range(len(ls)), lambda i: ps is null or not list_contains(ps, i)), lambda i: ls[i + 1]), chr(10)), '') as kept
-    from split s left join gone using (doc_id)
-)
-select doc_id, n_lines, n_dropped, length(kept) as kept_chars, sha256(kept) as kept_sha256 from kept
-"""
-
 # Pairs are counted on all common shingles; components by walking the links.
 NEAR = r"""
 with recursive w as (
