@@ -7,12 +7,13 @@ of equal fields, corrected for fields that are equal by chance. What the
 estimate can't rule out is compared on full shingle sets.
 
 Copies are one node from the start. Buckets are not expanded into pairs: first
-every member is compared with one pivot; a bucket whose members are then still
-in different groups gets another pivot. What is still open after that is mostly
-not similar, but shares passages. There, members outside the bucket's largest
-group are held against all others: in large buckets block by block, first on
-packed signatures and then on full sets, so that only links become rows. Pairs
-inside one group are never made, and no bucket is cut.
+every member is compared with one pivot, on packed signatures and then, if the
+estimate allows it, on full sets. Large buckets whose members are then still in
+different groups get further pivots. What is open after that is mostly not
+similar, but shares passages. There, members outside the bucket's largest group
+are held against all others on packed signatures inside the join, so that only
+pairs that may be similar become rows. Pairs inside one group are never made,
+and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.arrow import ship_package, with_text_columns, without
+from emberline.llm.arrow import packed as with_rest
+from emberline.llm.arrow import ship_package, unpacked, with_text_columns, without
+from emberline.llm.graph import connected
 from emberline.llm.words import STEP, mixed, shingles
 from emberline.sources.writers import stored
 
@@ -36,8 +39,9 @@ _LOW = 0x1111111111111111
 @dataclass(frozen=True)
 class NearSpec:
     """A pair at the threshold is in no common band once in 200,000 cases;
-    ``slack`` is five standard errors of the estimate. ``small``: members of a
-    bucket whose pairs are rows; ``block``: members of a block of a larger one."""
+    ``slack`` is five standard errors of the estimate. ``pivots``: rounds of
+    pivots; those after the first only while a bucket of more than ``small``
+    members is open."""
 
     words: int = 5
     similar: tuple[int, int] = (75, 100)
@@ -46,7 +50,6 @@ class NearSpec:
     slack: float = 0.2
     pivots: int = 2
     small: int = 32
-    block: int = 64
 
     @property
     def minima(self) -> int:
@@ -96,18 +99,16 @@ def estimate(left, right, spec: NearSpec):
     return (share - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, spec: NearSpec) -> DataFrame:
-    """The pairs (a, b) that are similar: estimated, then on full sets."""
+def _close(x: str, y: str, spec: NearSpec):
+    low, high = spec.similar
+    return estimate(F.col(x), F.col(y), spec) >= low / high - spec.slack
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
+    """The pairs (a, b) that are similar on full sets."""
     ship_package(pairs.sparkSession)
     low, high = spec.similar
-    signs = nodes.select("node", "packed")
-    close = (
-        pairs.join(signs.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-        .join(signs.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-        .where(estimate(F.col("pa"), F.col("pb"), spec) >= low / high - spec.slack)
-        .select("a", "b")
-    )
-    both = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"
     )
 
@@ -128,140 +129,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, spec: NearS
                 a, b = batch.column("a"), batch.column("b")
                 keep = []
                 for i in range(batch.num_rows):
-                    x = of(a[i].as_py(), batch.column("ta")[i].as_py())
+                    text = batch.column("ta")[i].as_py()
+                    x = of((a[i].as_py(), text), text)
                     y = shingles(batch.column("tb")[i].as_py(), spec.words)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both > 0 and high * both >= low * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    both = both.select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, both.select("a", "b").schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in ``links`` (a, b); the component is the
-    smallest node that can be reached.
-
-    Every round each group takes the smallest group it touches and follows it
-    twice; tables are written between rounds, only a count comes back.
-    """
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = ends.select("node", F.col("node").alias("component"))
-    while True:
-        across = (
-            links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-            .where("ca <> cb")
-            .select("ca", "cb")
-            .distinct()
-        )
-        across = stored(across, "across")
-        if across.isEmpty():
-            return labels
-        both = across.union(across.select("cb", "ca"))
-        step = both.groupBy("ca").agg(F.min("cb").alias("to")).where("to < ca").withColumnRenamed("ca", "at")
-        step = stored(step, "steps")
-        for _ in range(2):
-            further = step.select(F.col("at").alias("to"), F.col("to").alias("next"))
-            step = step.join(further, "to", "left").select("at", F.coalesce("next", "to").alias("to"))
-        labels = labels.join(step, F.col("component") == F.col("at"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = stored(labels, "labels")
-
-
-def _buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(band, node, component) of the buckets that hold several groups."""
-    if labels is None:
-        return shared.withColumn("component", F.col("node"))
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, packed, component, size) of the buckets that hold several groups."""
     grouped = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return grouped.join(several.select("band"), "band")
+    several = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    return grouped.join(several.where("low < high").select("band", "size"), "band").select("band", "node", "packed", "component", "size")
+
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of different nodes, the smaller first, once each."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
-def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's pivot, unless both are in one group. The
-    first pivot is the smallest node, which a group's buckets share; then each
-    bucket draws its own by hash, so that a member meets many of them."""
+
+def _pivot_pairs(open_: DataFrame, turn: int, spec: NearSpec) -> DataFrame:
+    """Each member with its bucket's pivot, if they may be similar and aren't in
+    one group. The first pivot is the smallest node, which a group's buckets
+    share; then each bucket draws its own by hash, so that a member meets many."""
     drawn = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "band", "node")
-    order = F.struct(drawn.alias("drawn"), "node", "component")
-    pivots = open_.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.node", "p.component")
-    pivots = pivots.toDF("band", "pivot", "group")
-    pairs = open_.join(pivots, "band").where(F.col("component") != F.col("group"))
-    return pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    order = F.struct(drawn.alias("drawn"), "node", "component", "packed")
+    pivots = open_.groupBy("band").agg(F.min(order).alias("p"))
+    pivots = pivots.select("band", F.col("p.node").alias("x"), F.col("p.component").alias("group"), F.col("p.packed").alias("px"))
+    pairs = open_.withColumnRenamed("node", "y").join(pivots, "band").where(F.col("component") != F.col("group"))
+    return _ordered(pairs.where(_close("px", "packed", spec)))
 
 
-def _other_pairs(open_: DataFrame) -> DataFrame:
-    """Members outside their bucket's largest group with all members of other
-    groups."""
+def _other_pairs(open_: DataFrame, spec: NearSpec) -> DataFrame:
+    """Members outside their bucket's largest group with the members of other
+    groups that they may be similar to."""
     sizes = open_.groupBy("band", "component").count()
     largest = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("m")).select("band", F.col("m.component").alias("largest"))
-    outside = open_.join(largest, "band").where(F.col("component") != F.col("largest"))
-    outside = outside.select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = outside.join(open_, "band").where(F.col("component") != F.col("cx"))
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-
-
-def _sized(open_: DataFrame, spec: NearSpec) -> tuple[DataFrame, DataFrame]:
-    """The open buckets of few members, and those of more."""
-    sizes = open_.groupBy("band").agg((F.count(F.lit(1)) <= spec.small).alias("few"))
-    sized = open_.join(sizes, "band")
-    return sized.where("few").drop("few"), sized.where("not few").drop("few")
-
-
-def _block_links(large: DataFrame, nodes: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
-    """Links between different groups of large buckets. Blocks hold a bounded
-    number of members; a row is a pair of blocks. A pair that shares several
-    bands is compared in the first of them."""
-    ship_package(large.sparkSession)
-    sizes = large.groupBy("band", "component").count()
-    whole = sizes.groupBy("band").agg(F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("m"))
-    whole = whole.select("band", "size", F.col("m.component").alias("largest"))
-    placed = large.join(whole, "band").join(nodes.select("node", "packed", "bands"), "node").join(texts, "node")
-    number = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / spec.block).cast("long"))
-    member = F.struct("node", "component", "packed", "bands", "text")
-    blocks = placed.withColumn("outside", F.col("component") != F.col("largest")).groupBy("band", number.alias("block"), "outside").agg(
-        F.collect_list(member).alias("members")
-    )
-    blocks = stored(blocks, "blocks")
-    left = blocks.where("outside").select("band", F.col("block").alias("x"), F.col("members").alias("left"))
-    right = blocks.select("band", F.col("block").alias("y"), "outside", F.col("members").alias("right"))
-    pairs = left.join(right, "band").where("not outside or x <= y").select("band", "left", "right")
-    low, high = spec.similar
-    share = low / high - spec.slack
-    least = int(np.ceil((share * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)) * spec.minima))
-
-    class Block:
-        def __init__(self, rows):
-            self.node, self.component = rows.field("node").to_numpy(), rows.field("component").to_numpy()
-            self.packed = rows.field("packed").flatten().to_numpy().view(np.uint64).reshape(len(self.node), -1)
-            self.bands = rows.field("bands").flatten().to_numpy().reshape(len(self.node), -1)
-            self.texts, self.sets = rows.field("text"), {}
-
-        def found(self, i):
-            if i not in self.sets:
-                self.sets[i] = shingles(self.texts[i].as_py(), spec.words)
-            return self.sets[i]
-
-    def links(a: Block, b: Block, band: int):
-        x = a.packed[:, None, :] ^ b.packed[None, :, :]
-        x |= x >> np.uint64(1)
-        x |= x >> np.uint64(2)
-        unequal = np.bitwise_count(x & np.uint64(_LOW)).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero((spec.minima - unequal >= least) & (a.component[:, None] != b.component[None, :]))
-        same = a.bands[i] == b.bands[j]
-        first = a.bands[i, same.argmax(axis=1)] == band
-        for m, n in zip(i[first].tolist(), j[first].tolist()):
-            one, two = a.found(m), b.found(n)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            if both and high * both >= low * (len(one) + len(two) - both):
-                yield sorted((int(a.node[m]), int(b.node[n])))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                pair = list(links(Block(row.column("left")[0].values), Block(row.column("right")[0].values), row.column("band")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pair], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    placed = open_.join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
+    x = placed.where("not inside").select(F.col("band").alias("same"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"))
+    y = placed.select("band", F.col("node").alias("y"), "component", "packed", "inside")
+    # Of two members outside, the pair is looked at once.
+    once = F.col("inside") | (F.col("x") < F.col("y"))
+    return _ordered(x.join(y, (F.col("same") == F.col("band")) & (F.col("cx") != F.col("component")) & once & _close("px", "packed", spec)))
 
 
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
@@ -271,56 +184,60 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     own component and kept. Texts of fewer words than a shingle has are linked
     if their words are equal. Equal sets are linked, however many. Rows that
     share an id count as one document: each has the component that any of
-    them is linked into. Rows with a null id are linked with nothing. Columns
-    of the same names are replaced.
+    them is linked into. Rows with a null id are linked with nothing. Ids may
+    be of any type that has an order. Columns of the three names are replaced,
+    all others stay.
     """
     docs = without(docs, ["n_shingles", "component_id", "kept"])
     signed = with_text_columns(
         docs.select("doc_id", "text"),
         "n_shingles long, key binary, packed array<long>, bands array<long>",
         lambda: lambda text: signature(text, spec),
-    ).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), "n_shingles", "key", "packed", "bands")
+    ).select("doc_id", F.xxhash64("text").alias("text_key"), "n_shingles", "key", "packed", "bands")
     signed = stored(signed, "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("node"))
-    copies = some.select("doc_id", "key").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    nodes = some.join(classes.where("node is not null"), "key").where("doc_id = node").select("node", "key", "packed", "bands")
-    nodes = stored(nodes.dropDuplicates(["node", "key"]), "nodes")
+    classes = stored(some.groupBy("key", "packed", "bands").agg(F.min("doc_id").alias("node")), "shingle_sets")
+    nodes = classes.select("node", "packed", "bands")
     banded = nodes.select("node", F.explode("bands").alias("band")).distinct()
     several = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = stored(banded.join(several.select("band"), "band"), "shared_bands")
+    shared = banded.join(several.select("band"), "band")
+    shared = stored(shared.join(nodes.select("node", "packed"), "node").select("band", "node", "packed"), "shared_bands")
     # Only texts that share a band with another are moved and compared.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text is not null")
     texts = stored(texts.join(shared.select("node").distinct(), "node", "left_semi"), "candidates")
 
-    links, tried, labels = None, None, None
-    for turn in range(spec.pivots + 1):
-        open_ = stored(_buckets(shared, labels), "open_buckets")
-        if open_.isEmpty():
+    tried = links = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    labels = shared.select("node", F.col("node").alias("component")).where("false")
+    turn, last = 0, False
+    while not last:
+        open_ = stored(_open(shared, labels), "open_buckets")
+        largest = open_.agg(F.max("size")).head()[0]
+        if largest is None:
             break
-        more = None
-        if turn < spec.pivots:
-            pairs = _pivot_pairs(open_, turn)
-        else:
-            few, many = _sized(open_, spec)
-            pairs = _other_pairs(few)
-            more = stored(_block_links(many, nodes, texts, spec), "links")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = stored(_confirmed(pairs, texts, nodes, spec), "links")
-        links = reduce(DataFrame.union, [x for x in (links, found, more) if x is not None])
-        labels = components(links)
-    edges = copies if links is None else copies.union(links)
-    whole = components(edges)
-    flat = signed.select("doc_id", "_text", "n_shingles").dropDuplicates(["doc_id", "_text"])
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    flat = flat.withColumnsRenamed({"doc_id": "_id", "_text": "_key"})
-    out = rows.join(flat, (rows["doc_id"].eqNullSafe(flat["_id"])) & (rows["_text"] == flat["_key"])).drop("_key", "_text", "_id")
-    out = out.join(whole.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left")
-    component = F.coalesce("component", F.col("doc_id").cast("long"))
-    return out.select(*docs.columns, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        last = turn >= spec.pivots or (turn > 0 and largest <= spec.small)
+        pairs = _other_pairs(open_, spec) if last else _pivot_pairs(open_, turn, spec)
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        tried = tried.union(pairs) if turn else pairs
+        found = stored(_confirmed(pairs, texts, spec), "links")
+        links = links.union(found) if turn else found
+        if not last:
+            labels = connected(links)
+        turn += 1
+
+    # An id may stand for rows of several sets, and then connects them.
+    placed = some.select("doc_id", "key").join(classes.select("key", "node"), "key").select("doc_id", "node").distinct()
+    placed = stored(placed, "classes")
+    ids = placed.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    bridges = placed.join(ids.where("node < other").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    whole = connected(links.union(bridges))
+    groups = ids.join(whole, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "node").alias("group"))
+    sizes = signed.select(F.col("doc_id").alias("of"), "text_key", "n_shingles").distinct()
+    rows = with_rest(docs).withColumn("row", F.xxhash64("text"))
+    out = rows.join(sizes, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("text_key")))
+    out = out.join(groups, F.col("doc_id") == F.col("id"), "left")
+    component = F.coalesce("group", "doc_id")
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return unpacked(out, docs.columns, "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def digest(found: DataFrame) -> DataFrame:
