@@ -12,11 +12,14 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from emberline.llm.arrow import with_text_columns
 from emberline.llm.words import code_points, mixed, run_hashes, span_hashes, word_bounds
+from emberline.sources.writers import stored
 
 SYMBOLS = "#*$%&|<>"
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -72,14 +75,15 @@ def ngram_families(text: str | None, buckets: int) -> list[np.ndarray]:
     return [(g % np.uint64(buckets)).astype(np.int64) + i * buckets for i, g in enumerate(grams)]
 
 
-def _sparse(text: str | None, buckets: int) -> tuple[list[int], list[float]]:
-    index, value = [], []
+def _sparse(text: str | None, buckets: int) -> dict:
+    """The shares of the buckets, as the fields of a sparse vector."""
+    index, value = [np.zeros(0, np.int64)], [np.zeros(0)]
     for family in ngram_families(text, buckets):
         if len(family):
             at, n = np.unique(family, return_counts=True)
-            index += at.tolist()
-            value += (n / len(family)).tolist()
-    return index, value
+            index.append(at)
+            value.append(n / len(family))
+    return {"type": 0, "size": 5 * buckets, "indices": np.concatenate(index), "values": np.concatenate(value)}
 
 
 @dataclass(frozen=True)
@@ -130,31 +134,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str =
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: RulesSpec = RulesSpec()) -> RulesModel | None:
-    """None if there is nothing to tell apart: no labelled row, or one label."""
-    rows = with_text_columns(
-        labelled_sample(docs, labels, spec.fit_rows),
-        "index array<int>, value array<double>",
-        lambda: lambda text: _sparse(text, spec.buckets),
+    """None if there is nothing to tell apart: no labelled row, or one label.
+
+    The vectors of the bounded sample are stored as a table, so only the fit's
+    own blocks are held in memory.
+    """
+    kind = StructType([StructField("features", VectorUDT())])
+    sample = labelled_sample(docs, labels, spec.fit_rows).repartition(8, "doc_id")
+    rows = with_text_columns(sample, kind, lambda: lambda text: (_sparse(text, spec.buckets),))
+    rows = stored(rows.select("label", "part", "features"), "rules_sample")
+    sides = {r["label"]: r for r in rows.groupBy("label").agg(F.min("part").alias("low"), F.max("part").alias("high")).collect()}
+    if len(sides) < 2:
+        return None
+    apart = all(r["low"] == 0 and r["high"] > 0 for r in sides.values())
+    plain = LogisticRegression(maxIter=spec.iterations, regParam=spec.penalty, standardization=True)
+    model = plain.fit(rows.where("part > 0") if apart else rows)
+    margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
+    margins = model.transform(rows.where("part = 0") if apart else rows).select("label", margin.alias("features"))
+    platt = LogisticRegression(maxIter=50, regParam=1e-3).fit(margins)
+    return RulesModel(
+        model.coefficients.toArray(), float(model.intercept), float(platt.coefficients[0]), float(platt.intercept), spec
     )
-    size = 5 * spec.buckets
-    vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
-    # Eight equal parts of a bounded sample; without persisting each pass would tokenise anew.
-    rows = rows.select("label", "part", vector("index", "value").alias("features")).repartition(8, "features").persist()
-    try:
-        sides = {r["label"]: r for r in rows.groupBy("label").agg(F.min("part").alias("low"), F.max("part").alias("high")).collect()}
-        if len(sides) < 2:
-            return None
-        apart = all(r["low"] == 0 and r["high"] > 0 for r in sides.values())
-        plain = LogisticRegression(maxIter=spec.iterations, regParam=spec.penalty, standardization=True)
-        model = plain.fit(rows.where("part > 0") if apart else rows)
-        first = F.udf(lambda v: Vectors.dense(float(v[1])), VectorUDT())
-        margins = model.transform(rows.where("part = 0") if apart else rows).select("label", first("rawPrediction").alias("features"))
-        platt = LogisticRegression(maxIter=50, regParam=1e-3).fit(margins)
-        return RulesModel(
-            model.coefficients.toArray(), float(model.intercept), float(platt.coefficients[0]), float(platt.intercept), spec
-        )
-    finally:
-        rows.unpersist()
 
 
 def quality_rules(docs: DataFrame, model: RulesModel | None, spec: RulesSpec = RulesSpec()) -> DataFrame:
