@@ -62,7 +62,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; decoding them gives the text back, which
     is checked on the way."""
-    coded = sentencepieces.decode(sentencepieces.encode(docs.select("doc_id", "text")))
+    coded = sentencepieces.coded(docs.select("doc_id", "text"))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     ids = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text")))
     return coded.select("doc_id", ids.alias("ids"), "n_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

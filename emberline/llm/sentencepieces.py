@@ -6,7 +6,9 @@ the two gives these two back; a sequence all of whose neighbours satisfy that is
 exactly what merging the whole text gives. Boundaries older than the longest
 piece can't start a new piece, so the search keeps that window and the
 backpointers that lead into it, and commits ids as soon as all of them pass
-through one boundary.
+through one boundary. No piece reaches over the border before a space or at a line
+end, so all paths meet there at the latest; what stands between two such borders
+is searched once while it is remembered.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -69,9 +72,12 @@ class Pieces:
         order = sorted((p for p in self.ids if len(p) > 1 and p.strip(" ")), key=lambda p: -self.scores[p])
         self.ranks = {p: n for n, p in enumerate(order)}
         self.halves: dict[str, tuple[str, str]] = {}
-        #: Ends of pieces, with the id of those that are a piece that merging can reach.
-        self.ends: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))}
-        self.ends |= {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
+        #: Finds the pieces that merging can reach.
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            if self.merged(p) == [p]:
+                self.automaton.add_word(p, i)
+        self.automaton.make_automaton()
         self.size = len(self.names)
         self.widths = [len(n) for n in self.names]
         self.raw = [n.replace(SPACE, " ").encode() for n in self.names]
@@ -134,50 +140,53 @@ class Pieces:
         return found
 
     def search(self, text: str) -> Iterator[list[int]]:
-        """Ids on the best path, committed while the text is read."""
-        ends, pairs, longest, size, widths = self.ends, self.pairs, self.longest, self.size, self.widths
-        last: dict[int, int] = {}  # boundary: the piece that ends there
-        done, check, n = 0, self.spec.commit_every, len(text)
-        for end in range(1, n + 1):
-            start = end - 1
-            low = max(done, end - longest)
-            while start >= low:
-                piece = ends.get(text[start:end])
-                if piece is None:
-                    # Nothing longer is a piece either; unknown characters stand alone.
-                    if start == end - 1:
-                        last[end] = -1
-                    break
-                if piece >= 0:
-                    if not start or (left := last[start]) < 0:
-                        last[end] = piece
-                        break
-                    follows = pairs.get(left * size + piece)
-                    if follows is None:
-                        follows = self._follows(left, piece)
-                    if follows:
-                        last[end] = piece
-                        break
-                start -= 1
-            if end == check or end == n:
-                check = end + self.spec.commit_every
-                meet = end if end == n else self._meeting(last, done, end)
-                if meet > done:
-                    path, at = [], meet
-                    while at > done:
-                        piece = last[at]
-                        at -= 1 if piece < 0 else widths[piece]
-                        if piece < 0:
-                            path += [self.bytes[b] for b in reversed(text[at].encode("utf-8", "surrogatepass"))]
-                        else:
-                            path.append(piece)
-                    path.reverse()
-                    yield path
-                    if end < n:
+        """Ids on the best path, committed while the text is read. An automaton
+        names the pieces that end at each boundary."""
+        last: dict[int, int] = {}  # boundary: the piece that ends there, or -1 for an unknown character
+        pairs, size, widths = self.pairs, self.size, self.widths
+        done, check, n, at = 0, self.spec.commit_every, len(text), 0
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            if end != at:
+                for unknown in range(at + 1, end):
+                    last[unknown] = -1
+                at = end
+                if end > check:
+                    check = end + self.spec.commit_every
+                    meet = self._meeting(last, done, end - 1)
+                    if meet > done:
+                        yield self._path(text, last, done, meet)
                         last = {b: p for b, p in last.items() if b >= meet}
-                    done = meet
+                        done = meet
+            elif end in last:
+                continue
+            start = end - widths[piece]
+            if start < done:
+                continue
+            if start and (left := last.get(start, -1)) >= 0:
+                follows = pairs.get(left * size + piece)
+                if not (self._follows(left, piece) if follows is None else follows):
+                    continue
+            last[end] = piece
+        for unknown in range(at + 1, n + 1):
+            last[unknown] = -1
+        yield self._path(text, last, done, n)
+
+    def _path(self, text: str, last: dict[int, int], done: int, end: int) -> list[int]:
+        """The ids between two boundaries, followed back from the later one."""
+        path: list[int] = []
+        while end > done:
+            piece = last[end]
+            if piece < 0:
+                path += [self.bytes[b] for b in reversed(text[end - 1].encode("utf-8", "surrogatepass"))]
+                end -= 1
+            else:
+                path.append(piece)
+                end -= self.widths[piece]
+        path.reverse()
+        return path
 
-    def _meeting(self, last: dict[int, str], done: int, end: int) -> int:
+    def _meeting(self, last: dict[int, int], done: int, end: int) -> int:
         """The last boundary through which all paths that can go on lead."""
         alive = {b for b in range(max(done, end - self.longest) + 1, end + 1) if b in last}
         while len(alive) > 1:
@@ -280,10 +289,27 @@ def decode(encoded: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
     return with_text_columns(encoded, "decoded string", setup, text="ids", read=numbers)
 
 
+def coded(docs: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
+    """What ``encode`` and then ``decode`` add, in one pass over the texts."""
+    load = _pieces(docs, spec)
+
+    def setup():
+        pieces = load()
+
+        def of(text):
+            listed = pieces.encode(text)
+            ids = np.array(listed, np.int32)
+            return ids, len(ids), int(pieces.is_byte[ids].sum()), pieces.decode(listed)
+
+        return of
+
+    return with_text_columns(docs, "ids array<int>, n_ids long, n_byte_ids long, decoded string", setup)
+
+
 def digest(docs: DataFrame, spec: EncodeSpec = EncodeSpec()) -> DataFrame:
     """doc_id, counts, the digest of the ids (joined by commas) and of the text
     that decoding gives back, and whether that is the text itself."""
-    out = decode(encode(docs, spec), spec)
+    out = coded(docs, spec)
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select(
         "doc_id",
