@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -64,8 +66,19 @@ def test_near_duplicates_equal_all_pairs(spark):
     docs = frame(spark, rows, "doc_id long, text string")
     want = plain_components(rows)
     assert rows_of(near_dups.digest(near_dups.near_duplicates(docs))) == want
-    # Blocks for all open buckets.
-    assert rows_of(near_dups.digest(near_dups.near_duplicates(docs, near_dups.NearSpec(pivots=1, small=0, block=8)))) == want
+    # Other numbers of pivots.
+    for spec in (near_dups.NearSpec(pivots=1), near_dups.NearSpec(pivots=3, small=0)):
+        assert rows_of(near_dups.digest(near_dups.near_duplicates(docs, spec))) == want
+
+
+def test_near_duplicates_keep_the_columns_of_the_caller(spark):
+    rows = [(f"k{i}", "a b c d e f" if i < 3 else f"w{i} x y z", i, i * 2, "c") for i in range(6)]
+    docs = frame(spark, rows, "doc_id string, text string, _id long, _node long, node string")
+    found = near_dups.near_duplicates(docs)
+    assert found.columns == [*docs.columns, "n_shingles", "component_id", "kept"]
+    assert rows_of(found.select("doc_id", "_id", "_node", "node", "component_id")) == [
+        (f"k{i}", i, i * 2, "c", "k0" if i < 3 else f"k{i}") for i in range(6)
+    ]
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -146,6 +159,149 @@ def test_long_lines_recur_in_few_documents(spark):
     assert left == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def spark_hash(*values):
+    """The hash that orders equally good lines: of whole numbers and texts, one seeding the next."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", v) if isinstance(v, int) else v.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_lines(rows, spec=line_templates.LineSpec()):
+    """{doc_id: places of the lines that go}, by the same rounds over plain sets."""
+    lines = []
+    for d, text in set(rows):
+        for pos, line in enumerate([] if text is None else text.split("\n")):
+            tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
+            if tokens:
+                long = len(tokens) >= spec.long_words and sum(t != "<*>" for t in tokens) >= spec.long_words
+                lines.append(((len(tokens), tokens[: spec.depth]), tokens, d, pos, long))
+    by_leaf = defaultdict(list)
+    for leaf, *rest in lines:
+        by_leaf[leaf].append(rest)
+    gone = defaultdict(set)
+    for held in by_leaf.values():
+        docs, long = defaultdict(set), {}
+        for t, d, _, wide in held:
+            docs[t].add(d)
+            long[t] = wide
+
+        def enough(ts):
+            return min(spec.long_documents, spec.documents) if any(long[t] for t in ts) else spec.documents
+
+        def reached(groups):
+            """The documents of the groups that have enough."""
+            out = {g: len(set().union(*[docs[t] for t in ts])) for g, ts in groups.items()}
+            return {g: n for g, n in out.items() if n >= enough(groups[g])}
+
+        def grouped(pairs):
+            out = defaultdict(set)
+            for t, g in pairs:
+                out[g].add(t)
+            return out
+
+        family, left, known = {}, set(docs), None
+        while reached({0: set(docs)}) and len(docs) > 1:
+            n = len(held[0][0])
+            fields = n * (spec.agree[1] - spec.agree[0]) // spec.agree[1]
+            if not fields or n <= spec.depth:
+                break
+            seen = Counter()
+            for t in left:
+                for x in enumerate(t[spec.depth :], spec.depth):
+                    seen[x] += len(docs[t])
+            buckets = []
+            for t in left:
+                open_ = sorted(enumerate(t[spec.depth :], spec.depth), key=lambda x: (seen[x], spark_hash(*x)))
+                for k in range(1, fields + 1):
+                    buckets.append((t, ("masked", frozenset(open_[k:]))))
+                for b in range(fields + 1):
+                    free = n - spec.depth
+                    i, j = b * free // (fields + 1), (b + 1) * free // (fields + 1)
+                    buckets.append((t, ("band", b, t[spec.depth + i : spec.depth + j])))
+            full = {g: ts for g, ts in grouped(buckets).items() if len(ts) > 1 and sum(len(docs[t]) for t in ts) >= enough(ts)}
+            if known is None:
+                known = set().union(*full.values())
+            sizes = reached(full)
+            full = {g: full[g] for g in sizes}
+            score = defaultdict(int)
+            for g, ts in full.items():
+                for t in ts:
+                    score[t] = max(score[t], sizes[g] if g[0] == "masked" else len(docs[t]))
+            pairs = set()
+            for g, ts in full.items():
+                pivot = min(ts, key=lambda t: (-score[t], -len(docs[t]), spark_hash(" ".join(t))))
+                pairs |= {(t, pivot) for t in ts if spec.agree[1] * sum(a == b for a, b in zip(t, pivot)) >= spec.agree[0] * n}
+            sizes = reached(grouped(pairs))
+            best = {}
+            for t, p in pairs:
+                if p in sizes:
+                    best[t] = min(best.get(t, (0, 0, ())), (-sizes[p], spark_hash(" ".join(p)), p))
+            joined = grouped((t, p[2]) for t, p in best.items())
+            now = {t: p for p in reached(joined) for t in joined[p]}
+            family |= now
+            left = (left & known) - set(now)
+            if not now:
+                break
+        templates = grouped((t, family.get(t, t)) for t in docs)
+        for p in reached(templates):
+            owners = set().union(*[docs[t] for t in templates[p]])
+            first = min((d for d in owners if d is not None), default=None)
+            for t, d, pos, _ in held:
+                if t in templates[p] and first is not None and (d is None or d > first):
+                    gone[d].add(pos)
+    return gone
+
+
+def lines_left(rows, gone):
+    out = []
+    for d, text in rows:
+        kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[d])
+        out.append((d, kept if gone[d] else text, len(gone[d])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_equal_plain_rounds(spark, seed):
+    draw = random.Random(seed)
+
+    def word():
+        return "".join(draw.choice("abc") for _ in range(3))
+
+    stock = []
+    for n in (4, 9, 9, 9, 15, 55, 60):
+        base = ["same", "first", "words"] + [word() for _ in range(n - 3)]
+        for _ in range(draw.randint(2, 8)):
+            line = list(base)
+            for _ in range(draw.randint(0, n // 4)):
+                line[draw.randrange(3, n)] = draw.choice([word(), str(draw.randint(0, 99)), "x"])
+            stock.append(line)
+    rows = []
+    for d in range(90):
+        lines = [draw.choice(["", "\t", " "]) + draw.choice([" ", "  ", "\t"]).join(draw.choice(stock)) for _ in range(draw.randint(0, 4))]
+        rows.append((d, "\n".join(lines)))
+    rows += [(500, None), (501, ""), (502, " \n\t"), (7, rows[7][1])]
+    spec = line_templates.LineSpec(documents=6)
+    gone = plain_lines(rows, spec)
+    left = line_templates.line_dedup(frame(spark, rows, "doc_id long, text string"), spec)
+    assert rows_of(left.select("doc_id", "text", "n_dropped")) == lines_left(rows, gone)
+    assert sum(map(len, gone.values())) > 20
+
+
+def test_lines_of_the_documents_equal_plain_rounds(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
+    left = line_templates.line_dedup(documents(spark))
+    assert rows_of(left.select("doc_id", "text", "n_dropped")) == lines_left(rows, plain_lines(rows))
+
+
+def test_line_operator_keeps_the_columns_of_the_caller(spark):
+    rows = [(i, "one line for all of us\nown " + "abcdefghijklmnopqrstuvwxyz"[i], i * 10, [str(i)], i, "p") for i in range(25)]
+    docs = frame(spark, rows, "doc_id long, text string, _doc long, _lines array<string>, line long, _pos string")
+    left = line_templates.line_dedup(docs).collect()
+    assert {(r.doc_id, r._doc, r._lines[0], r.line, r._pos) for r in left} == {(i, i * 10, str(i), i, "p") for i in range(25)}
+    assert sum(r.n_dropped for r in left) == 24
+
+
 def test_line_plan_is_native(spark):
     plan = line_templates.line_dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
