@@ -67,6 +67,20 @@ def src3(spark, sf):
     )
 
 
+@query(
+    "src3_clustered_box",
+    """select event_id, latitude, longitude, round(frp, 4) as frp, fire_season_year from hotspots_hist
+    where latitude between 12.25 and 14.0 and longitude between 74.5 and 76.75""",
+)
+def src3_clustered(spark, sf):
+    """A box read from the history written in the order of place."""
+    path = scratch_dir(spark, "clustered")
+    W.write_clustered(V.hotspots_hist(spark, sf), path, X.REGION)
+    box = RegionSpec(min_lat=12.25, max_lat=14.0, min_lon=74.5, max_lon=76.75)
+    rows = spark.read.parquet(path).where(scalar.in_box("latitude", "longitude", box))
+    return rows.select("event_id", "latitude", "longitude", F.round("frp", 4).alias("frp"), "fire_season_year")
+
+
 SEASONS = SeasonSpec(years=(1996, 1997, 1999))
 
 

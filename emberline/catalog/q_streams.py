@@ -14,7 +14,8 @@ from emberline.catalog.registry import query
 from emberline.functions.scalar import acquisition_time
 from emberline.operators import alerts as A
 from emberline.operators.dedup import DETECTION_KEYS, stitch
-from emberline.plans import daily, refresh, state
+from emberline.plans import daily, refresh, state, windows
+from emberline.schemas import TRAINING_FEATURES
 from emberline.session import scratch_dir
 from emberline.spec import AlertSpec
 from emberline.sources import readers as R
@@ -22,6 +23,11 @@ from emberline.sources.writers import write_table
 from emberline.streaming import detections as D
 
 
+_FWI = TRAINING_FEATURES.index("fwi")
+_LAGS = ", ".join(f"lag(fwi, {6 - i}) over w as f{i}" for i in range(7))
+_FWIS = ", ".join(f"round(f{i}, 4) as fwi_{i}" for i in range(7))
+
+
 def _landed(spark, sf, view):
     """Detections landed as Parquet files, read as a stream with event time."""
     folder = scratch_dir(spark, "landed")
@@ -175,6 +181,34 @@ def ts4_status(spark, sf):
     return X.rounded(state.summary_of(refreshed(spark, sf).state, spark).drop("timestamp"))
 
 
+@query(
+    "w4_refreshed_windows",
+    f"""select zone_idx, date, {_FWIS} from (select *, {_LAGS}, first_value(date) over (w rows between 6 preceding and current row) as d0,
+      count(*) over (w rows between 6 preceding and current row) as n
+      from scored window w as (partition by zone_idx order by date)) q where n=7 and date_diff('day', d0, date)=6""",
+)
+def w4_refreshed(spark, sf):
+    """Windows that were built once and then followed a refresh: of the last
+    eleven days' weather only the windows that reach into them are built again."""
+
+    def run():
+        base = scratch_dir(spark, "window_refresh")
+        weather = V.weather_now(spark, sf)
+        hot = X.detections(spark, sf)
+        zones = refresh.ZoneRefresh(base, X.REGION, hot.schema, weather.schema, V.ndvi_obs(spark, sf))
+        table = windows.window_table(f"{base}/windows")
+        late = F.dayofmonth("date") > 20
+        zones.land("detections", hot, 0)
+        zones.on_weather(weather.withColumn("temperature_c", F.when(late, 20.0).otherwise(F.col("temperature_c"))), 0)
+        windows.refresh_windows(spark, zones.state, table, TRAINING_FEATURES)
+        zones.on_weather(weather.where(late), 1)
+        windows.refresh_windows(spark, zones.state, table, TRAINING_FEATURES)
+        return table
+
+    rows = once(spark, sf, "refreshed windows", run).read(spark)
+    return rows.select("zone_idx", "date", *[F.round(F.col("sequence")[i][_FWI], 4).alias(f"fwi_{i}") for i in range(7)])
+
+
 @query("refresh_from_files", "select date, zone_idx, severity, reason from alert_rows_of_files")
 def refresh_from_files(spark, sf):
     """Landed files of both sensors, one of them an error answer, and landed

@@ -18,6 +18,7 @@ from emberline.operators import stations as ST
 from emberline.operators.grid import spine
 from emberline.operators.nearest import nearest, nearest_within
 from emberline.plans import daily, serving, spread, state, training
+from emberline.plans import views as SQL
 from emberline.schemas import LIVE_FEATURES
 from emberline.spec import AlertSpec, SpreadSpec
 
@@ -195,6 +196,42 @@ def p7_zones(spark, sf):
     return X.rounded(rows.select("date", "zone_idx", "ffmc", "dmc", "dc", "bui", "fwi"))
 
 
+@query(
+    "p7_sql_indices",
+    f"select date, zone_idx, {r4('ffmc', 'dmc', 'dc', 'bui', 'fwi')} from history_indices",
+)
+def p7_sql(spark, sf):
+    """The same indices as a query in plain SQL over a view, with SQL functions."""
+    SQL.register_history(spark, V.weather_daily(spark, sf), X.REGION)
+    return spark.sql(
+        """
+        with codes as (
+            select date, zone_idx, wx_wind_speed_ms,
+                ffmc(wx_temperature_c, wx_humidity_pct, wx_wind_speed_ms, wx_precipitation_mm) as ffmc,
+                dmc(wx_temperature_c, wx_humidity_pct, wx_precipitation_mm, duff_day_length(month)) as dmc,
+                dc(wx_temperature_c, wx_precipitation_mm, drought_day_length(month)) as dc
+            from zone_weather
+        ), built as (select *, bui(dmc, dc) as bui from codes)
+        select date, zone_idx, round(ffmc, 4) as ffmc, round(dmc, 4) as dmc, round(dc, 4) as dc, round(bui, 4) as bui,
+            round(fwi(ffmc, bui, wx_wind_speed_ms), 4) as fwi
+        from built
+        """
+    )
+
+
+@query("k1_sql_alerts", "select date, zone_idx, round(risk_score, 4) as risk_score, severity, reason from alert_rows")
+def k1_sql(spark, sf):
+    """Alerts as a query in plain SQL."""
+    SQL.register_live(spark, X.detections(spark, sf), V.weather_now(spark, sf), X.REGION, V.ndvi_obs(spark, sf))
+    return spark.sql(
+        """
+        select date, zone_idx, round(risk, 4) as risk_score, severity(risk) as severity,
+            alert_reason(active_fire_nearby, fwi, wx_wind_speed_ms) as reason
+        from (select *, fallback_risk(fwi) as risk from zone_days) where is_alert(risk)
+        """
+    )
+
+
 @query("p12_ndvi", f"select date, zone_idx, {r4('ndvi')} from processed")
 def p12(spark, sf):
     """Observed greenness, else the proxy."""

@@ -9,6 +9,8 @@ index, never a plausible number.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.scalar import _col
@@ -35,20 +37,105 @@ def month_factor(month, table: dict[int, float], default: float) -> Column:
     return F.coalesce(F.try_element_at(literal_map, _col(month).cast("int")), F.lit(default))
 
 
-def _stage(df: DataFrame, **columns) -> DataFrame:
-    """Adds working columns; text is a SQL expression over earlier ones."""
-    return df.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in columns.items()})
+class Formula(NamedTuple):
+    """Working columns in stages, each of SQL texts over inputs and earlier
+    columns in braces, and the text of the result. ``functions.sql`` makes SQL
+    functions of the same texts."""
+
+    stages: tuple[dict[str, str], ...]
+    result: str
 
 
 def _limit(name: str, lo: float | None = None, hi: float | None = None) -> str:
     """SQL text of ``clip``: a null stays null."""
-    low = f"when {name} < {lo}D then {lo}D " if lo is not None else ""
-    high = f"when {name} > {hi}D then {hi}D " if hi is not None else ""
-    return f"case {low}{high}else {name} end"
-
-
-def _finish(df: DataFrame, out: str, value: str) -> DataFrame:
-    df = df.withColumn(out, F.expr(value))
+    low = f"when {{{name}}} < {lo}D then {lo}D " if lo is not None else ""
+    high = f"when {{{name}}} > {hi}D then {hi}D " if hi is not None else ""
+    return f"case {low}{high}else {{{name}}} end"
+
+
+# Rain above half a millimetre wets the fuel. It dries towards one equilibrium and
+# gets wet towards the other, else does not change; a missing input leaves the code unknown.
+FFMC = Formula(
+    (
+        {"wet": "{rain} - 0.5D"},
+        {
+            "mo": "147.2D * (101D - {prev}) / (59.5D + {prev})",
+            "heat": "0.18D * (21.1D - {temp}) * (1D - exp(-0.115D * {rh}))",
+            "dry": "0.424D * (1D - pow({rh} / 100D, 1.7D)) + 0.0694D * sqrt({wind_ms} * 3.6D) * (1D - pow({rh} / 100D, 8D))",
+        },
+        {
+            "start": "case when {rain} > 0.5D then {mo} + 42.5D * {wet} * exp(-100D / (251D - {mo}))"
+            f" * (1D - exp(-6.93D / ({_limit('wet', lo=1e-6)}))) when {{rain}} is not null then {{mo}} end",
+            "ed": "0.942D * pow({rh}, 0.679D) + 11D * exp(({rh} - 100D) / 10D) + {heat}",
+            "ew": "0.618D * pow({rh}, 0.753D) + 10D * exp(({rh} - 100D) / 10D) + {heat}",
+            "wetting": "{dry} * 0.581D * exp(0.0365D * {temp})",
+        },
+        {"m0": _limit("start", 0.0, 250.0)},
+        {
+            "m": "case when {m0} > {ed} then {ed} + ({m0} - {ed}) * pow(10D, -{dry})"
+            " when {m0} < {ew} then {ew} - ({ew} - {m0}) * pow(10D, -{wetting})"
+            " when {ed} is not null and {ew} is not null then {m0} end",
+        },
+        {"code": "59.5D * (250D - {m}) / (147.2D + {m})"},
+    ),
+    _limit("code", 0.0, 101.0),
+)
+DMC = Formula(
+    (
+        {"excess": "{rain} - 1.27D"},
+        {"log": f"ln({_limit('prev', lo=1e-6)})", "rk0": "1.894D * ({temp} + 1.1D) * (100D - {rh}) * {day} * 1e-4D"},
+        {
+            "rk": _limit("rk0", lo=0.0),
+            "b": "case when {prev} <= 33D then 100D / (0.5D + 0.3D * {prev}) when {prev} <= 65D then 14D - 1.3D * {log} else 6.2D * {log} - 17.2D end",
+        },
+        {"mr": f"{{prev}} + 1000D * {{excess}} / (48.77D + {{b}} * ({_limit('excess', lo=1e-6)}))"},
+        {"code": f"case when {{rain}} > 1.5D then ({_limit('mr', lo=0.0)}) + {{rk}} when {{rain}} is not null then {{prev}} + {{rk}} end"},
+    ),
+    _limit("code", lo=0.0),
+)
+DC = Formula(
+    (
+        {"v0": "0.36D * ({temp} + 2.8D) + {day}", "q": "800D * exp(-{prev} / 400D) + 3.937D * (0.83D * {rain} - 1.27D)"},
+        {"v": _limit("v0", lo=0.0), "dr": f"400D * ln(800D / ({_limit('q', lo=1e-6)}))"},
+        {"code": f"case when {{rain}} > 2.8D then ({_limit('dr', lo=0.0)}) when {{rain}} is not null then {{prev}} end + 0.5D * {{v}}"},
+    ),
+    _limit("code", lo=0.0),
+)
+BUI = Formula(
+    (
+        {"sum": "{dmc} + 0.4D * {dc}"},
+        {"den": _limit("sum", lo=1e-6)},
+        {
+            "code": "case when {dmc} <= 0.4D * {dc} then 0.8D * {dmc} * {dc} / {den}"
+            " else {dmc} - (1D - 0.8D * {dc} / {den}) * (0.92D + pow(0.0114D * {dmc}, 1.7D)) end",
+        },
+    ),
+    _limit("code", lo=0.0),
+)
+FWI = Formula(
+    (
+        {
+            "gap": "101D - {ffmc}",
+            "fd": "case when {bui} <= 80D then 0.626D * pow({bui}, 0.809D) + 2D else 1000D / (25D + 108.64D * exp(-0.023D * {bui})) end",
+        },
+        {"isi": "91.9D * exp(-0.1386D * {gap}) * (1D + pow({gap}, 5.31D) / 4.93e7D) * exp(0.05039D * ({wind_ms} * 3.6D))"},
+        {"b": "0.1D * {isi} * {fd}"},
+        {"code": "case when {b} <= 1D then {b} else exp(2.72D * pow(0.434D * ln({b}), 0.647D)) end"},
+    ),
+    _limit("code", lo=0.0),
+)
+
+
+def _apply(df: DataFrame, formula: Formula, out: str, inputs: dict[str, str], given: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``out``. ``inputs`` names columns, ``given`` has inputs that are none."""
+    names = dict(inputs)
+    if given:
+        df = df.withColumns({f"_fw_{k}": v for k, v in given.items()})
+        names |= {k: f"_fw_{k}" for k in given}
+    for stage in formula.stages:
+        df = df.withColumns({f"_fw_{k}": F.expr(text.format(**names)) for k, text in stage.items()})
+        names |= {k: f"_fw_{k}" for k in stage}
+    df = df.withColumn(out, F.expr(formula.result.format(**names)))
     return df.drop(*[c for c in df.columns if c.startswith("_fw_")])
 
 
@@ -62,34 +149,8 @@ def with_ffmc(
     out: str = "ffmc",
 ) -> DataFrame:
     """Fine fuel moisture code, 0 to 101."""
-    df = _stage(df, _fw_prev=_col(prev).cast("double"), _fw_wet=f"{rain} - 0.5D")
-    df = _stage(
-        df,
-        _fw_mo="147.2D * (101D - _fw_prev) / (59.5D + _fw_prev)",
-        _fw_heat=f"0.18D * (21.1D - {temp}) * (1D - exp(-0.115D * {rh}))",
-        _fw_dry=f"0.424D * (1D - pow({rh} / 100D, 1.7D))"
-        f" + 0.0694D * sqrt({wind_ms} * 3.6D) * (1D - pow({rh} / 100D, 8D))",
-    )
-    df = _stage(
-        df,
-        # Rain above half a millimetre wets the fuel.
-        _fw_start=f"case when {rain} > 0.5D then _fw_mo + 42.5D * _fw_wet * exp(-100D / (251D - _fw_mo))"
-        f" * (1D - exp(-6.93D / ({_limit('_fw_wet', lo=1e-6)}))) when {rain} is not null then _fw_mo end",
-        _fw_ed=f"0.942D * pow({rh}, 0.679D) + 11D * exp(({rh} - 100D) / 10D) + _fw_heat",
-        _fw_ew=f"0.618D * pow({rh}, 0.753D) + 10D * exp(({rh} - 100D) / 10D) + _fw_heat",
-        _fw_wetting=f"_fw_dry * 0.581D * exp(0.0365D * {temp})",
-    )
-    df = _stage(df, _fw_m0=_limit("_fw_start", 0.0, 250.0))
-    df = _stage(
-        df,
-        # Drying towards one equilibrium, wetting towards the other, else no
-        # change; a missing input leaves the code unknown.
-        _fw_m="case when _fw_m0 > _fw_ed then _fw_ed + (_fw_m0 - _fw_ed) * pow(10D, -_fw_dry)"
-        " when _fw_m0 < _fw_ew then _fw_ew - (_fw_ew - _fw_m0) * pow(10D, -_fw_wetting)"
-        " when _fw_ed is not null and _fw_ew is not null then _fw_m0 end",
-    )
-    df = _stage(df, _fw_code="59.5D * (250D - _fw_m) / (147.2D + _fw_m)")
-    return _finish(df, out, _limit("_fw_code", 0.0, 101.0))
+    inputs = {"temp": temp, "rh": rh, "wind_ms": wind_ms, "rain": rain}
+    return _apply(df, FFMC, out, inputs, {"prev": _col(prev).cast("double")})
 
 
 def with_dmc(
@@ -102,33 +163,8 @@ def with_dmc(
     out: str = "dmc",
 ) -> DataFrame:
     """Duff moisture code, not negative."""
-    df = _stage(
-        df,
-        _fw_prev=_col(prev).cast("double"),
-        _fw_le=month_factor(month, DUFF_DAY_LENGTH, DUFF_DAY_LENGTH_DEFAULT),
-        _fw_excess=f"{rain} - 1.27D",
-    )
-    df = _stage(
-        df,
-        _fw_log=f"ln({_limit('_fw_prev', lo=1e-6)})",
-        _fw_rk0=f"1.894D * ({temp} + 1.1D) * (100D - {rh}) * _fw_le * 1e-4D",
-    )
-    df = _stage(
-        df,
-        _fw_rk=_limit("_fw_rk0", lo=0.0),
-        _fw_b="case when _fw_prev <= 33D then 100D / (0.5D + 0.3D * _fw_prev)"
-        " when _fw_prev <= 65D then 14D - 1.3D * _fw_log else 6.2D * _fw_log - 17.2D end",
-    )
-    df = _stage(
-        df,
-        _fw_mr=f"_fw_prev + 1000D * _fw_excess / (48.77D + _fw_b * ({_limit('_fw_excess', lo=1e-6)}))",
-    )
-    df = _stage(
-        df,
-        _fw_code=f"case when {rain} > 1.5D then ({_limit('_fw_mr', lo=0.0)}) + _fw_rk"
-        f" when {rain} is not null then _fw_prev + _fw_rk end",
-    )
-    return _finish(df, out, _limit("_fw_code", lo=0.0))
+    given = {"prev": _col(prev).cast("double"), "day": month_factor(month, DUFF_DAY_LENGTH, DUFF_DAY_LENGTH_DEFAULT)}
+    return _apply(df, DMC, out, {"temp": temp, "rh": rh, "rain": rain}, given)
 
 
 def with_dc(
@@ -140,39 +176,13 @@ def with_dc(
     out: str = "dc",
 ) -> DataFrame:
     """Drought code, not negative."""
-    df = _stage(
-        df,
-        _fw_prev=_col(prev).cast("double"),
-        _fw_lf=month_factor(month, DROUGHT_DAY_LENGTH, DROUGHT_DAY_LENGTH_DEFAULT),
-    )
-    df = _stage(
-        df,
-        _fw_v0=f"0.36D * ({temp} + 2.8D) + _fw_lf",
-        _fw_q=f"800D * exp(-_fw_prev / 400D) + 3.937D * (0.83D * {rain} - 1.27D)",
-    )
-    df = _stage(
-        df,
-        _fw_v=_limit("_fw_v0", lo=0.0),
-        _fw_dr=f"400D * ln(800D / ({_limit('_fw_q', lo=1e-6)}))",
-    )
-    df = _stage(
-        df,
-        _fw_code=f"case when {rain} > 2.8D then ({_limit('_fw_dr', lo=0.0)})"
-        f" when {rain} is not null then _fw_prev end + 0.5D * _fw_v",
-    )
-    return _finish(df, out, _limit("_fw_code", lo=0.0))
+    given = {"prev": _col(prev).cast("double"), "day": month_factor(month, DROUGHT_DAY_LENGTH, DROUGHT_DAY_LENGTH_DEFAULT)}
+    return _apply(df, DC, out, {"temp": temp, "rain": rain}, given)
 
 
 def with_bui(df: DataFrame, dmc: str = "dmc", dc: str = "dc", out: str = "bui") -> DataFrame:
     """Build-up index, not negative."""
-    df = _stage(df, _fw_sum=f"{dmc} + 0.4D * {dc}")
-    df = _stage(df, _fw_den=_limit("_fw_sum", lo=1e-6))
-    df = _stage(
-        df,
-        _fw_code=f"case when {dmc} <= 0.4D * {dc} then 0.8D * {dmc} * {dc} / _fw_den"
-        f" else {dmc} - (1D - 0.8D * {dc} / _fw_den) * (0.92D + pow(0.0114D * {dmc}, 1.7D)) end",
-    )
-    return _finish(df, out, _limit("_fw_code", lo=0.0))
+    return _apply(df, BUI, out, {"dmc": dmc, "dc": dc})
 
 
 def with_fwi(
@@ -183,22 +193,7 @@ def with_fwi(
     out: str = "fwi",
 ) -> DataFrame:
     """Fire weather index, with the initial spread index inside."""
-    df = _stage(
-        df,
-        _fw_gap=f"101D - {ffmc}",
-        _fw_fd=f"case when {bui} <= 80D then 0.626D * pow({bui}, 0.809D) + 2D"
-        f" else 1000D / (25D + 108.64D * exp(-0.023D * {bui})) end",
-    )
-    df = _stage(
-        df,
-        _fw_isi="91.9D * exp(-0.1386D * _fw_gap) * (1D + pow(_fw_gap, 5.31D) / 4.93e7D)"
-        f" * exp(0.05039D * ({wind_ms} * 3.6D))",
-    )
-    df = _stage(df, _fw_b="0.1D * _fw_isi * _fw_fd")
-    df = _stage(
-        df, _fw_code="case when _fw_b <= 1D then _fw_b else exp(2.72D * pow(0.434D * ln(_fw_b), 0.647D)) end"
-    )
-    return _finish(df, out, _limit("_fw_code", lo=0.0))
+    return _apply(df, FWI, out, {"ffmc": ffmc, "bui": bui, "wind_ms": wind_ms})
 
 
 def sealed(df: DataFrame, columns: list[str]) -> DataFrame:

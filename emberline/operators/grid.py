@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.spec import RegionSpec
 
-# Grids above this many cells spread their rows over the cluster before the
-# columns are unfolded; smaller ones are cheaper without the exchange.
-SPREAD_ABOVE_ZONES = 100_000
 
 
 def zone_centre(row, col, spec: RegionSpec, step: float | None = None) -> tuple[Column, Column]:
@@ -89,14 +86,14 @@ def locate(points: DataFrame, spec: RegionSpec, step: float | None = None) -> Da
     )
 
 
-def spine(keys: DataFrame, spec: RegionSpec, spread: bool | None = None) -> DataFrame:
+def spine(keys: DataFrame, spec: RegionSpec, spread: bool = False) -> DataFrame:
     """Every zone for every row of ``keys`` (usually the distinct dates).
 
     The zones are unfolded from their row and column counts, so there is no
-    join; arrays hold at most one grid row or one grid column of numbers.
+    join; arrays hold at most one grid row or one grid column of numbers. With
+    ``spread`` the grid rows of a key are dealt to all tasks, which pays off for
+    few keys and a fine grid.
     """
-    if spread is None:
-        spread = spec.n_zones > SPREAD_ABOVE_ZONES
     rows = keys.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(spec.n_rows - 1))))
     if spread:
         rows = rows.repartition(*keys.columns, "row")

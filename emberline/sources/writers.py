@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.session import scratch_dir
+from emberline.spec import RegionSpec
 
 
 def write_table(
@@ -24,6 +26,43 @@ def write_table(
     writer.save(path)
 
 
+#: Bits of a row or column number in the order of ``write_clustered``.
+ORDER_BITS = 16
+
+
+def place_order(latitude: str, longitude: str, region: RegionSpec) -> Column:
+    """A number whose neighbours are near each other in both directions: the
+    bits of the row and the column in turn, of a grid of 2^16 cells a side."""
+
+    def cell(value: str, low: float, high: float) -> Column:
+        share = (F.col(value) - low) / (high - low) * (1 << ORDER_BITS)
+        return F.least(F.greatest(F.floor(share), F.lit(0)), F.lit((1 << ORDER_BITS) - 1)).cast("long")
+
+    row, col = cell(latitude, region.min_lat, region.max_lat), cell(longitude, region.min_lon, region.max_lon)
+
+    def bits(value: Column, at: int) -> Column:
+        taken = [F.shiftleft(F.shiftright(value, i).bitwiseAND(F.lit(1)), 2 * i + at) for i in range(ORDER_BITS)]
+        return reduce(lambda a, b: a.bitwiseOR(b), taken)
+
+    return bits(row, 1).bitwiseOR(bits(col, 0))
+
+
+def write_clustered(
+    df: DataFrame, path: str, region: RegionSpec, latitude: str = "latitude", longitude: str = "longitude", files: int | None = None, group_bytes: int | None = None
+) -> None:
+    """Writes points sorted by ``place_order``, in ranges: each file, and each
+    row group in it, covers a small patch, so a box skips most of them by their
+    statistics, whichever way it lies. A crowded patch takes several files.
+    Points without a place come first."""
+    placed = df.withColumn("_order", place_order(latitude, longitude, region))
+    keys = ["_order", latitude, longitude]
+    ranged = placed.repartitionByRange(files, *keys) if files else placed.repartitionByRange(*keys)
+    writer = ranged.sortWithinPartitions(*keys).drop("_order").write.mode("overwrite")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows behind a table in the shared scratch folder.
 

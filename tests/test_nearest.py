@@ -45,6 +45,18 @@ def sample(kind, seed=3):
     return rows
 
 
+def test_a_crowded_tile_is_cut_by_its_content(spark):
+    rng = random.Random(9)
+    rows = [("a", 5, 5, 0.05 + rng.uniform(0, 8e-4), 10.05 + rng.uniform(0, 8e-4)) for _ in range(20_000)]
+    rows += [("a", 7, 7, 0.3, 10.3), ("a", 7, 7, 0.31, 10.3), ("a", 9, 9, 0.5, 10.5)]
+    places = spark.createDataFrame(rows, "g STRING, _ty INT, _tx INT, latitude DOUBLE, longitude DOUBLE")
+    extent = [f(c).alias(n) for c, lo, hi in (("latitude", "y0", "y1"), ("longitude", "x0", "x1")) for f, n in ((F.min, lo), (F.max, hi))]
+    finest = places.groupBy("g", "_ty", "_tx").agg(*extent, F.count("*").alias("n"))
+    cut = nearest._parted(places, finest, ["g"])
+    sizes = sorted(r["count"] for r in cut.groupBy("_ty", "_tx", "_sy", "_sx").count().collect())
+    assert cut.count() == len(rows) and sizes[-1] <= 4 * nearest.CANDIDATES and len(sizes) > 2000
+
+
 @pytest.mark.parametrize("kind", ["even", "cluster", "outside", "ties"])
 def test_nearest_equals_brute_force(spark, kind):
     rows = sample(kind)

@@ -7,7 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from emberline.operators import learn as L
-from emberline.plans import state
+from emberline.operators.sequences import sequences
+from emberline.plans import state, windows
 from emberline.plans.refresh import ZoneRefresh
 from emberline.plans.versions import StateNotReady
 from emberline.spec import RegionSpec
@@ -175,3 +176,36 @@ def test_refresh_runs_on_streams(spark, weather, tmp_path):
         D.run_refresh(D.file_stream(spark, str(tmp_path / kind), rows[0].schema, max_files=1), run, str(tmp_path / f"check_{kind}"))
     assert len(state_rows(zones, spark)) == 3 * REGION.n_zones
     assert zones.state.numbers(spark) == [1, 2, 3]
+
+
+def test_windows_follow_the_state(spark, tmp_path):
+    rows = [(1, dt.date(2024, 1, d), 11.6, 74.1, 30.0 + d, 30.0, 5.0, 90.0, 0.0, 10.0) for d in range(1, 13) if d != 9]
+    weather = spark.createDataFrame(rows, WEATHER)
+    zones = zone_refresh(spark, tmp_path / "base")
+    table = windows.window_table(str(tmp_path / "windows"))
+    features = ["wx_temperature_c", "fwi"]
+
+    def built():
+        return sorted((r["date"], r["zone_idx"], r["sequence"]) for r in table.read(spark).collect())
+
+    def whole():
+        seq = sequences(zones.state.read(spark), 3, features, label=None)
+        return sorted((r["date"], r["zone_idx"], r["sequence"]) for r in seq.collect())
+
+    zones.on_weather(weather.where("date < DATE '2024-01-08'"), 0)
+    assert windows.refresh_windows(spark, zones.state, table, features, 3) == 1 and built() == whole()
+    zones.on_weather(weather.where("date >= DATE '2024-01-08'"), 1)
+    assert windows.refresh_windows(spark, zones.state, table, features, 3) == 2 and built() == whole()
+    zones.on_weather(hotter(weather, 3.0).where("date = DATE '2024-01-04'"), 2)
+    assert windows.refresh_windows(spark, zones.state, table, features, 3) == 3 and built() == whole()
+    assert windows.refresh_windows(spark, zones.state, table, features, 3) is None
+    last = {r["date"].day for r in table.ledger(spark).collect() if r["version"] == 3}
+    assert last == {4, 5, 6} and len({d for d, _, _ in built()}) == 7
+
+
+def test_only_stale_windows_need_their_days():
+    day = [dt.date(2024, 1, d) for d in range(1, 8)]
+    state_versions = dict.fromkeys(day, 1) | {day[2]: 4}
+    first = windows.stale_ends(state_versions, {}, 3)
+    assert set(first) == set(day) and first[day[4]] == 4 and first[day[5]] == 1
+    assert windows.stale_ends(state_versions, dict.fromkeys(day, 1), 3) == {day[2]: 4, day[3]: 4, day[4]: 4}

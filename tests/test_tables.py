@@ -1,8 +1,11 @@
 import datetime as dt
+import glob
 import json
 import os
 import random
+import statistics
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,57 @@ def test_impute_median_per_group(spark):
     assert out == [("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", 8.0), ("b", 4.0), ("b", 4.0)]
 
 
+def test_median_of_many_values_is_exact(spark):
+    """Values that a sketch of this accuracy only brackets, crowded ones among them."""
+    rng = random.Random(5)
+    values = {"even": [rng.uniform(-50, 50) for _ in range(4001)], "crowded": [1e-9 * rng.random() for _ in range(3000)] + [1e9] * 2000}
+    values["ties"] = [7.0] * 3000 + [rng.gauss(7, 1) for _ in range(3000)]
+    values["one"], values["two"], values["none"] = [3.5], [1.0, 2.0], [None]
+    rows = [(g, x, None if x is None else -x) for g, xs in values.items() for x in xs]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE, y DOUBLE").repartition(6)
+    for accuracy in (16, 200):
+        got = {r.g: (r._med_x, r._med_y) for r in features.medians(df, ["x", "y"], ["g"], accuracy).collect()}
+        assert got == {g: (statistics.median(xs), -statistics.median(xs)) for g, xs in values.items() if xs != [None]}
+
+
+def test_score_ranges_follow_the_scores(spark):
+    rng = random.Random(6)
+    scores = sorted({1e-6 * rng.random() for _ in range(6000)} | {0.5, 0.9, 1.0})
+    df = spark.createDataFrame([(s,) for s in scores], "_s DOUBLE")
+    found = metrics.score_ranges(df, ranges=32).groupBy("_range").agg(F.count("*").alias("n"), F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    rows = sorted((r["_range"], r["n"], r["lo"], r["hi"]) for r in found.collect())
+    sizes = sorted(n for _, n, _, _ in rows)
+    assert len(rows) == 32 and sizes[-1] <= 3 * sizes[16]
+    assert all(a[3] < b[2] for a, b in zip(rows, rows[1:]))
+
+
+def test_clustered_files_cover_small_patches(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, rng.uniform(11.5, 15.5), rng.uniform(74.0, 77.5)) for i in range(4000)] + [(-1, None, None), (-2, 40.0, -10.0)]
+    df = spark.createDataFrame(rows, "id LONG, latitude DOUBLE, longitude DOUBLE").repartition(16)
+    plain, ordered = str(tmp_path / "plain"), str(tmp_path / "ordered")
+    df.write.parquet(plain)
+    writers.write_clustered(df, ordered, RegionSpec(), files=16)
+    box = RegionSpec(min_lat=12.0, max_lat=12.4, min_lon=75.0, max_lon=75.4)
+
+    def opened(path):
+        """Rows of the row groups whose extents meet the box."""
+        n = 0
+        for f in glob.glob(f"{path}/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            for g in range(meta.num_row_groups):
+                lat, lon = (meta.row_group(g).column(i).statistics for i in (1, 2))
+                if lat.has_min_max and lat.min <= box.max_lat and lat.max >= box.min_lat and lon.min <= box.max_lon and lon.max >= box.min_lon:
+                    n += meta.row_group(g).num_rows
+        return n
+
+    assert opened(plain) >= 3900 and opened(ordered) <= 1500
+    back = spark.read.parquet(ordered)
+    assert sorted(r["id"] for r in back.collect()) == sorted(i for i, _, _ in rows)
+    key = spark.createDataFrame([(11.5 + 4 / 65536 * 2.5, 74.0 + 3.5 / 65536 * 1.5)], "latitude DOUBLE, longitude DOUBLE")
+    assert key.select(writers.place_order("latitude", "longitude", RegionSpec())).head()[0] == 0b1001
+
+
 def auc_by_pairs(rows):
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]
