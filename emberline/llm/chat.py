@@ -120,10 +120,29 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return chats.withColumn("formatted", checked).drop("_source")
 
 
+#: Code points of a text that are cut at one time, so that a long conversation of many turns isn't walked once a turn.
+CUT = 4096
+
+
+def with_learned(chats: DataFrame) -> DataFrame:
+    """``chats`` with ``learned``, the texts that the loss mask covers, read
+    from ``formatted`` and without escapes."""
+    steps = F.sequence(F.lit(0).cast("long"), F.length("formatted").cast("long"), F.lit(CUT).cast("long"))
+    blocks = F.transform(steps, lambda at: F.substr("formatted", (at + 1).cast("int"), F.lit(CUT)))
+
+    def part(span: Column) -> Column:
+        first, last = F.floor(span["start"] / CUT), F.floor(span["end"] / CUT)
+        near = F.array_join(F.slice("_blocks", (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescaped(F.substr(near, (span["start"] - first * CUT + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
+
+    return chats.withColumn("_blocks", blocks).withColumn("learned", F.transform("loss_spans", part)).drop("_blocks")
+
+
 def digest(chats: DataFrame) -> DataFrame:
+    """Digests of what is read back: the turns by the grammar, the learned
+    text through the loss mask."""
     said = F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.array_join(F.transform(F.filter("parsed", lambda t: t["trained"]), lambda t: t["text"]), "")
-    chats = chats.withColumn("_learned", learned)
+    chats = with_learned(chats).withColumn("_learned", F.array_join("learned", ""))
     return chats.select(
         "conv_id",
         "n_turns",

@@ -12,8 +12,10 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from emberline.llm.arrow import with_text_columns
+from emberline.llm.arrow import packed, unpacked, with_text_columns, without
+from emberline.sources.writers import stored
 
 #: A byte is part of a word if it is 0-9, a-z (A-Z once lowered) or not ASCII.
 NORMAL = bytes(
@@ -43,24 +45,19 @@ def windows_of(words: list[bytes], n: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(max(1, len(words) - n + 1))]
 
 
-def blocks(benchmark: DataFrame, spec: LeakSpec):
-    """Yields {window: item ids} of at most ``block_bytes`` pattern bytes each.
-
-    Items arrive one partition at a time. A null text has no window; a null
-    id is the empty string.
-    """
-    block: dict[bytes, set[str]] = {}
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
-    for row in rows.toLocalIterator():
-        for window in windows_of(words_of(row["text"]), spec.window):
-            size += len(window) + len(row["id"])
-            block.setdefault(window, set()).add(row["id"])
-        if size >= spec.block_bytes:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
+def windows(benchmark: DataFrame, spec: LeakSpec) -> DataFrame:
+    """(block, window, ids): the distinct windows of all items with the items
+    that have them, written to the shared folder. A block holds at most about
+    ``block_bytes`` of them: windows are numbered by hash into as many blocks as
+    their bytes ask for. A null text has no window; a null id is the empty string."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
+    each = with_text_columns(items, "windows array<binary>", lambda: lambda text: (windows_of(words_of(text), spec.window),))
+    found = each.select("id", F.explode("windows").alias("window")).groupBy("window").agg(F.collect_set("id").alias("ids"))
+    found = stored(found, "windows")
+    size = F.octet_length("window") + F.aggregate("ids", F.lit(0), lambda n, i: n + F.octet_length(i))
+    whole = found.agg(F.sum(size)).head()[0] or 0
+    count = -(-whole // spec.block_bytes)
+    return found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(max(1, count))))
 
 
 def _automaton(block: dict[bytes, set[str]]):
@@ -124,10 +121,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
     nothing. Repeated rows are scanned row by row, items that repeat a text
     are all reported. Columns of the same names are replaced.
     """
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, spec)]
-    if not sent:
+    names = StructType.fromDDL(SCHEMA).names
+    docs = without(docs, names)
+    parts = windows(benchmark, spec)
+    numbers = sorted(r[0] for r in parts.select("block").distinct().collect())
+    if not numbers:
         return with_text_columns(docs, SCHEMA, lambda: lambda text: (len(words_of(text)), 0, [], []))
-    return with_text_columns(docs, SCHEMA, _scanner(sent[0])) if len(sent) == 1 else _by_blocks(docs, sent)
+    if len(numbers) == 1:
+        return with_text_columns(docs, SCHEMA, _scanner(_sent(parts, numbers[0])))
+    kind = StructType.fromDDL(SCHEMA)
+    rows = packed(docs).withColumn("found", F.lit(None).cast(kind))
+    for number in numbers:
+        # Each block is sent, scanned and dropped before the next one.
+        block = _sent(parts, number)
+        both = rows.withColumn("both", F.struct("text", "found")).drop("found")
+        rows = with_text_columns(both, StructType([StructField("found", kind)]), _adder(block), text="both").drop("both")
+        if number != numbers[-1]:
+            rows = stored(rows, "leaks")
+            block.destroy()
+    return unpacked(rows, docs.columns, *[F.col("found")[n].alias(n) for n in names])
+
+
+def _sent(parts: DataFrame, number: int):
+    """One block as {window: item ids}, sent to all tasks; its size is bounded
+    by ``block_bytes``, whatever that of the benchmark is."""
+    rows = parts.where(F.col("block") == number).select("window", "ids").collect()
+    return parts.sparkSession.sparkContext.broadcast({bytes(r["window"]): set(r["ids"]) for r in rows})
 
 
 def _scanner(block):
@@ -138,18 +157,22 @@ def _scanner(block):
     return setup
 
 
-def _by_blocks(docs: DataFrame, sent: list) -> DataFrame:
-    """One narrow pass for each automaton, so a task holds one at a time."""
-    for i, block in enumerate(sent):
-        docs = with_text_columns(docs, SCHEMA, _scanner(block))
-        docs = docs.withColumn(f"_leak{i}", F.struct("n_words", "n_hit", "item_ids", "spans"))
-    merge = F.udf(
-        lambda text, *rows: _merge([(r[0], r[1], r[2], [tuple(s) for s in r[3]]) for r in rows], text),
-        SCHEMA,
-    )
-    parts = [f"_leak{i}" for i in range(len(sent))]
-    docs = docs.drop("n_words", "n_hit", "item_ids", "spans").withColumn("_leak", merge("text", *parts)).drop(*parts)
-    return docs.select("*", "_leak.*").drop("_leak")
+def _adder(block):
+    """Scans a text and adds what earlier blocks found in it."""
+
+    def setup():
+        automaton = _automaton(block.value)
+
+        def of(both):
+            now, old = _scan(automaton, both["text"]), both["found"]
+            if old is None:
+                return (now,)
+            before = (old["n_words"], old["n_hit"], old["item_ids"], [(x["start"], x["end"]) for x in old["spans"]])
+            return (_merge([before, now], both["text"]),)
+
+        return of
+
+    return setup
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.arrow import with_text_columns, without
+from emberline.llm.arrow import packed, unpacked, with_text_columns, without
 from emberline.llm.words import code_points, lower_ascii, span_hashes, word_bounds
 from emberline.sources.writers import stored
 
@@ -112,18 +112,17 @@ def substring_dedup(docs: DataFrame, spec: SpanSpec = SpanSpec()) -> DataFrame:
     common = common.where("low < high or (low is not null and named < rows)").select("hash", "low")
     later = spans.join(common, "hash").where("doc_id is null or doc_id > low")
     marks = later.groupBy("doc_id", "_text").agg(F.collect_set("number").alias("_number"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    marks = marks.withColumnsRenamed({"doc_id": "_id", "_text": "_key"})
-    out = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed["_text"] == marks["_key"]), "left").drop("_id", "_key", "_text")
+    marks = marks.toDF("of", "hash", "number")
+    rows = packed(docs).withColumn("key", F.xxhash64("text"))
+    out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("hash")), "left")
     # Text and marks go through Python together.
-    out = out.withColumn("_both", F.struct("text", F.coalesce("_number", F.array().cast("array<int>")).alias("number"))).drop("_number")
+    out = out.select("doc_id", "_rest", F.struct("text", F.coalesce("number", F.array().cast("array<int>")).alias("number")).alias("both"))
 
     def cutter():
         return lambda both: cut(both["text"], both["number"], spec)
 
-    schema = "_left string, n_sentences long, n_removed long"
-    done = with_text_columns(out, schema, cutter, text="_both").drop("_both")
-    return done.withColumn("text", F.col("_left")).select(*docs.columns, "n_sentences", "n_removed")
+    done = with_text_columns(out, "left string, n_sentences long, n_removed long", cutter, text="both")
+    return unpacked(done.withColumn("text", F.col("left")), docs.columns, "n_sentences", "n_removed")
 
 
 def digest(left: DataFrame) -> DataFrame:

@@ -14,14 +14,20 @@ and only where a repeat is possible:
    Blocks that are the same wherever their core is found are settled by hashes,
    too; only the others go on to the next steps.
 3. Sort the sampled triples, name them by their order, and recurse on the names
-   (eight names, then three, then one) until a name stands for a core.
-4. Group the remaining starts by their core's name, their place in the block
-   and the sixteen bytes around the core. Groups of two and more are repeated
-   strings. This replaces merging all suffixes and comparing neighbours: no
-   suffixes are ordered here.
-
-No step gathers a group: names are given by range partitions, and equal
-starts are counted with partial sums.
+   (eight names, then three, then one) until a name stands for a core. Names
+   ascend as the cores do.
+4. Merge: each remaining suffix is the few bytes before its core, the core's
+   name and the bytes behind it. Suffixes of one place in the block are ordered
+   by these in range partitions, and neighbours in that order that are equal in
+   all ``length`` bytes are repeated strings.
+
+Hashes only choose which suffixes enter the order, and stand for copies of whole
+stretches and blocks. No step gathers a group: names are given by range
+partitions, and equal suffixes may lie in several of them.
+
+Beside that, each text's strings of ``gram`` bytes that are the smallest of a
+window of ``noted`` bytes are held against those of all others. They say which
+documents share a passage that is shorter than ``length``.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from emberline.llm.arrow import ROWS_AT_ONCE, ship_package, with_text_columns, without
+from emberline.llm.arrow import ROWS_AT_ONCE, packed, ship_package, unpacked, with_text_columns, without
 from emberline.llm.words import _power, mixed
 from emberline.sources.writers import stored
 
@@ -45,14 +51,16 @@ SYMBOL = 16
 
 @dataclass(frozen=True)
 class SuffixSpec:
-    """``length`` bytes that count as a repeat; ``gram`` bytes of an anchor."""
+    """``length`` bytes that count as a repeat; ``gram`` bytes of an anchor;
+    ``noted`` bytes of a shared passage that is noted but stays."""
 
     length: int = 400
     gram: int = 128
+    noted: int = 240
 
     def __post_init__(self):
-        if not BLOCK < self.gram < self.length < 1 << 16:
-            raise ValueError("16 < gram < length < 65536")
+        if not BLOCK < self.gram < self.noted <= self.length < 1 << 16:
+            raise ValueError("16 < gram < noted <= length < 65536")
 
     @property
     def core(self) -> int:
@@ -78,23 +86,34 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out[:size] if step == width else np.minimum(out[:size], out[width - step : width - step + size])
 
 
+def _least_grams(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each ``width`` neighbours; the first of equals."""
+    low = np.uint64(0xFFFFFFFF)
+    place = np.arange(len(grams), dtype=np.uint64)
+    return (_least((grams & ~low) | place, width) & low).astype(np.int64)
+
+
 def anchors(raw: bytes, spec: SuffixSpec) -> tuple[np.ndarray, ...]:
     """gram hash, stretch hash, first start, number of starts, place of the
-    gram; one of each for every run of starts that share an anchor."""
-    if len(raw) < spec.length:
-        empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+    gram; one of each for every run of starts that share an anchor. Then the
+    hashes of the noted grams."""
+    empty = np.zeros(0, np.int64)
+    none = empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+    if len(raw) < spec.noted:
+        return *none, empty.astype(np.uint64)
     total = _running(np.frombuffer(raw, np.uint8))
     place = np.arange(len(raw) - spec.gram + 1)
     grams = _hashes(total, place, place + spec.gram)
-    low = np.uint64(0xFFFFFFFF)
-    at = (_least((grams & ~low) | place.astype(np.uint64), spec.length - spec.gram + 1) & low).astype(np.int64)
+    noted = grams[np.unique(_least_grams(grams, spec.noted - spec.gram + 1))]
+    if len(raw) < spec.length:
+        return *none, noted
+    at = _least_grams(grams, spec.length - spec.gram + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     last = np.append(first[1:] - 1, len(at) - 1)
     chosen = at[first]
     stretch = _hashes(total, first, last + spec.length)
     stretch ^= mixed(((chosen - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64))
-    return grams[chosen], stretch, first, last - first + 1, chosen
+    return grams[chosen], stretch, first, last - first + 1, chosen, noted
 
 
 def _blocks(raw: bytes, offset: int, starts: int, spec: SuffixSpec):
@@ -162,18 +181,53 @@ def core_names(cores: DataFrame, spec: SuffixSpec) -> DataFrame:
     return named.select("piece", "name")
 
 
-def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
-    """(_doc, first, last) of the starts of repeated strings, in runs. _doc
-    tells rows apart by id and text; equal rows have equal runs."""
+def merged(starts: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    """``starts`` in the order of ``keys``, with ``part``, the range that a row
+    is in, and ``row``, its number there. ``rest`` spreads equal rows."""
+    ordered = starts.repartitionByRange(*keys, *rest).sortWithinPartitions(*keys, *rest)
+    ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    return stored(ordered, "merged_starts")
+
+
+def with_equal_neighbour(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``merged`` whose neighbour in the order has the same keys.
+    At the border of two ranges the last row of the one and the first of the
+    next are neighbours."""
+    key = F.struct(*keys)
+    inside = Window.partitionBy("part").orderBy("row")
+    rows = ordered.withColumn("key", key).withColumn("before", F.lag("key").over(inside)).withColumn("behind", F.lead("key").over(inside))
+    # One row a range.
+    ends = ordered.groupBy("part").agg(F.min_by(key, F.col("row")).alias("first"), F.max_by(key, F.col("row")).alias("last"))
+    along = Window.partitionBy(F.lit(0)).orderBy("part")
+    ends = ends.select("part", F.lag("last").over(along).alias("last_before"), F.lead("first").over(along).alias("next_first"))
+    rows = rows.join(ends, "part")
+    equal = (F.coalesce("before", "last_before") == F.col("key")) | (F.coalesce("behind", "next_first") == F.col("key"))
+    return rows.where(equal).select(*ordered.columns)
+
+
+def noted_anchors(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
+    """(_doc, gram, stretch, at, noted) of each row, written to the shared folder."""
 
     def of(text):
-        gram, stretch, first, starts, place = anchors((text or "").encode("utf-8", "surrogatepass"), spec)
+        gram, stretch, first, starts, place, noted = anchors((text or "").encode("utf-8", "surrogatepass"), spec)
         where = (first << 32) | (starts << 16) | (place - first)
-        return gram.view(np.int64), stretch.view(np.int64), where
+        return gram.view(np.int64), stretch.view(np.int64), where, noted.view(np.int64)
 
     named = docs.select("text", F.xxhash64("doc_id", "text").alias("_doc"))
-    schema = "gram array<long>, stretch array<long>, at array<long>"
-    held = stored(with_text_columns(named, schema, lambda: of).drop("text"), "anchors")
+    schema = "gram array<long>, stretch array<long>, at array<long>, noted array<long>"
+    return stored(with_text_columns(named, schema, lambda: of).drop("text"), "anchors")
+
+
+def shared_strings(held: DataFrame) -> DataFrame:
+    """(_doc, n_shared): how many noted strings of a row stand elsewhere, too."""
+    notes = held.select("_doc", F.explode("noted").alias("noted"))
+    several = notes.groupBy("noted").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("noted")
+    return notes.join(several, "noted").groupBy("_doc").agg(F.count_distinct("noted").alias("n_shared"))
+
+
+def repeated_starts(docs: DataFrame, held: DataFrame, spec: SuffixSpec) -> DataFrame:
+    """(_doc, first, last) of the starts of repeated strings, in runs. _doc
+    tells rows apart by id and text; equal rows have equal runs."""
     zipped = F.explode(F.arrays_zip("gram", "stretch", "at"))
     places = held.select("_doc", zipped.alias("z")).select("_doc", "z.*")
 
@@ -245,13 +299,15 @@ def repeated_starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
     unclear = live.where("not same")
     names = core_names(unclear.select("piece", F.col("bytes").alias("core")), spec)
 
-    # Grouped, not merged: sixteen bytes around the core tell apart the starts of one name.
+    # Of the sixteen bytes around the core, so many stand before it as the place in the block leaves.
     start = F.explode(F.sequence("low", "high")).alias("i")
     around = F.expr(f"substring(edge, i - low + 1, {BLOCK})")
     rest = unclear.join(names.hint("merge"), "piece").select("_doc", "n", "begin", "name", "edge", "low", start)
-    rest = stored(rest.select("_doc", "n", (F.col("begin") + F.col("i")).alias("first"), "name", "i", around.alias("around")), "merged_starts")
-    twice = rest.groupBy("name", "i", "around").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    found = rest.where("n = 1").join(twice.hint("merge"), ["name", "i", "around"]).select("_doc", "first", F.col("first").alias("last"))
+    rest = rest.select("_doc", "n", (F.col("begin") + F.col("i")).alias("first"), "name", "i", around.alias("around"))
+    rest = rest.withColumn("head", F.expr(f"substring(around, 1, {BLOCK} - i)")).withColumn("tail", F.expr(f"substring(around, {BLOCK} - i + 1)"))
+    keys = ["i", "head", "name", "tail"]
+    ordered = merged(rest.drop("around"), keys, ["_doc", "first"])
+    found = with_equal_neighbour(ordered, keys).where("n = 1").select("_doc", "first", F.col("first").alias("last"))
     return whole.union(equal).union(found)
 
 
@@ -273,20 +329,24 @@ def kept_bytes(text: str | None, runs, spec: SuffixSpec) -> tuple[bytes, int, li
 
 def suffix_dedup(docs: DataFrame, spec: SuffixSpec = SuffixSpec()) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (binary: what is left may begin or
-    end inside a character), ``n_bytes`` and ``removed`` (byte ranges).
+    end inside a character), ``n_bytes``, ``removed`` (byte ranges) and
+    ``n_shared``, the noted strings that stand elsewhere, too (zero: none).
 
     Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole. Strings in repeated rows, or in rows that share an id, count as
-    strings that start elsewhere. Columns of the same names are replaced.
+    strings that start elsewhere. Columns of the same names are replaced, all
+    others stay.
     """
-    docs = without(docs, ["kept", "n_bytes", "removed"])
-    runs = repeated_starts(docs.select("doc_id", "text"), spec)
-    runs = runs.groupBy("_doc").agg(F.collect_set(F.struct("first", "last")).alias("_runs")).hint("merge")
-    out = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(runs, "_doc", "left").drop("_doc")
-    out = out.withColumn("_both", F.struct("text", "_runs")).drop("_runs")
+    docs = without(docs, ["kept", "n_bytes", "removed", "n_shared"])
+    plain = docs.select("doc_id", "text")
+    held = noted_anchors(plain, spec)
+    runs = repeated_starts(plain, held, spec).groupBy("_doc").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = runs.join(shared_strings(held), "_doc", "full").hint("merge")
+    out = packed(docs).withColumn("_doc", F.xxhash64("doc_id", "text")).join(found, "_doc", "left").drop("_doc")
+    out = out.withColumn("both", F.struct("text", "runs")).drop("runs")
     schema = "kept binary, n_bytes long, removed array<struct<start:long,end:long>>"
-    done = with_text_columns(out, schema, lambda: lambda both: kept_bytes(both["text"], both["_runs"], spec), text="_both")
-    return done.drop("_both")
+    done = with_text_columns(out, schema, lambda: lambda both: kept_bytes(both["text"], both["runs"], spec), text="both")
+    return unpacked(done, docs.columns, "kept", "n_bytes", "removed", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
 
 def digest(left: DataFrame) -> DataFrame:
@@ -296,4 +356,5 @@ def digest(left: DataFrame) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "n_shared",
     )

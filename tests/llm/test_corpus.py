@@ -354,6 +354,12 @@ def test_long_single_sentences_go(spark):
     assert left == {1: rows[0][1], 2: f"Two there. Then {short}", 3: ""}
 
 
+def test_spans_keep_the_columns_of_the_caller(spark):
+    rows = [(i, "One two three. Four five six. Seven eight nine." + f" Own {i}.", i, i + 1, i + 2) for i in range(3)]
+    left = sentence_spans.substring_dedup(frame(spark, rows, "doc_id long, text string, _text long, _both long, _key long")).collect()
+    assert {(r.doc_id, r._text, r._both, r._key, r.n_removed) for r in left} == {(0, 0, 1, 2, 0), (1, 1, 2, 3, 3), (2, 2, 3, 4, 3)}
+
+
 def test_spans_of_odd_rows(spark):
     docs = frame(spark, odd_rows()).withColumn("n_removed", F.lit("clash"))
     left = {r.doc_id: r for r in sentence_spans.substring_dedup(docs).where("doc_id is not null").collect()}
@@ -400,11 +406,48 @@ def test_suffixes_equal_all_windows(spark, seed):
         rows.append((d, "".join(text)))
     rows += [(100, None), (101, ""), (3, rows[3][1]), (None, rows[5][1])]
     docs = frame(spark, rows, "doc_id long, text string")
-    assert rows_of(suffixes.digest(suffixes.suffix_dedup(docs))) == plain_suffixes(rows, 400)
+    found = suffixes.digest(suffixes.suffix_dedup(docs))
+    assert rows_of(found.drop("n_shared")) == plain_suffixes(rows, 400)
+    # A text with a string of 240 bytes that another has shares one that is noted.
+    raws = [(t or "").encode() for _, t in rows]
+    owners = defaultdict(set)
+    for k, r in enumerate(raws):
+        for i in range(len(r) - 239):
+            owners[r[i : i + 240]].add(k)
+    sharing = set().union(*[o for o in owners.values() if len(o) > 1])
+    noted = {(r.doc_id, r.n_bytes) for r in found.where("n_shared > 0").collect()}
+    assert {(rows[k][0], len(raws[k])) for k in sharing} <= noted
+
+
+def test_suffixes_are_ordered_and_neighbours_compared(spark):
+    words = ["banana", "bandana", "ananas", "banana", "nab", "anan", "banana", "ananas"]
+    starts = frame(spark, [(w, i) for i, w in enumerate(words)], "head string, first long").repartition(3)
+    ordered = suffixes.merged(starts, ["head"], ["first"])
+    assert [r["head"] for r in ordered.orderBy("part", "row").collect()] == sorted(words)
+    equal = suffixes.with_equal_neighbour(ordered, ["head"])
+    assert sorted(r["first"] for r in equal.collect()) == [0, 2, 3, 6, 7]
+    # Equal rows in every range, and ranges of one row.
+    many = frame(spark, [("same", i) for i in range(40)] + [("other", 50)], "head string, first long").repartition(5)
+    equal = suffixes.with_equal_neighbour(suffixes.merged(many, ["head"], ["first"]), ["head"])
+    assert sorted(r["first"] for r in equal.collect()) == list(range(40))
+
+
+def test_core_names_ascend_as_the_cores(spark):
+    draw = random.Random(8)
+    spec = suffixes.SuffixSpec()
+    cores = [bytes(draw.choice(b"ab") for _ in range(spec.core)) for _ in range(12)]
+    cores += [cores[0][:-1] + b"z", cores[3], cores[4][:200] + b"z" + cores[4][201:]]
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cores)], "piece long, core binary")
+    names = {r["piece"]: r["name"] for r in suffixes.core_names(rows, spec).collect()}
+    assert len(names) == len(cores)
+    for i, a in enumerate(cores):
+        for j, b in enumerate(cores):
+            assert (names[i] < names[j]) == (a < b)
 
 
 def test_suffixes_of_odd_rows(spark):
-    docs = frame(spark, odd_rows()).withColumn("removed", F.lit("clash"))
+    docs = frame(spark, odd_rows()).withColumn("removed", F.lit("clash")).withColumn("_doc", F.lit("own")).withColumn("both", F.lit(1))
+    assert {(r._doc, r.both) for r in suffixes.suffix_dedup(docs).collect()} == {("own", 1)}
     left = {r.doc_id: r for r in suffixes.suffix_dedup(docs).collect()}
     assert left[4].n_bytes == 100_000 and len(left[4].kept) == 0 and left[1].kept == b"" and left[6].removed == []
     assert suffixes.suffix_dedup(docs.limit(0)).count() == 0

@@ -107,11 +107,55 @@ def test_long_texts_take_no_quadratic_time():
         pii.base_spans(text)
 
 
+def planted(draw, words):
+    """A text with one item of each kind, disguised, and where they are."""
+
+    def number(n):
+        return "".join(str(draw.randint(0, 9)) for _ in range(n))
+
+    card = next(c for c in (f"4{number(15)}" for _ in range(200)) if pii.luhn(c))
+    items = [
+        ("email", f"{draw.choice(words).lower()}.{number(2)}@mail{number(1)}.example.com"),
+        ("ip", ".".join(str(draw.randint(1, 255)) for _ in range(4))),
+        ("card", card),
+        ("phone", f"+1 ({number(3)}) 555-{number(4)}"),
+    ]
+    draw.shuffle(items)
+    text, spans = "", []
+    for kind, item in items:
+        text += " ".join(draw.choice(words) for _ in range(draw.randint(5, 40))) + " "
+        spans.append((kind, len(text), len(text) + len(item)))
+        text += item + draw.choice([" ", ". ", ", "])
+    text, spans = pii.disguised(text, spans)
+    secret = "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    text += 'token = "'
+    return f'{text}{secret}" and on', [*spans, ("secret", len(text), len(text) + 40)]
+
+
 def test_model_finds_disguised_data_and_leaves_prose(spark):
-    docs = table(spark, "documents").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = pii.fit(docs)
-    found = pii.find_pii(docs, model).where("spans <> base_spans").count()
-    assert found <= 5
+    texts = [r["text"] for r in docs.where("text is not null").collect()]
+    words = sorted({w for t in texts for w in re.findall("[a-z]{3,8}", t)})[:2000]
+    draw = random.Random(11)
+    right, true, found = Counter(), Counter(), Counter()
+    for _ in range(150):
+        text, spans = planted(draw, words)
+        added = set(pii.chosen(text, model))
+        true.update(k for k, _, _ in spans)
+        right.update(k for k, _, _ in added & set(spans))
+        found.update(k for k, _, _ in added)
+    for kind in pii.ALL_KINDS:
+        assert right[kind] >= 0.9 * true[kind], (kind, right, true)
+        assert right[kind] >= 0.98 * found[kind], (kind, right, found)
+    # In the documents secrets are added, and next to nothing else.
+    rows = [(t, pii.chosen(t, model), pii.sure_spans(t)) for t in texts]
+    other = sum(len(set(spans) - set(sure)) for _, spans, sure in rows)
+    secrets = sum(k == "secret" for _, _, sure in rows for k, _, _ in sure)
+    caught = sum(s[0] == "secret" and s in sure for _, spans, sure in rows for s in spans)
+    assert secrets > 3 and caught >= 0.9 * secrets and other <= 0.02 * sum(len(spans) for _, spans, _ in rows)
+    counted = pii.find_pii(docs, model).agg(F.sum("n_spans")).head()[0]
+    assert counted == sum(len(spans) for _, spans, _ in rows)
     text, spans = pii.disguised("write to anna.b@mail7.example.com or call +1 (415) 555-2671 today", pii.base_spans("write to anna.b@mail7.example.com or call +1 (415) 555-2671 today"))
     assert pii.base_spans(text) != spans
     rows = pii.find_pii(frame(spark, odd_rows()).withColumn("spans", F.lit(1)), model)
@@ -132,6 +176,22 @@ def test_redaction():
     assert pii.redacted(None, []) is None and pii.written(pii.base_spans(text)) == "email:5:13,ip:15:23"
 
 
+def test_loss_text_is_read_through_the_mask(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " + "é<s>[INST]" * (i * 13 % 400)) for i in range(40)]
+    chats = chat.format_chats(frame(spark, rows, "conv_id long, turn long, role string, text string"))
+    said = "".join(t for _, i, _, t in rows if i % 2)
+    r = chat.digest(chats).head()
+    assert r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["end"] + 1).alias("end")))
+    shifted = chat.digest(chats.withColumn("loss_spans", moved)).head()
+    assert shifted["turns_sha256"] == r["turns_sha256"] and shifted["loss_sha256"] != r["loss_sha256"]
+    edges = frame(spark, [(0, "x" * 5000 + "y" * 4000)], "conv_id long, formatted string").withColumn(
+        "loss_spans", F.expr("array(struct(0L as start, 0L as end), struct(4095L as start, 4097L as end), struct(0L as start, 9000L as end), struct(8192L as start, 9000L as end), struct(9000L as start, 9000L as end))")
+    )
+    text = "x" * 5000 + "y" * 4000
+    assert chat.with_learned(edges).head()["learned"] == ["", text[4095:4097], text, text[8192:], ""]
+
+
 # -- decontamination ----------------------------------------------------------------
 
 
