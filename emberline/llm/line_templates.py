@@ -42,7 +42,9 @@ class LineSpec:
 def _spaced(line: Column) -> Column:
     """The tokens, one space apart. Most lines are so already; only the others
     meet a pattern."""
-    plain = F.translate(line, "\t\x0b\x0c\r", "    ")
+    plain = line
+    for blank in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
     loose = plain.contains("  ") | plain.startswith(" ") | plain.endswith(" ")
     return F.when(loose, F.trim(F.regexp_replace(plain, " +", " "))).otherwise(plain)
 
@@ -66,9 +68,9 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _leaf(line: Column, spec: LineSpec) -> Column:
-    """Of a line's tokens, one space apart: their number and the first ones."""
-    return F.xxhash64(_tokens(line), _masked(F.substring_index(line, " ", spec.depth)))
+def _leaf(spec: LineSpec) -> Column:
+    """Of n tokens of a line, one space apart: their number and the first ones."""
+    return F.xxhash64("n", _masked(F.substring_index("line", " ", spec.depth)))
 
 
 def _agreeing(a: Column, b: Column, spec: LineSpec) -> Column:
@@ -118,7 +120,7 @@ def _buckets(variants: DataFrame, spec: LineSpec) -> DataFrame:
         F.transform(F.slice(masks, 2, F.col("fields")), lambda m: F.struct(m.alias("bucket"), F.lit(True).alias("masked"))),
         F.transform(bands, lambda m: F.struct(m.alias("bucket"), F.lit(False).alias("masked"))),
     )
-    return tokens.join(rare, ["leaf", "key"]).select("leaf", "key", "documents", _long(F.col("line"), spec).alias("long"), F.inline(kinds))
+    return tokens.join(rare, ["leaf", "key"]).select("leaf", "key", "documents", "long", F.inline(kinds))
 
 
 def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame:
@@ -177,8 +179,8 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     """
     line = F.col("line")
     lines = docs.select("doc_id", _row(docs).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", _spaced(line))
-    places = lines.select("doc_id", "_doc", "pos", _leaf(line, spec).alias("leaf"), (_tokens(line) >= spec.long_words).alias("long"))
+    lines = lines.withColumn("line", _spaced(line)).withColumn("n", _tokens(line))
+    places = lines.select("doc_id", "_doc", "pos", _leaf(spec).alias("leaf"), (F.col("n") >= spec.long_words).alias("long"))
     blank = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1), F.lit("")).alias("leaf")).head()["leaf"]
     places = stored(places, "line_leaves").where(F.col("leaf") != blank)
     crowded = places.groupBy("leaf").agg(
@@ -193,7 +195,7 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     found = wanted.join(rows, (F.col("_of") == F.col("_doc")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     found = found.withColumn("lines", F.split("text", "\n")).select("doc_id", "_doc", "lines", F.explode("at").alias("pos"))
     found = found.select("doc_id", "_doc", "pos", _spaced(F.element_at("lines", F.col("pos") + 1)).alias("line"))
-    found = found.withColumn("leaf", _leaf(line, spec)).withColumn("line", _masked(line))
+    found = found.withColumn("n", _tokens(line)).withColumn("leaf", _leaf(spec)).withColumn("line", _masked(line))
     return found.select("leaf", F.xxhash64("line").alias("key"), "doc_id", "_doc", "pos", "line", _long(line, spec).alias("long"))
 
 
@@ -204,7 +206,7 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     full = held.groupBy("leaf", "_doc").agg(F.max("long").alias("long")).groupBy("leaf")
     full = full.agg(F.count(F.lit(1)).alias("n"), spec.enough().alias("enough")).where("n >= enough")
     held = held.join(full.select("leaf"), "leaf")
-    variants = held.groupBy("leaf", "key").agg(F.count_distinct("_doc").alias("documents"), F.first("line").alias("line"))
+    variants = held.groupBy("leaf", "key").agg(F.count_distinct("_doc").alias("documents"), F.first("line").alias("line"), F.max("long").alias("long"))
     variants = stored(variants, "line_variants")
     mixed = variants.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     joined = _families(variants.join(mixed.select("leaf"), "leaf"), held.drop("line"), spec)
