@@ -36,11 +36,13 @@ PART = re.compile(" *[^ ]+| +")
 class EncodeSpec:
     """``model_file``: path of a SentencePiece BPE model with byte fallback;
     the file is sent to the executors. ``remembered`` bounds the parts whose
-    ids a task keeps, ``remember_up_to`` their length."""
+    ids a task keeps, ``remember_up_to`` their length, ``beginnings`` the
+    beginnings of parts from which a search can go on."""
 
     model_file: str = "/opt/tokenizers/piece_bpe_32k.model"
     remembered: int = 200_000
     remember_up_to: int = 48
+    beginnings: int = 600_000
     commit_every: int = 64
 
 
@@ -78,6 +80,10 @@ class Pieces:
             if self.merged(p) == [p]:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        #: Ends of pieces, with the id of those that merging can reach, and the last piece of short beginnings.
+        self.ends: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))}
+        self.ends |= {p: i for p, i in self.ids.items() if p in self.automaton}
+        self.beginnings: dict[str, int] = {}
         self.size = len(self.names)
         self.widths = [len(n) for n in self.names]
         self.raw = [n.replace(SPACE, " ").encode() for n in self.names]
@@ -195,12 +201,48 @@ class Pieces:
             alive.add(far - (1 if last[far] < 0 else self.widths[last[far]]))
         return alive.pop() if alive else done
 
+    def _short(self, text: str) -> tuple[int, ...]:
+        """Ids of a short part. The piece that ends a beginning is the same for
+        all parts that begin so, and remembered; the search goes on from the
+        longest known beginning."""
+        known, ends, pairs, size, widths = self.beginnings, self.ends, self.pairs, self.size, self.widths
+        if len(known) >= self.spec.beginnings:
+            known.clear()
+        n = at = len(text)
+        while at and text[:at] not in known:
+            at -= 1
+        for end in range(at + 1, n + 1):
+            best = -1
+            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+                piece = ends.get(text[start:end])
+                if piece is None:  # nothing longer is a piece either; unknown characters stand alone
+                    break
+                if piece >= 0:
+                    if not start or (left := known[text[:start]]) < 0:
+                        best = piece
+                        break
+                    follows = pairs.get(left * size + piece)
+                    if self._follows(left, piece) if follows is None else follows:
+                        best = piece
+                        break
+            known[text[:end]] = best
+        path: list[int] = []
+        while n:
+            piece = known[text[:n]]
+            if piece < 0:
+                path += [self.bytes[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
+                n -= 1
+            else:
+                path.append(piece)
+                n -= widths[piece]
+        return tuple(reversed(path))
+
     def _word(self, word: str, bare: bool) -> tuple[int, ...]:
         """Ids of a word that is not among the recent ones."""
         ids = self.older[bare].get(word)
         if ids is None:
             text = word if bare else " " + word
-            ids = tuple(i for path in self.search(text) for i in path)
+            ids = self._short(text) if len(text) <= self.spec.commit_every else tuple(i for path in self.search(text) for i in path)
         if len(word) <= self.spec.remember_up_to:
             if len(self.recent[0]) + len(self.recent[1]) >= self.spec.remembered:
                 self.older, self.recent = self.recent, ({}, {})
