@@ -12,8 +12,9 @@ estimate allows it, on full sets. Large buckets whose members are then still in
 different groups get further pivots. What is open after that is mostly not
 similar, but shares passages. There, members outside the bucket's largest group
 are held against all others on packed signatures inside the join, so that only
-pairs that may be similar become rows. Pairs inside one group are never made,
-and no bucket is cut.
+pairs that may be similar become rows; their full sets are compared block by
+block, so a text is sent once for many of its pairs. Pairs inside one group are
+never made, and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from emberline.llm.arrow import packed as with_rest
 from emberline.llm.arrow import ship_package, unpacked, with_text_columns, without
@@ -41,7 +43,7 @@ class NearSpec:
     """A pair at the threshold is in no common band once in 200,000 cases;
     ``slack`` is five standard errors of the estimate. ``pivots``: rounds of
     pivots; those after the first only while a bucket of more than ``small``
-    members is open."""
+    members is open. ``block``: members whose texts are compared in one row."""
 
     words: int = 5
     similar: tuple[int, int] = (75, 100)
@@ -50,6 +52,7 @@ class NearSpec:
     slack: float = 0.2
     pivots: int = 2
     small: int = 32
+    block: int = 64
 
     @property
     def minima(self) -> int:
@@ -140,6 +143,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
     return both.mapInArrow(run, both.select("a", "b").schema)
 
 
+def _confirmed_in_blocks(pairs: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
+    """The same for pairs that are many for their members. Members of a group
+    that the pairs connect are dealt to blocks of a bounded number; a row holds
+    the pairs between two blocks and the texts of both, each once."""
+    ship_package(pairs.sparkSession)
+    low, high = spec.similar
+    groups = connected(pairs)
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / spec.block).cast("long").alias("blocks"))
+    placed = groups.join(sizes, "component").select("node", F.col("component").alias("group"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    placed = stored(placed, "placed")
+    ends = pairs.join(placed.toDF("a", "group", "x"), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    # The block of the smaller number comes first, so two blocks make one row.
+    swap = F.col("x") > F.col("y")
+    ends = ends.select("group", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.struct("b", "a")).otherwise(F.struct(F.col("a").alias("b"), F.col("b").alias("a"))).alias("p"))
+    ends = ends.groupBy("group", "x", "y").agg(F.collect_list(F.struct(F.col("p.b").alias("s"), F.col("p.a").alias("t"))).alias("pairs"))
+    member = F.struct("node", "text")
+    blocks = stored(placed.join(texts, "node").groupBy("group", "block").agg(F.collect_list(member).alias("members")), "blocks")
+    left = blocks.select("group", F.col("block").alias("x"), F.col("members").alias("left"))
+    right = blocks.select("group", F.col("block").alias("y"), F.col("members").alias("right"))
+    rows = ends.join(left, ["group", "x"]).withColumn("other", F.when(F.col("x") < F.col("y"), F.col("y")))
+    rows = rows.join(right.withColumnsRenamed({"group": "same", "y": "at"}), (F.col("group") == F.col("same")) & (F.col("other") == F.col("at")), "left")
+
+    def sets(members) -> dict:
+        out: dict = {}
+        for m in members or ():
+            out.setdefault(m["node"], []).append(shingles(m["text"], spec.words))
+        return out
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and high * both >= low * (len(x) + len(y) - both)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("pairs", "left", "right")}
+                one = sets(row["left"])
+                two = sets(row["right"]) if row["right"] else one
+                found = [(p["s"], p["t"]) for p in row["pairs"] if any(similar(u, v) for u in one.get(p["s"], ()) for v in two.get(p["t"], ()))]
+                arrays = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+
+    kinds = [to_arrow_type(f.dataType) for f in pairs.select("a", "b").schema.fields]
+    return rows.select("pairs", "left", "right").mapInArrow(run, pairs.select("a", "b").schema)
+
+
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, packed, component, size) of the buckets that hold several groups."""
     grouped = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -218,7 +267,8 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         pairs = _other_pairs(open_, spec) if last else _pivot_pairs(open_, turn, spec)
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tried = tried.union(pairs) if turn else pairs
-        found = stored(_confirmed(pairs, texts, spec), "links")
+        confirmed = _confirmed_in_blocks if last else _confirmed
+        found = stored(confirmed(pairs, texts, spec), "links")
         links = links.union(found) if turn else found
         if not last:
             labels = connected(links)

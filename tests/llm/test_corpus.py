@@ -67,7 +67,7 @@ def test_near_duplicates_equal_all_pairs(spark):
     want = plain_components(rows)
     assert rows_of(near_dups.digest(near_dups.near_duplicates(docs))) == want
     # Other numbers of pivots.
-    for spec in (near_dups.NearSpec(pivots=1), near_dups.NearSpec(pivots=3, small=0)):
+    for spec in (near_dups.NearSpec(pivots=1), near_dups.NearSpec(pivots=3, small=0, block=8)):
         assert rows_of(near_dups.digest(near_dups.near_duplicates(docs, spec))) == want
 
 
