@@ -39,14 +39,19 @@ class LineSpec:
         return F.when(F.max("long"), min(self.long_documents, self.documents)).otherwise(self.documents)
 
 
+def _split(text: Column) -> Column:
+    """The lines of a text, all blanks in them being spaces."""
+    plain = text
+    for blank in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.split(F.when(text.rlike("[\\t\\x0b\\x0c\\r]"), plain).otherwise(text), "\n")
+
+
 def _spaced(line: Column) -> Column:
     """The tokens, one space apart. Most lines are so already; only the others
     meet a pattern."""
-    plain = line
-    for blank in "\t\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    loose = plain.contains("  ") | plain.startswith(" ") | plain.endswith(" ")
-    return F.when(loose, F.trim(F.regexp_replace(plain, " +", " "))).otherwise(plain)
+    loose = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(loose, F.trim(F.regexp_replace(line, " +", " "))).otherwise(line)
 
 
 def _masked(tokens: Column) -> Column:
@@ -178,7 +183,9 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     and only their lines are looked at as a whole.
     """
     line = F.col("line")
-    lines = docs.select("doc_id", _row(docs).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # What a row is called is worked out once a text, and only the lines go on.
+    rows = docs.where("text is not null").select("doc_id", _row(docs).alias("_doc"), _split(F.col("text")).alias("lines"))
+    lines = rows.select("doc_id", "_doc", F.posexplode("lines").alias("pos", "line"))
     lines = lines.withColumn("line", _spaced(line)).withColumn("n", _tokens(line))
     places = lines.select("doc_id", "_doc", "pos", _leaf(spec).alias("leaf"), (F.col("n") >= spec.long_words).alias("long"))
     blank = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1), F.lit("")).alias("leaf")).head()["leaf"]
@@ -191,10 +198,11 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     # the documents, so they are never broadcast.
     wanted = places.join(crowded, "leaf").groupBy("_doc", "doc_id").agg(F.collect_set("pos").alias("at"))
     wanted = wanted.select(F.col("_doc").alias("_of"), F.col("doc_id").alias("_id"), "at").hint("merge")
-    rows = docs.where("text is not null").select("doc_id", "text", _row(docs).alias("_doc"))
-    found = wanted.join(rows, (F.col("_of") == F.col("_doc")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-    found = found.withColumn("lines", F.split("text", "\n")).select("doc_id", "_doc", "lines", F.explode("at").alias("pos"))
-    found = found.select("doc_id", "_doc", "pos", _spaced(F.element_at("lines", F.col("pos") + 1)).alias("line"))
+    texts = docs.where("text is not null").select("doc_id", "text", _row(docs).alias("_doc"))
+    found = wanted.join(texts, (F.col("_of") == F.col("_doc")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    found = found.select("doc_id", "_doc", "at", _split(F.col("text")).alias("lines"))
+    held = F.transform("at", lambda p: F.struct(p.alias("pos"), F.element_at("lines", p + 1).alias("line")))
+    found = found.select("doc_id", "_doc", F.inline(held)).withColumn("line", _spaced(line))
     found = found.withColumn("n", _tokens(line)).withColumn("leaf", _leaf(spec)).withColumn("line", _masked(line))
     return found.select("leaf", F.xxhash64("line").alias("key"), "doc_id", "_doc", "pos", "line", _long(line, spec).alias("long"))
 
