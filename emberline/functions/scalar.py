@@ -57,11 +57,6 @@ def square(x: Column) -> Column:
     return x * x
 
 
-def distance_deg(lat1, lon1, lat2, lon2) -> Column:
-    """Planar distance in degrees, the metric of all grid joins."""
-    return F.sqrt(square(_col(lat1) - _col(lat2)) + square(_col(lon1) - _col(lon2)))
-
-
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_lat = F.sin(F.radians(_col(lat2) - _col(lat1)) / 2)
     half_lon = F.sin(F.radians(_col(lon2) - _col(lon1)) / 2)
