@@ -11,9 +11,9 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b); the component is the
     smallest node that can be reached. Nulls link nothing.
 
-    In each round every node hooks onto its neighbour of the smallest hash, if
-    that is smaller than its own, and follows the hooks twice; links between
-    different groups are carried over to the groups. The hash is another one
+    In each round every node hooks onto the node of the smallest hash within two
+    links and follows the hooks twice; links between different groups are
+    carried over to the groups. The hash is another one
     every round, so a long chain shrinks by a constant share however its nodes
     are numbered. A node with many links is pre-aggregated before it moves.
     Tables are written between rounds, and only whether links are left comes
@@ -22,11 +22,15 @@ def connected(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "node_links")
     steps: list[DataFrame] = []
     while True:
-        order = F.xxhash64(F.lit(len(steps)), "b")
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(F.struct(order.alias("h"), F.col("b").alias("node"))).alias("m"))
-        lower = F.col("m.h") < F.xxhash64(F.lit(len(steps)), "a")
-        step = near.select(F.col("a").alias("at"), F.when(lower, F.col("m.node")).otherwise(F.col("a")).alias("to"))
+
+        def ranked(node: str):
+            return F.struct(F.xxhash64(F.lit(len(steps)), node).alias("h"), F.col(node).alias("node"))
+
+        near = both.groupBy("a").agg(F.min(ranked("b")).alias("m"))
+        near = near.select(F.col("a").alias("b"), F.least("m", ranked("a")).alias("low"))
+        # The neighbours' lowest reach one link further, so all ends of a star meet at once.
+        step = both.join(near, "b").groupBy("a").agg(F.min("low").alias("m")).select(F.col("a").alias("at"), F.col("m.node").alias("to"))
         for _ in range(2):
             further = step.select(F.col("at").alias("via"), F.col("to").alias("next"))
             step = step.join(further, F.col("to") == F.col("via")).select("at", F.col("next").alias("to"))
