@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm.arrow import with_text_columns
 from emberline.llm.trees import plain_trees, value
+from emberline.sources.writers import stored
 
 #: Kinds with base spans, in the order in which spans are listed; the last kind has proposals only.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,9 +39,8 @@ _ANY = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
 
 @dataclass(frozen=True)
 class PiiSpec:
-    """``fit_rows`` bounds the documents of the fit, the only bound."""
+    """Nothing bounds the documents of the fit."""
 
-    fit_rows: int = 4000
     trees: int = 20
     depth: int = 4
     precision: float = 0.98
@@ -104,12 +104,13 @@ def base_spans(text: str | None) -> list[Span]:
     return [*_emails(text), *_ips(text), *_cards(text), *_phones(text)]
 
 
-#: Loose patterns; bounded repetitions keep them linear.
+#: Loose patterns; bounded repetitions keep them linear, and possessive ones
+#: don't go back where what follows can't begin any earlier.
 _LOOSE = (
     (
         "email",
         re.compile(
-            r"(?<![\w.+-])[\w.+-]{1,64}\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?[\w-]{1,64}"
+            r"(?<![\w.+-])[\w.+-]{1,64}+\s?(?:@|[\[(]\s?at\s?[\])]|\sat\s)\s?[\w-]{1,64}+"
             r"(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[\w-]{2,24}){1,4}",
             re.IGNORECASE,
         ),
@@ -117,7 +118,7 @@ _LOOSE = (
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|[.,:])\s?[0-9]{1,3}){3}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9](?:[ .\-/]{0,2}[0-9]){12,18}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9])(?:(?:\+|00)\s?)?\(?[0-9](?:[ ().\-/]{0,3}[0-9]){7,14}(?![0-9])")),
-    ("secret", re.compile(r"(?<![\w+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,256}(?![\w+/=-])")),
+    ("secret", re.compile(r"(?<![\w+/=-])(?=[A-Za-z_+/=-]{0,64}+[0-9])[A-Za-z0-9_+/=-]{16,256}(?![\w+/=-])")),
 )
 #: What is assigned to a name that says it is secret; these teach the trees.
 _ASSIGNED = re.compile(
@@ -226,7 +227,7 @@ def _mask(text: str, spans: list[Span]) -> bytearray:
 
 def examples(text: str | None, width: int) -> list[tuple[float, list[float]]]:
     """(label, features) of the proposals in a text and in its disguised form."""
-    if not text:
+    if not text or not _ANY.search(text):
         return []
     out = []
     sure = sure_spans(text)
@@ -255,13 +256,11 @@ class PiiModel:
 
 
 def fit(docs: DataFrame, spec: PiiSpec = PiiSpec()) -> PiiModel | None:
-    """None if the sample has no base span, or nothing else."""
-    sample = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").rlike("[0-9][0-9 .()-]{6,}|@|[0-9][A-Za-z0-9_+/=-]{12,}"))
-        .orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-        .limit(spec.fit_rows)
-    )
+    """None if the documents have no base span, or nothing else.
+
+    All documents teach or, one in four, calibrate. Equal examples are counted,
+    and the trees take the counts as weights.
+    """
 
     def setup():
         def of(text):
@@ -270,31 +269,30 @@ def fit(docs: DataFrame, spec: PiiSpec = PiiSpec()) -> PiiModel | None:
 
         return of
 
-    rows = with_text_columns(sample, "label array<double>, row array<array<double>>", setup)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part"), F.explode(F.arrays_zip("label", "row")).alias("e"))
-    rows = rows.select("part", "e.label", "e.row", array_to_vector("e.row").alias("features")).persist()
-    try:
-        learn = rows.where("part > 0")
-        if learn.select("label").distinct().count() < 2:
-            return None
-        model = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, stepSize=0.2, seed=5).fit(learn)
-        fitted = PiiModel(tuple(plain_trees(model)), {}, spec)
-        # The held-out part, counted by kind and score: at most a million rows a kind.
-        held = with_text_columns(
-            rows.where("part = 0").select("label", "row"), "score double", lambda: lambda row: (round(fitted.probability(row), 6),), text="row"
-        )
-        kind = F.array_position(F.slice("row", 1, len(ALL_KINDS)), 1.0).alias("kind")
-        counts = held.groupBy(kind, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()
-        thresholds = {
-            name: calibrated([(r["score"], r["n"], r["right"]) for r in counts if r["kind"] == i], spec.precision)
-            for i, name in enumerate(ALL_KINDS, 1)
-        }
-        return PiiModel(fitted.trees, thresholds, spec)
-    finally:
-        rows.unpersist()
-
-
-def calibrated(scores: list[tuple[float, int, float]], precision: float) -> float:
+    found = with_text_columns(docs.select("doc_id", "text"), "label array<double>, row array<array<double>>", setup)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    found = found.select((part > 0).alias("learn"), F.explode(F.arrays_zip("label", "row")).alias("e"))
+    rows = found.groupBy("learn", "e.label", "e.row").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = stored(rows.sortWithinPartitions("learn", "label", "row"), "pii_examples")
+    learn = rows.where("learn").select("label", "n", array_to_vector("row").alias("features"))
+    if learn.select("label").distinct().count() < 2:
+        return None
+    model = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, stepSize=0.2, seed=5, weightCol="n").fit(learn)
+    fitted = PiiModel(tuple(plain_trees(model)), {}, spec)
+    # The held-out part, counted by kind and score: at most ten thousand rows a kind.
+    held = with_text_columns(
+        rows.where("not learn").select("label", "row", "n"), "score double", lambda: lambda row: (round(fitted.probability(row), 4),), text="row"
+    )
+    kind = F.array_position(F.slice("row", 1, len(ALL_KINDS)), 1.0).alias("kind")
+    counts = held.groupBy(kind, "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).collect()
+    thresholds = {
+        name: calibrated([(r["score"], r["n"], r["right"]) for r in counts if r["kind"] == i], spec.precision)
+        for i, name in enumerate(ALL_KINDS, 1)
+    }
+    return PiiModel(fitted.trees, thresholds, spec)
+
+
+def calibrated(scores: list[tuple[float, float, float]], precision: float) -> float:
     """Of (score, rows, rows that are right): the threshold from which on the
     wanted share is right, halfway to the next score below, at least a half;
     above every score if there is none."""

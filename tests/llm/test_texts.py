@@ -163,6 +163,23 @@ def test_model_finds_disguised_data_and_leaves_prose(spark):
     assert pii.fit(frame(spark, odd_rows())) is None
 
 
+def test_every_document_teaches(spark):
+    # The kind of the thresholds below is only in documents that are late by hash,
+    # and there only as tokens that have nothing but letters before their digit.
+    ids = spark.range(9000).withColumn("tail", F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789", "ghijklmnop"))
+    plain = ids.select(F.col("id").alias("doc_id"), F.format_string("mail anna%d@example.com, order 12345678901 of %s", "id", F.substring("tail", 1, 8)).alias("text"))
+    late = ids.select((F.col("id") + 9000).alias("doc_id"), F.format_string("token = %s7", F.substring("tail", 1, 20)).alias("text"))
+    early = plain.where(F.xxhash64("doc_id", "text") < 0)
+    docs = early.union(late.where(F.xxhash64("doc_id", "text") > 0).limit(200))
+    assert early.count() > 4000
+    model = pii.fit(docs)
+    assert model.thresholds["secret"] <= 1
+    assert [k for k, _, _ in pii.chosen("token = abcdefghijklmnopqrst7", model)] == ["secret"]
+    # Counted examples weigh what repeated ones do.
+    again = pii.fit(docs.union(docs))
+    assert again.thresholds == pytest.approx(model.thresholds)
+
+
 def test_upper_case_at_is_proposed():
     every = pii.PiiModel((), dict.fromkeys(pii.KINDS, 0.0), pii.PiiSpec())  # adds all proposals
     for text in ("Kontakt: hans.maier (AT) firma (DOT) de", "HANS.MAIER AT FIRMA DOT DE"):
