@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.functions.vegetation import ndvi, ndvi_proxy
-from emberline.operators.nearest import one_row_per_day
+from emberline.operators.nearest import grown, one_row_per_day
 from emberline.schemas import LIVE_FEATURES
 
 WEATHER = ["wx_temperature_c", "wx_humidity_pct", "wx_wind_speed_ms", "wx_precipitation_mm"]
@@ -79,7 +79,7 @@ def with_ndvi(df: DataFrame, observed: DataFrame | None, active) -> DataFrame:
     if observed is None:
         return df.withColumn("ndvi", ndvi(F.lit(None).cast("double"), proxy))
     seen = observed.select("date", "zone_idx", F.col("ndvi").alias("_seen"))
-    return df.join(seen, ["date", "zone_idx"], "left").withColumn("ndvi", ndvi("_seen", proxy)).drop("_seen")
+    return df.join(grown(seen), ["date", "zone_idx"], "left").withColumn("ndvi", ndvi("_seen", proxy)).drop("_seen")
 
 
 def rule_label(active, fwi, cutoff: float = 60.0):

@@ -151,6 +151,12 @@ def one_row_per_day(df: DataFrame, by: Sequence[str], also: str | None = None) -
     return F.broadcast(df) if only_date else df
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A table that grows with points or zone-days stays with the tasks in a
+    join: however small it is still, it isn't collected for a broadcast."""
+    return df.hint("merge")
+
+
 def nearest(
     zones: DataFrame,
     points: DataFrame,
@@ -210,7 +216,7 @@ def nearest(
     open_zones = first.where(F.col("_first").isNull() | (F.col("_first.d2") > square(sure)))
     second = _descend(open_zones, points, spec, values, tie, by)
     settled = F.struct("_first.d2", "_first.tie", "_first.v")
-    best = first.join(second, keys, "left").withColumn(
+    best = first.join(grown(second), keys, "left").withColumn(
         "_best", F.coalesce("_second", F.when(F.col("_first").isNotNull(), settled))
     )
     return _unpack(best, keys, values, prefix)
@@ -244,7 +250,7 @@ def _parted(places: DataFrame, finest: DataFrame, by: list[str]) -> DataFrame:
         share = F.when(F.col(hi) > F.col(lo), (F.col(value) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
         return F.least(F.floor(share * side), side - 1).cast("int")
 
-    cut = places.join(finest, [*by, "_ty", "_tx"])
+    cut = places.join(grown(finest), [*by, "_ty", "_tx"])
     cut = cut.withColumns({"_sy": part("latitude", "y0", "y1"), "_sx": part("longitude", "x0", "x1")})
     return cut.select(*places.columns, "_sy", "_sx")
 
@@ -312,7 +318,7 @@ def _descend(
     survive = "inline(filter(_rated, t -> t.lo <= _bound * 1.000000001D))"
     def narrowed(search: DataFrame, kids: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
         return (
-            search.join(kids, [*by, "_py", "_px"])
+            search.join(grown(kids), [*by, "_py", "_px"])
             .withColumn("_rated", F.expr(rate))
             .withColumn("_bound", F.expr(tighten))
             .select(*by, "zone_idx", "_y", "_x", "_bound", *carried, F.expr(survive))
@@ -333,7 +339,7 @@ def _descend(
         F.collect_list(F.struct(F.col("_sy").alias("_ty"), F.col("_sx").alias("_tx"), "y0", "y1", "x0", "x1")).alias("_kids")
     )
     search = narrowed(search, parts, ["_py", "_px"]).withColumnsRenamed({"ty": "_sy", "tx": "_sx"})
-    hits = search.join(places, [*by, "_py", "_px", "_sy", "_sx"])
+    hits = search.join(grown(places), [*by, "_py", "_px", "_sy", "_sx"])
     d2 = F.expr("(_y - latitude) * (_y - latitude) + (_x - longitude) * (_x - longitude)")
     return (
         hits.select(*by, "zone_idx", F.struct(d2.alias("d2"), F.col("_p.tie").alias("tie"), F.col("_p.v").alias("v")).alias("_b"))

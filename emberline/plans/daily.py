@@ -12,7 +12,7 @@ from emberline.operators import alerts as A
 from emberline.operators import features as X
 from emberline.operators.grid import spine, with_zone_columns
 from emberline.operators.learn import risk_scores
-from emberline.operators.nearest import nearest, nearest_within
+from emberline.operators.nearest import grown, nearest, nearest_within
 from emberline.spec import AlertSpec, RegionSpec
 
 LIVE_WEATHER = [
@@ -60,7 +60,7 @@ def unified(
     zones = spine(weather.select("date").distinct(), region)
     wx = nearest(zones, weather, region, LIVE_WEATHER, "wx", station_id)
     fire = nearest_within(hotspots, region, FIRE_VALUES, "fire", hotspot_id)
-    joined = wx.join(fire, ["date", "zone_idx"], "left")
+    joined = wx.join(grown(fire), ["date", "zone_idx"], "left")
     return with_zone_columns(joined, region).withColumns(
         {
             "active_fire_nearby": F.col("fire_distance_deg").isNotNull(),

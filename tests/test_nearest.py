@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,13 @@ def test_source_merge_keeps_both_sides(spark):
     hourly = spark.createDataFrame([(1, "d1", 10.0), (1, "d1", 20.0), (3, "d1", 7.0)], "station_id INT, date STRING, rhum DOUBLE")
     out = {r.station_id: (r.rhum, r.temp) for r in stations.merge_sources(daily, hourly).collect()}
     assert out == {1: (15.0, 5.0), 2: (40.0, 6.0), 3: (7.0, None)}
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    points = spark.range(300).selectExpr("date_add(date'2024-01-01', cast(id % 2 as int)) as date", "id", "(id % 17) / 14D as latitude", "10 + (id % 5) / 50D as longitude")
+    zones = grid.spine(points.select("date").distinct(), SMALL)
+    found = nearest.nearest(zones, points, SMALL, ["id"], "p", "id")
+    assert len(found.collect()) == 2 * SMALL.n_zones
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"BroadcastHashJoin \[[^]]*\]", plan)
+    assert joins and all(re.fullmatch(r"BroadcastHashJoin \[date#\d+\]", j) for j in joins), joins
