@@ -25,7 +25,7 @@ from emberline.operators.dedup import DETECTION_KEYS, first_detection
 from emberline.operators.learn import load_or_none
 from emberline.plans import daily
 from emberline.plans.versions import VersionedDates
-from emberline.sources.readers import child_names, path_exists
+from emberline.sources.readers import folders_like
 from emberline.spec import RegionSpec
 
 INPUTS = ("detections", "weather")
@@ -86,14 +86,15 @@ class ZoneRefresh:
     def land(self, kind: str, batch: DataFrame, batch_id: int) -> None:
         """Stores a batch under its number; rows without a date have no zone-day."""
         rows = batch.select(*self.schemas[kind].names).where("date is not null")
+        # A date goes to one task or, if it is large, to a few: files grow with the rows, not with tasks times dates.
+        rows = rows.hint("rebalance", F.col("date"))
         writer = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(f"{self.base}/{kind}")
 
     def dates_of(self, spark: SparkSession, kind: str, batch_id: int) -> list[dt.date]:
         """The dates of a landed batch, by the names of its folders."""
-        folder = f"{self.base}/{kind}"
-        days = [n for n in child_names(spark, folder) if path_exists(spark, f"{folder}/{n}/batch_id={batch_id}")]
-        return sorted(dt.date.fromisoformat(n.removeprefix("date=")) for n in days)
+        found = folders_like(spark, f"{self.base}/{kind}/date=*/batch_id={batch_id}")
+        return sorted(dt.date.fromisoformat(p.split("/")[-2].removeprefix("date=")) for p in found)
 
     def landed(self, spark: SparkSession, kind: str, days: Sequence[dt.date]) -> DataFrame:
         """The landed rows of some dates with their ``batch_id``; only the
@@ -101,7 +102,8 @@ class ZoneRefresh:
         fields = [f for f in self.schemas[kind].fields if f.name != "date"]
         schema = T.StructType([*fields, T.StructField("date", T.DateType()), T.StructField("batch_id", T.LongType())])
         folder = f"{self.base}/{kind}"
-        there = [f"{folder}/date={d}" for d in days if path_exists(spark, f"{folder}/date={d}")]
+        known = {p.rsplit("/", 1)[1] for p in folders_like(spark, f"{folder}/date=*")}
+        there = [f"{folder}/date={d}" for d in days if f"date={d}" in known]
         return spark.read.schema(schema).option("basePath", folder).parquet(*there) if there else spark.createDataFrame([], schema)
 
     def rows(self, spark: SparkSession, days: Sequence[dt.date]) -> DataFrame:

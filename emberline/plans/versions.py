@@ -19,7 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.sources.readers import child_names, path_exists
+from emberline.sources.readers import child_names, folders_like, path_exists
 
 
 class StateNotReady(RuntimeError):
@@ -66,7 +66,7 @@ class VersionedDates:
         target = f"{self.base}/files/version={number}"
         # A date goes to one task or, if it is large, to a few.
         rows.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(target)
-        filled = {n.removeprefix("date=") for n in child_names(spark, target)}
+        filled = {p.rsplit("/date=", 1)[1] for p in folders_like(spark, f"{target}/date=*")}
         names = ["date", "version", *self.inputs]
         entries = {r["date"]: r.asDict() for r in self.ledger(spark).collect()} if known else {}
         for day, batches in touched.items():

@@ -28,6 +28,13 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
 
 
+def folders_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, listed at once."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    return sorted(p.toString() for p in spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)) if found else []
+
+
 def input_files(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """Name, size and time of the files in a folder and in the folders in it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

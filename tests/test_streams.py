@@ -92,6 +92,16 @@ def hotter(weather, degrees):
     return weather.withColumn("temperature_c", F.col("temperature_c") + degrees)
 
 
+def test_landed_dates_have_few_files(spark, tmp_path):
+    zones = zone_refresh(spark, tmp_path)
+    feed = spark.createDataFrame([detection(n, 1 + n % 3) for n in range(24)], FEED)
+    zones.land("detections", feed.repartition(8), 7)
+    days = zones.dates_of(spark, "detections", 7)
+    assert len(days) == 3 and zones.dates_of(spark, "detections", 8) == []
+    assert len(list(tmp_path.glob("detections/date=*/batch_id=7/*.parquet"))) == len(days)
+    assert zones.landed(spark, "detections", days).count() == 24
+
+
 def test_refresh_keeps_each_zone_day_once(spark, weather, tmp_path):
     batches = [[detection(0, 1), detection(1, 2)], [detection(2, 1), detection(0, 1)], [detection(3, 2)]]
     frames = [spark.createDataFrame(b, FEED) for b in batches]
