@@ -11,8 +11,11 @@ every member is compared with one pivot, on packed signatures and then, if the
 estimate allows it, on full sets. Large buckets whose members are then still in
 different groups get further pivots. What is open after that is mostly not
 similar, but shares passages. There, members outside the bucket's largest group
-are held against all others on packed signatures inside the join, so that only
-pairs that may be similar become rows; their full sets are compared block by
+are held against all others inside the join, on packed signatures and then on
+parities: the shingles of a set are counted in cells, modulo two, and the cells
+in which two sets differ are never more than the shingles in which they do. So
+the test loses no pair, and those that are similar but below the threshold
+mostly don't become rows. The full sets of the others are compared block by
 block, so a text is sent once for many of its pairs. Pairs inside one group are
 never made, and no bucket is cut.
 """
@@ -70,11 +73,19 @@ def _minima(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of shingles, 64 cells to a long;
+    there are four to eight cells a shingle, and a power of two of them."""
+    cells = 1 << max(6, (4 * len(found) - 1).bit_length())
+    counts = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signature(text: str | None, spec: NearSpec) -> tuple:
-    """(number of shingles, key of the set, packed low bits, band keys)."""
+    """(number of shingles, key of the set, packed low bits, band keys, parities)."""
     found = shingles(text, spec.words)
     if not len(found):
-        return 0, None, None, None
+        return 0, None, None, None, None
     minima = _minima(found, spec.minima)
     low = (mixed(minima) & np.uint64((1 << BITS) - 1)).reshape(-1, PER_LONG)
     packed = (low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
@@ -84,7 +95,7 @@ def signature(text: str | None, spec: NearSpec) -> tuple:
     with np.errstate(over="ignore"):
         halves = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
     key = np.array([*halves, len(found)], np.uint64).tobytes()
-    return len(found), key, packed.view(np.int64).tolist(), bands.view(np.int64).tolist()
+    return len(found), key, packed.view(np.int64).tolist(), bands.view(np.int64).tolist(), parities(found).tolist()
 
 
 def estimate(left, right, spec: NearSpec):
@@ -107,6 +118,27 @@ def _close(x: str, y: str, spec: NearSpec):
     return estimate(F.col(x), F.col(y), spec) >= low / high - spec.slack
 
 
+def _halved(odd):
+    """Parities of half as many cells."""
+    half = F.floor(F.size(odd) / 2).cast("int")
+    return F.zip_with(F.slice(odd, F.lit(1), half), F.slice(odd, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
+def _within(nx: str, x: str, hx: str, ny: str, y: str, hy: str, spec: NearSpec):
+    """False only if two sets can't be similar, by their numbers of shingles n,
+    their parities and those of half as many cells h. Sets whose cells differ
+    by more than one halving are told by the numbers alone."""
+    low, high = spec.similar
+    x, hx, y, hy, nx, ny = (F.col(c) for c in (x, hx, y, hy, nx, ny))
+
+    def differing(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, more: n + more)
+
+    cells = F.when(F.size(x) == F.size(y), differing(x, y)).when(F.size(x) == 2 * F.size(y), differing(hx, y)).when(2 * F.size(x) == F.size(y), differing(x, hy)).otherwise(0)
+    sizes = high * F.least(nx, ny) >= low * F.greatest(nx, ny)
+    return sizes & ((high + low) * cells <= (high - low) * (nx + ny))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
     """The pairs (a, b) that are similar on full sets."""
     ship_package(pairs.sparkSession)
@@ -213,17 +245,21 @@ def _pivot_pairs(open_: DataFrame, turn: int, spec: NearSpec) -> DataFrame:
     return _ordered(pairs.where(_close("px", "packed", spec)))
 
 
-def _other_pairs(open_: DataFrame, spec: NearSpec) -> DataFrame:
+def _other_pairs(open_: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     """Members outside their bucket's largest group with the members of other
-    groups that they may be similar to."""
+    groups that they may be similar to. ``sets`` has (node, packed, n_shingles,
+    odd); an id may have several."""
     sizes = open_.groupBy("band", "component").count()
     largest = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("m")).select("band", F.col("m.component").alias("largest"))
-    placed = open_.join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
-    x = placed.where("not inside").select(F.col("band").alias("same"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"))
-    y = placed.select("band", F.col("node").alias("y"), "component", "packed", "inside")
+    sets = sets.join(open_.select("node").distinct(), "node", "left_semi").withColumn("half", _halved("odd"))
+    placed = open_.join(sets, ["node", "packed"]).join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
+    placed = stored(placed.select("band", "node", "component", "packed", "inside", "n_shingles", "odd", "half"), "open_sets")
+    x = placed.where("not inside").select(F.col("band").alias("same"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"), F.col("half").alias("hx"))
+    y = placed.withColumnRenamed("node", "y")
     # Of two members outside, the pair is looked at once.
     once = F.col("inside") | (F.col("x") < F.col("y"))
-    return _ordered(x.join(y, (F.col("same") == F.col("band")) & (F.col("cx") != F.col("component")) & once & _close("px", "packed", spec)))
+    other = (F.col("same") == F.col("band")) & (F.col("cx") != F.col("component")) & once
+    return _ordered(x.join(y, other & _close("px", "packed", spec) & _within("nx", "ox", "hx", "n_shingles", "odd", "half", spec)))
 
 
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
@@ -240,12 +276,12 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     docs = without(docs, ["n_shingles", "component_id", "kept"])
     signed = with_text_columns(
         docs.select("doc_id", "text"),
-        "n_shingles long, key binary, packed array<long>, bands array<long>",
+        "n_shingles long, key binary, packed array<long>, bands array<long>, odd array<long>",
         lambda: lambda text: signature(text, spec),
-    ).select("doc_id", F.xxhash64("text").alias("text_key"), "n_shingles", "key", "packed", "bands")
+    ).select("doc_id", F.xxhash64("text").alias("text_key"), "n_shingles", "key", "packed", "bands", "odd")
     signed = stored(signed, "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("key", "packed", "bands").agg(F.min("doc_id").alias("node")), "shingle_sets")
+    classes = stored(some.groupBy("key", "packed", "bands", "n_shingles", "odd").agg(F.min("doc_id").alias("node")), "shingle_sets")
     nodes = classes.select("node", "packed", "bands")
     banded = nodes.select("node", F.explode("bands").alias("band")).distinct()
     several = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -264,7 +300,7 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         if largest is None:
             break
         last = turn >= spec.pivots or (turn > 0 and largest <= spec.small)
-        pairs = _other_pairs(open_, spec) if last else _pivot_pairs(open_, turn, spec)
+        pairs = _other_pairs(open_, classes.select("node", "packed", "n_shingles", "odd"), spec) if last else _pivot_pairs(open_, turn, spec)
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tried = tried.union(pairs) if turn else pairs
         confirmed = _confirmed_in_blocks if last else _confirmed

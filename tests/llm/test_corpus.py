@@ -6,6 +6,7 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -101,6 +102,49 @@ def test_estimate_is_corrected_for_chance(spark):
     assert abs(row.e - len(s & t) / len(s | t)) < 0.2
 
 
+def test_members_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """Pairs of a large group that are similar but not enough were one row each."""
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(100):
+        words = list(base)
+        for at in draw.sample(range(30), 7):
+            words[at * 5] = f"v{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[50][1] + " one more"), (201, rows[70][1] + " and another")]
+    counts = []
+    whole = near_dups._confirmed_in_blocks
+
+    def counted(pairs, texts, spec):
+        counts.append(pairs.count())
+        return whole(pairs, texts, spec)
+
+    monkeypatch.setattr(near_dups, "_confirmed_in_blocks", counted)
+    docs = frame(spark, rows, "doc_id long, text string")
+    assert rows_of(near_dups.digest(near_dups.near_duplicates(docs))) == plain_components(rows)
+    assert sum(counts) < len(rows)
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    spec = near_dups.NearSpec()
+    draw = random.Random(9)
+    pairs = []
+    for n in (3, 15, 16, 17, 60, 63, 64, 65, 90, 127, 128, 129, 130, 500):
+        for _ in range(12):
+            some = {draw.getrandbits(64) for _ in range(n)}
+            gone = draw.randint(0, max(1, n // 3))
+            other = set(draw.sample(sorted(some), n - min(gone, n - 1))) | {draw.getrandbits(64) for _ in range(draw.randint(0, n // 3))}
+            x, y = (np.array(sorted(v), np.uint64) for v in (some, other))
+            pairs.append((len(some & other) * 100 >= 75 * len(some | other), len(x), near_dups.parities(x).tolist(), len(y), near_dups.parities(y).tolist()))
+    sets = frame(spark, pairs, "similar boolean, nx long, x array<long>, ny long, y array<long>")
+    sets = sets.withColumn("hx", near_dups._halved("x")).withColumn("hy", near_dups._halved("y"))
+    told = sets.select("similar", near_dups._within("nx", "x", "hx", "ny", "y", "hy", spec).alias("within"), (F.size("x") == F.size("y")).alias("even"))
+    found = Counter((r.similar, r.within, r.even) for r in told.collect())
+    assert all(found[True, True, even] and not found[True, False, even] for even in (True, False))
+    assert found[False, False, True] > 9 * found[False, True, True]
+
+
 # -- lines -------------------------------------------------------------------------
 
 
