@@ -59,13 +59,20 @@ def _masked(tokens: Column) -> Column:
     return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(tokens)
 
 
+def _parts(text: Column, mark: str) -> Column:
+    """One more than there are marks of one byte. Bytes are known; characters
+    would be counted."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark))) + 1
+
+
 def _tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return _parts(line, " ")
 
 
-def _long(line: Column, spec: LineSpec) -> Column:
+def _long(line: Column, n: Column, spec: LineSpec) -> Column:
+    """Of n tokens, as many as masking leaves."""
     plain = F.filter(F.split(line, " "), lambda t: t != "<*>")
-    return (_tokens(line) >= spec.long_words) & (F.size(plain) >= spec.long_words)
+    return (n >= spec.long_words) & (F.size(plain) >= spec.long_words)
 
 
 def _row(docs: DataFrame) -> Column:
@@ -201,10 +208,10 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     texts = docs.where("text is not null").select("doc_id", "text", _row(docs).alias("_doc"))
     found = wanted.join(texts, (F.col("_of") == F.col("_doc")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     found = found.select("doc_id", "_doc", "at", _split(F.col("text")).alias("lines"))
-    held = F.transform("at", lambda p: F.struct(p.alias("pos"), F.element_at("lines", p + 1).alias("line")))
-    found = found.select("doc_id", "_doc", F.inline(held)).withColumn("line", _spaced(line))
+    found = found.select("doc_id", "_doc", "lines", F.explode("at").alias("pos"))
+    found = found.withColumn("line", _spaced(F.element_at("lines", F.col("pos") + 1))).drop("lines")
     found = found.withColumn("n", _tokens(line)).withColumn("leaf", _leaf(spec)).withColumn("line", _masked(line))
-    return found.select("leaf", F.xxhash64("line").alias("key"), "doc_id", "_doc", "pos", "line", _long(line, spec).alias("long"))
+    return found.select("leaf", F.xxhash64("line").alias("key"), "doc_id", "_doc", "pos", "line", _long(line, F.col("n"), spec).alias("long"))
 
 
 def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
@@ -246,12 +253,11 @@ def line_dedup(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     dropped = recurring_lines(docs.select("doc_id", "text"), spec).groupBy("_doc", "doc_id").agg(F.collect_set("pos").alias("gone"))
     dropped = dropped.select(F.col("_doc").alias("of"), F.col("doc_id").alias("id"), "gone").hint("merge")
     rows = packed(docs).withColumn("row", _row(docs)).join(dropped, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    rows = rows.withColumn("lines", F.split("text", "\n"))
-    left = F.filter(F.col("lines"), lambda line, i: ~F.array_contains(F.col("gone"), i))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i))
     out = rows.withColumns(
         {
             "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
-            "n_lines": F.coalesce(F.array_size("lines"), F.lit(0)).cast("long"),
+            "n_lines": F.coalesce(_parts(F.col("text"), "\n"), F.lit(0)).cast("long"),
             "n_dropped": F.coalesce(F.array_size("gone"), F.lit(0)).cast("long"),
         }
     )
