@@ -81,21 +81,24 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _key(found: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        halves = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
+    return np.array([*halves, len(found)], np.uint64).tobytes()
+
+
 def signature(text: str | None, spec: NearSpec) -> tuple:
-    """(number of shingles, key of the set, packed low bits, band keys, parities)."""
+    """(number of shingles, key of the set, packed low bits, band keys)."""
     found = shingles(text, spec.words)
     if not len(found):
-        return 0, None, None, None, None
+        return 0, None, None, None
     minima = _minima(found, spec.minima)
     low = (mixed(minima) & np.uint64((1 << BITS) - 1)).reshape(-1, PER_LONG)
     packed = (low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
     bands = np.arange(1, spec.bands + 1, dtype=np.uint64)
     for row in minima.reshape(spec.bands, spec.rows).T:
         bands = mixed(bands * np.uint64(STEP) + row)
-    with np.errstate(over="ignore"):
-        halves = [found.sum(dtype=np.uint64), mixed(found).sum(dtype=np.uint64)]
-    key = np.array([*halves, len(found)], np.uint64).tobytes()
-    return len(found), key, packed.view(np.int64).tolist(), bands.view(np.int64).tolist(), parities(found).tolist()
+    return len(found), _key(found), packed.view(np.int64).tolist(), bands.view(np.int64).tolist()
 
 
 def estimate(left, right, spec: NearSpec):
@@ -245,14 +248,25 @@ def _pivot_pairs(open_: DataFrame, turn: int, spec: NearSpec) -> DataFrame:
     return _ordered(pairs.where(_close("px", "packed", spec)))
 
 
+def _sets(open_: DataFrame, classes: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
+    """(node, packed, n_shingles, odd) of the members of open buckets; an id may
+    have several. Most texts are in none, so parities are made of these only."""
+
+    def of(text):
+        found = shingles(text, spec.words)
+        return (_key(found), len(found), parities(found).tolist()) if len(found) else (None, 0, None)
+
+    members = texts.join(open_.select("node").distinct(), "node", "left_semi")
+    found = with_text_columns(members, "key binary, n_shingles long, odd array<long>", lambda: of)
+    return found.drop("text").distinct().join(classes.select("node", "key", "packed"), ["node", "key"]).drop("key")
+
+
 def _other_pairs(open_: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     """Members outside their bucket's largest group with the members of other
-    groups that they may be similar to. ``sets`` has (node, packed, n_shingles,
-    odd); an id may have several."""
+    groups that they may be similar to."""
     sizes = open_.groupBy("band", "component").count()
     largest = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("m")).select("band", F.col("m.component").alias("largest"))
-    sets = sets.join(open_.select("node").distinct(), "node", "left_semi").withColumn("half", _halved("odd"))
-    placed = open_.join(sets, ["node", "packed"]).join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
+    placed = open_.join(sets.withColumn("half", _halved("odd")), ["node", "packed"]).join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
     placed = stored(placed.select("band", "node", "component", "packed", "inside", "n_shingles", "odd", "half"), "open_sets")
     x = placed.where("not inside").select(F.col("band").alias("same"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("packed").alias("px"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"), F.col("half").alias("hx"))
     y = placed.withColumnRenamed("node", "y")
@@ -276,12 +290,12 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     docs = without(docs, ["n_shingles", "component_id", "kept"])
     signed = with_text_columns(
         docs.select("doc_id", "text"),
-        "n_shingles long, key binary, packed array<long>, bands array<long>, odd array<long>",
+        "n_shingles long, key binary, packed array<long>, bands array<long>",
         lambda: lambda text: signature(text, spec),
-    ).select("doc_id", F.xxhash64("text").alias("text_key"), "n_shingles", "key", "packed", "bands", "odd")
+    ).select("doc_id", F.xxhash64("text").alias("text_key"), "n_shingles", "key", "packed", "bands")
     signed = stored(signed, "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("key", "packed", "bands", "n_shingles", "odd").agg(F.min("doc_id").alias("node")), "shingle_sets")
+    classes = stored(some.groupBy("key", "packed", "bands").agg(F.min("doc_id").alias("node")), "shingle_sets")
     nodes = classes.select("node", "packed", "bands")
     banded = nodes.select("node", F.explode("bands").alias("band")).distinct()
     several = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -300,7 +314,7 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         if largest is None:
             break
         last = turn >= spec.pivots or (turn > 0 and largest <= spec.small)
-        pairs = _other_pairs(open_, classes.select("node", "packed", "n_shingles", "odd"), spec) if last else _pivot_pairs(open_, turn, spec)
+        pairs = _other_pairs(open_, _sets(open_, classes, texts, spec), spec) if last else _pivot_pairs(open_, turn, spec)
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tried = tried.union(pairs) if turn else pairs
         confirmed = _confirmed_in_blocks if last else _confirmed
