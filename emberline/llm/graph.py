@@ -17,7 +17,8 @@ def connected(links: DataFrame) -> DataFrame:
     every round, so a long chain shrinks by a constant share however its nodes
     are numbered. A node with many links is pre-aggregated before it moves.
     Tables are written between rounds, and only whether links are left comes
-    back to the driver.
+    back to the driver. The result is a table, too, so that what is made of it
+    has a short plan.
     """
     edges = stored(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "node_links")
     steps: list[DataFrame] = []
@@ -31,6 +32,8 @@ def connected(links: DataFrame) -> DataFrame:
         near = near.select(F.col("a").alias("b"), F.least("m", ranked("a")).alias("low"))
         # The neighbours' lowest reach one link further, so all ends of a star meet at once.
         step = both.join(near, "b").groupBy("a").agg(F.min("low").alias("m")).select(F.col("a").alias("at"), F.col("m.node").alias("to"))
+        # Followed from a table: each time doubles the plan, which the driver holds and keeps.
+        step = stored(step, "first_hooks")
         for _ in range(2):
             further = step.select(F.col("at").alias("via"), F.col("to").alias("next"))
             step = step.join(further, F.col("to") == F.col("via")).select("at", F.col("next").alias("to"))
@@ -47,4 +50,4 @@ def connected(links: DataFrame) -> DataFrame:
         later = step.select(F.col("at").alias("via"), F.col("to").alias("next"))
         found = found.join(later, F.col("to") == F.col("via"), "left").select("at", F.coalesce("next", "to").alias("to"))
     least = found.groupBy("to").agg(F.min("at").alias("component"))
-    return found.join(least, "to").select(F.col("at").alias("node"), "component")
+    return stored(found.join(least, "to").select(F.col("at").alias("node"), "component"), "components")

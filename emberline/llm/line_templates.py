@@ -158,7 +158,8 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
             F.sum("documents").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), spec.enough().alias("enough")
         )
         full = full.where("n >= enough and low < high").select("leaf", "bucket")
-        buckets = buckets.drop("long").join(full, ["leaf", "bucket"])
+        # Read three times; as a table it is made once and the driver's plans stay short.
+        buckets = stored(buckets.drop("long").join(full, ["leaf", "bucket"]), "line_crowded_buckets")
         if docs is None:
             some = buckets.select("leaf", "key").distinct()
             docs = held.join(some, ["leaf", "key"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"), F.max("long").alias("long"))
@@ -171,7 +172,7 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
         pairs = pairs.join(lines, ["leaf", "key"]).join(lines.select("leaf", F.col("key").alias("family"), F.col("line").alias("pattern")), ["leaf", "family"])
         pairs = stored(pairs.where(_agreeing(F.col("line"), F.col("pattern"), spec)).select("leaf", "key", "family"), "line_pairs")
         best = pairs.join(reaching(pairs, "family"), ["leaf", "family"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
-        best = best.select("leaf", "key", F.col("p.family").alias("family"))
+        best = stored(best.select("leaf", "key", F.col("p.family").alias("family")), "line_best")
         now = stored(best.join(reaching(best, "family"), ["leaf", "family"]).select("leaf", "key", "family"), "line_families")
         found = now if found is None else found.union(now)
         if now.isEmpty():
@@ -226,6 +227,7 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     mixed = variants.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     joined = _families(variants.join(mixed.select("leaf"), "leaf"), held.drop("line"), spec)
     members = held.drop("line").join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
+    members = stored(members, "line_members")
     templates = (
         members.groupBy("leaf", "family", "_doc")
         .agg(F.min("doc_id").alias("doc_id"), F.max("long").alias("long"))

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberline.llm import line_templates, near_dups, sentence_spans, suffixes
+from emberline.llm import graph, line_templates, near_dups, sentence_spans, suffixes
+from emberline.sources.writers import stored
 from tests.llm.cases import frame, odd_rows, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -536,3 +537,21 @@ def test_pipeline_decides_as_plain_versions(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert clean == {r.doc_id for r in docs.collect() if not plain_leaks(r.text, items)[-1]}
 
+
+
+def test_no_table_is_made_of_a_long_plan(spark, monkeypatch):
+    """The driver holds every plan, each of its adaptive versions, and what it
+    keeps of both; a part that is read again is a table of its own."""
+    scans = {}
+
+    def noted(df, name):
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        scans[name] = max(leaves, scans.get(name, 0))
+        return stored(df, name)
+
+    for module in (graph, line_templates, near_dups):
+        monkeypatch.setattr(module, "stored", noted)
+    docs = documents(spark)
+    noted(line_templates.line_dedup(docs), "lines")
+    noted(near_dups.near_duplicates(docs), "near")
+    assert {name: n for name, n in scans.items() if n > 7} == {}
