@@ -41,10 +41,11 @@ class LineSpec:
 
 def _split(text: Column) -> Column:
     """The lines of a text, all blanks in them being spaces."""
-    plain = text
+    plain, found = text, F.lit(False)
     for blank in "\t\x0b\x0c\r":
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return F.split(F.when(text.rlike("[\\t\\x0b\\x0c\\r]"), plain).otherwise(text), "\n")
+        found = found | text.contains(blank)
+    return F.split(F.when(found, plain).otherwise(text), "\n")
 
 
 def _spaced(line: Column) -> Column:
@@ -71,8 +72,8 @@ def _tokens(line: Column) -> Column:
 
 def _long(line: Column, n: Column, spec: LineSpec) -> Column:
     """Of n tokens, as many as masking leaves."""
-    plain = F.filter(F.split(line, " "), lambda t: t != "<*>")
-    return (n >= spec.long_words) & (F.size(plain) >= spec.long_words)
+    plain = F.array_remove(F.split(line, " "), "<*>")
+    return (n >= spec.long_words) & (~line.contains("<*>") | (F.size(plain) >= spec.long_words))
 
 
 def _row(docs: DataFrame) -> Column:
@@ -148,38 +149,45 @@ def _families(variants: DataFrame, held: DataFrame, spec: LineSpec) -> DataFrame
     union = F.theta_sketch_estimate(F.theta_union_agg("docs", exact))
 
     def reaching(rows: DataFrame, group: str) -> DataFrame:
-        counted = rows.join(docs, ["leaf", "key"]).groupBy("leaf", group).agg(union.alias("n"), spec.enough().alias("enough"))
+        counted = rows.join(docs, ["key", "leaf"]).groupBy("leaf", group).agg(union.alias("n"), spec.enough().alias("enough"))
         return counted.where("n >= enough").drop("enough")
 
     left, found, docs = variants, None, None
     while True:
         buckets = stored(_buckets(left, spec), "line_buckets")
-        full = buckets.groupBy("leaf", "bucket").agg(
-            F.sum("documents").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), spec.enough().alias("enough")
+        full = buckets.groupBy("bucket", "leaf").agg(
+            F.sum("documents").alias("n"),
+            F.count(F.lit(1)).alias("size"),
+            spec.enough().alias("enough"),
+            F.bit_xor(F.xxhash64("key")).alias("members"),
+            F.max("masked").alias("masked"),
         )
-        full = full.where("n >= enough and low < high").select("leaf", "bucket")
+        # Long lines that differ in a token meet in most of their buckets. Buckets of
+        # the same lines have the same pivot, so one of them stands for all.
+        full = full.where("n >= enough and size > 1").groupBy("leaf", "n", "size", "members")
+        full = full.agg(F.max(F.struct("masked", "bucket")).alias("one")).select("leaf", "one.bucket")
         # Read three times; as a table it is made once and the driver's plans stay short.
-        buckets = stored(buckets.drop("long").join(full, ["leaf", "bucket"]), "line_crowded_buckets")
+        buckets = stored(buckets.drop("long").join(full.hint("shuffle_hash"), ["bucket", "leaf"]), "line_crowded_buckets")
         if docs is None:
             some = buckets.select("leaf", "key").distinct()
-            docs = held.join(some, ["leaf", "key"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"), F.max("long").alias("long"))
+            docs = held.join(some, ["key", "leaf"]).groupBy("leaf", "key").agg(F.theta_sketch_agg("_doc", exact).alias("docs"), F.max("long").alias("long"))
             docs = stored(docs, "line_documents")
-        buckets = stored(buckets.join(reaching(buckets, "bucket"), ["leaf", "bucket"]), "line_full_buckets")
+        buckets = stored(buckets.join(reaching(buckets, "bucket"), ["bucket", "leaf"]), "line_full_buckets")
         score = buckets.groupBy("leaf", "key").agg(F.max(F.when(F.col("masked"), F.col("n")).otherwise(F.col("documents"))).alias("score"))
-        pivots = buckets.join(score, ["leaf", "key"]).groupBy("leaf", "bucket").agg(F.min(F.struct(-F.col("score"), -F.col("documents"), "key")).alias("p"))
-        pairs = buckets.join(pivots.select("leaf", "bucket", F.col("p.key").alias("family")), ["leaf", "bucket"]).select("leaf", "key", "family").distinct()
+        pivots = buckets.join(score, ["key", "leaf"]).groupBy("leaf", "bucket").agg(F.min(F.struct(-F.col("score"), -F.col("documents"), "key")).alias("p"))
+        pairs = buckets.join(pivots.select("leaf", "bucket", F.col("p.key").alias("family")), ["bucket", "leaf"]).select("leaf", "key", "family").distinct()
         lines = left.select("leaf", "key", "line")
-        pairs = pairs.join(lines, ["leaf", "key"]).join(lines.select("leaf", F.col("key").alias("family"), F.col("line").alias("pattern")), ["leaf", "family"])
+        pairs = pairs.join(lines, ["key", "leaf"]).join(lines.select("leaf", F.col("key").alias("family"), F.col("line").alias("pattern")), ["family", "leaf"])
         pairs = stored(pairs.where(_agreeing(F.col("line"), F.col("pattern"), spec)).select("leaf", "key", "family"), "line_pairs")
-        best = pairs.join(reaching(pairs, "family"), ["leaf", "family"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
+        best = pairs.join(reaching(pairs, "family"), ["family", "leaf"]).groupBy("leaf", "key").agg(F.min(F.struct(-F.col("n"), "family")).alias("p"))
         best = stored(best.select("leaf", "key", F.col("p.family").alias("family")), "line_best")
-        now = stored(best.join(reaching(best, "family"), ["leaf", "family"]).select("leaf", "key", "family"), "line_families")
+        now = stored(best.join(reaching(best, "family"), ["family", "leaf"]).select("leaf", "key", "family"), "line_families")
         found = now if found is None else found.union(now)
         if now.isEmpty():
             return found
         # Only leaves that found a template can find another one.
         open_ = now.select("leaf").distinct()
-        left = left.join(docs.select("leaf", "key"), ["leaf", "key"], "semi").join(open_, "leaf").join(now, ["leaf", "key"], "anti")
+        left = left.join(docs.select("leaf", "key"), ["key", "leaf"], "semi").join(open_, "leaf").join(now, ["key", "leaf"], "anti")
         left = stored(left, "line_texts_left")
 
 
@@ -193,7 +201,8 @@ def _crowded_lines(docs: DataFrame, spec: LineSpec) -> DataFrame:
     line = F.col("line")
     # What a row is called is worked out once a text, and only the lines go on.
     rows = docs.where("text is not null").select("doc_id", _row(docs).alias("_doc"), _split(F.col("text")).alias("lines"))
-    lines = rows.select("doc_id", "_doc", F.posexplode("lines").alias("pos", "line"))
+    # A text has a line at least; the outer form spares the filter that would split it once more to see that.
+    lines = rows.select("doc_id", "_doc", F.posexplode_outer("lines").alias("pos", "line"))
     lines = lines.withColumn("line", _spaced(line)).withColumn("n", _tokens(line))
     places = lines.select("doc_id", "_doc", "pos", _leaf(spec).alias("leaf"), (F.col("n") >= spec.long_words).alias("long"))
     blank = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1), F.lit("")).alias("leaf")).head()["leaf"]
@@ -221,12 +230,14 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     # Again by documents, now that the lines are known: repeats within one don't count.
     full = held.groupBy("leaf", "_doc").agg(F.max("long").alias("long")).groupBy("leaf")
     full = full.agg(F.count(F.lit(1)).alias("n"), spec.enough().alias("enough")).where("n >= enough")
-    held = held.join(full.select("leaf"), "leaf")
+    held = held.join(stored(full.select("leaf"), "line_full_leaves"), "leaf")
     variants = held.groupBy("leaf", "key").agg(F.count_distinct("_doc").alias("documents"), F.first("line").alias("line"), F.max("long").alias("long"))
     variants = stored(variants, "line_variants")
+    held = stored(held.drop("line"), "line_places")
     mixed = variants.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    joined = _families(variants.join(mixed.select("leaf"), "leaf"), held.drop("line"), spec)
-    members = held.drop("line").join(joined, ["leaf", "key"], "left").withColumn("family", F.coalesce("family", "key"))
+    mixed = stored(variants.join(mixed.select("leaf"), "leaf"), "line_mixed_variants")
+    joined = _families(mixed, held, spec)
+    members = held.join(joined, ["key", "leaf"], "left").withColumn("family", F.coalesce("family", "key"))
     members = stored(members, "line_members")
     templates = (
         members.groupBy("leaf", "family", "_doc")
@@ -236,7 +247,7 @@ def recurring_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
         .where("documents >= enough")
     )
     return (
-        members.join(templates, ["leaf", "family"])
+        members.join(templates, ["family", "leaf"])
         .where("first is not null and (doc_id is null or doc_id > first)")
         .select("doc_id", "_doc", "pos")
     )

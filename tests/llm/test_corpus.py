@@ -359,6 +359,40 @@ def test_lines_and_tokens_are_counted_in_bytes(spark):
     assert "octet_length" in str(line_templates._tokens(F.col("line")))
 
 
+def noted_tables(monkeypatch):
+    """{name: the tables of that name that the line operator stores}, filled as it runs."""
+    tables, store = defaultdict(list), line_templates.stored
+
+    def noting(df, name):
+        tables[name].append((df, store(df, name)))
+        return tables[name][-1][1]
+
+    monkeypatch.setattr(line_templates, "stored", noting)
+    return tables
+
+
+def test_texts_are_split_once_for_their_leaves(spark, monkeypatch):
+    """A filter on the number of lines split every text a second time."""
+    tables = noted_tables(monkeypatch)
+    line_templates.line_dedup(documents(spark))
+    plan = tables["line_leaves"][0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "size(" not in plan
+
+
+def test_buckets_of_the_same_lines_are_kept_once(spark, monkeypatch):
+    """Long lines that differ in a token met in most of their buckets, 24 here."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = [(d, " ".join(words[:30] + [own] + words[31:])) for d, own in enumerate(("one", "two", "two"))]
+    rows += [(9, " ".join(words[:40] + ["other"] + words[41:]))]
+    tables = noted_tables(monkeypatch)
+    left = {r.doc_id: r.n_dropped for r in line_templates.line_dedup(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert left == {0: 0, 1: 1, 2: 1, 9: 1}
+    members = defaultdict(set)
+    for r in tables["line_crowded_buckets"][0][1].collect():
+        members[r.leaf, r.bucket].add(r.key)
+    assert sorted(map(len, members.values())) == [2, 3]
+
+
 def test_line_plan_is_native(spark):
     plan = line_templates.line_dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
