@@ -122,12 +122,15 @@ def _indexed(rows: DataFrame, width: int) -> DataFrame:
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose key another fingerprint has that may be linked, with
     ``size``, the fingerprints of the key. Where a bit was left out, both of
-    its values have to occur."""
+    its values have to occur.
+
+    Neither side is broadcast, however small it is taken to be: Spark sizes
+    the keys that a fingerprint is unfolded into as the fingerprint alone."""
     sizes = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("side").alias("s0"), F.max("side").alias("s1"), F.bool_and(F.col("side").isNotNull()).alias("varied")
     )
     sizes = sizes.where("size > 1 and (not varied or s0 < s1)").select("key", "size")
-    return rows.join(sizes, "key")
+    return rows.join(sizes.hint("merge"), "key")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     y = rows.select(F.col("key").alias("same"), F.col("side").alias("t"), F.col("bits").alias("q"), F.col("node").alias("b"))
     ordered = F.when(F.col("s").isNull(), F.col("p") < F.col("q")).otherwise(F.col("s") < F.col("t"))
     close = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2
-    return x.join(y, (F.col("key") == F.col("same")) & ordered & close).select("a", "b")
+    return x.join(y.hint("merge"), (F.col("key") == F.col("same")) & ordered & close).select("a", "b")
 
 
 def links(nodes: DataFrame, spec: SimSpec = SimSpec()) -> DataFrame:
@@ -182,11 +185,11 @@ def near_fingerprints(rows: DataFrame, spec: SimSpec = SimSpec()) -> DataFrame:
     nodes = stored(nodes.select(F.col("bits").alias("node"), "bits", "doc"), "fingerprints")
     # Over fingerprints, as one id may stand for rows of several texts.
     groups = connected(links(nodes.select("node", "bits"), spec))
-    placed = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    placed = nodes.join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = placed.groupBy("group").agg(F.min("doc").alias("least"))
-    placed = placed.join(least, "group").select(F.col("bits").alias("_bits"), "least")
+    placed = placed.join(least.hint("merge"), "group").select(F.col("bits").alias("_bits"), "least")
     of, found = fresh(rows, "_of"), fresh(rows, "_least")
-    out = rows.join(placed.toDF(of, found), F.col("bits") == F.col(of), "left")
+    out = rows.join(placed.toDF(of, found).hint("merge"), F.col("bits") == F.col(of), "left")
     return out.select(*rows.columns, F.when(F.col("doc_id").isNotNull(), F.col(found)).alias("component_id"))
 
 

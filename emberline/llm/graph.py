@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberline.sources.writers import stored
 
+#: Links whose nodes a join may collect for a broadcast.
+COLLECTED = 1 << 17
+
+
+def _side(df: DataFrame, links: int) -> DataFrame:
+    """``df``, a row a node of so many links, as a side to join with. Spark
+    takes a table for as large as its files, of which the rows that are
+    collected are many times the size; so many of them are merged instead."""
+    return df if links <= COLLECTED else df.hint("merge")
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b); the component is the
@@ -16,12 +26,13 @@ def connected(links: DataFrame) -> DataFrame:
     carried over to the groups. The hash is another one
     every round, so a long chain shrinks by a constant share however its nodes
     are numbered. A node with many links is pre-aggregated before it moves.
-    Tables are written between rounds, and only whether links are left comes
+    Tables are written between rounds, and only how many links are left comes
     back to the driver. The result is a table, too, so that what is made of it
     has a short plan.
     """
     edges = stored(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "node_links")
-    steps: list[DataFrame] = []
+    count = edges.count()
+    steps: list[tuple[DataFrame, int]] = []
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
 
@@ -31,23 +42,24 @@ def connected(links: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.min(ranked("b")).alias("m"))
         near = near.select(F.col("a").alias("b"), F.least("m", ranked("a")).alias("low"))
         # The neighbours' lowest reach one link further, so all ends of a star meet at once.
-        step = both.join(near, "b").groupBy("a").agg(F.min("low").alias("m")).select(F.col("a").alias("at"), F.col("m.node").alias("to"))
+        step = both.join(_side(near, count), "b").groupBy("a").agg(F.min("low").alias("m")).select(F.col("a").alias("at"), F.col("m.node").alias("to"))
         # Followed from a table: each time doubles the plan, which the driver holds and keeps.
         step = stored(step, "first_hooks")
         for _ in range(2):
             further = step.select(F.col("at").alias("via"), F.col("to").alias("next"))
-            step = step.join(further, F.col("to") == F.col("via")).select("at", F.col("next").alias("to"))
+            step = step.join(_side(further, count), F.col("to") == F.col("via")).select("at", F.col("next").alias("to"))
         step = stored(step, "hooks")
-        steps.append(step)
+        steps.append((step, count))
         a = step.select(F.col("at").alias("a"), F.col("to").alias("x"))
         b = step.select(F.col("at").alias("b"), F.col("to").alias("y"))
-        moved = edges.join(a, "a").where("x is not null").join(b, "b").where("x <> y")
+        moved = edges.join(_side(a, count), "a").where("x is not null").join(_side(b, count), "b").where("x <> y")
         edges = stored(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "group_links")
-        if edges.isEmpty():
+        count = edges.count()
+        if not count:
             break
-    found = steps[0]
-    for step in steps[1:]:
+    found, first = steps[0]
+    for step, count in steps[1:]:
         later = step.select(F.col("at").alias("via"), F.col("to").alias("next"))
-        found = found.join(later, F.col("to") == F.col("via"), "left").select("at", F.coalesce("next", "to").alias("to"))
+        found = found.join(_side(later, count), F.col("to") == F.col("via"), "left").select("at", F.coalesce("next", "to").alias("to"))
     least = found.groupBy("to").agg(F.min("at").alias("component"))
-    return stored(found.join(least, "to").select(F.col("at").alias("node"), "component"), "components")
+    return stored(found.join(_side(least, first), "to").select(F.col("at").alias("node"), "component"), "components")

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from emberline.llm import fingerprints, graph, merkle, whitening
+from emberline.sources import writers
 from tests.llm.cases import frame, odd_rows, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -162,6 +163,41 @@ def test_links_of_crowded_keys_equal_all_pairs(spark, few):
     assert got == wanted and len(wanted) > 1000
 
 
+def noted_plans(monkeypatch, *modules):
+    """The plans of the tables that these modules store, filled as they run."""
+    plans = []
+
+    def noting(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return writers.stored(df, name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "stored", noting)
+    return plans
+
+
+def test_unfolded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes 34 keys of a fingerprint for as large as the fingerprint."""
+    nodes = spark.range(3000).select(F.xxhash64("id").alias("bits"), F.col("id").alias("doc_id"))
+    plans = noted_plans(monkeypatch, fingerprints)
+    found = fingerprints.near_fingerprints(nodes.union(nodes.select(F.col("bits").bitwiseXOR(F.lit(5)), F.col("doc_id") + 3000)))
+    assert found.where("component_id = doc_id % 3000").count() == 6000
+    pairs = fingerprints._pairs(spark.createDataFrame([(1, None, 5, 1), (1, None, 4, 2)], "key long, side byte, bits long, node long"))
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (found, pairs)]
+    assert sum("SortMergeJoin" in p for p in plans) > 2
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_nodes_of_many_links_are_not_broadcast(spark, monkeypatch):
+    """Collected rows are many times the size of the files that Spark goes by."""
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    monkeypatch.setattr(graph, "COLLECTED", 0)
+    plans = noted_plans(monkeypatch, graph)
+    assert {r["component"] for r in graph.connected(chain).collect()} == {0}
+    assert sum("SortMergeJoin" in p for p in plans) > 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_clashing_columns_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, 5, "a", "b", 7), (2, 4, "c", "d", 8), (None, 5, "e", "f", 9)], "doc_id long, bits long, _of string, node string, component_id long")
     found = fingerprints.near_fingerprints(rows)
